@@ -48,10 +48,8 @@ def discard(df: DataFrame) -> None:
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts: fewer rows in each batch that goes to Python, so that a worker's memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    """Long texts: few rows in each batch that goes to Python, so that a worker's memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def drop_clashes(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

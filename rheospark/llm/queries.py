@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op2_concat_cut
 from .quality import op6_repetition_rules
 
-QUERIES = {"op6_repetition_rules": op6_repetition_rules}
+QUERIES = {"op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
 
 ORACLE_SQL: dict[str, str] = {}
