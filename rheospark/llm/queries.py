@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op2_concat_cut
 from .quality import op6_repetition_rules
 
-QUERIES = {"op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
+QUERIES = {"op9_mix_sources": op9_mix_sources, "op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mix_sources": OP9_SQL}
