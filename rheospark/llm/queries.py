@@ -6,7 +6,8 @@ from .line_dedup import op5_line_runs
 from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op2_concat_cut
 from .quality import op6_repetition_rules
+from .simhash import op4_simhash_golay
 
-QUERIES = {"op5_line_runs": op5_line_runs, "op9_mix_sources": op9_mix_sources, "op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
+QUERIES = {"op4_simhash_golay": op4_simhash_golay, "op5_line_runs": op5_line_runs, "op9_mix_sources": op9_mix_sources, "op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
 
 ORACLE_SQL: dict[str, str] = {"op9_mix_sources": OP9_SQL}
