@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_arrow_batches, table, written
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -36,7 +36,7 @@ def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_I
     key_type = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         part, start = TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize

@@ -97,3 +97,14 @@ class WordEncoder:
                 out += [b"".join(map(self.new.__getitem__, w)) for w in words]
             at = to
         return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(name: str) -> WordEncoder:
+    """The encoder of this Python worker; tasks that run in it one after the other share its cache of words."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = WordEncoder(name)
+    return _ENCODERS[name]
