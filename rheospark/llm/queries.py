@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html import op8_wrapper_text
+from .licenses import op7_license_scan
 from .line_dedup import op5_line_runs
 from .mixing import OP9_SQL, op9_mix_sources
 from .order_minhash import op1_order_minhash
@@ -11,6 +12,6 @@ from .quality import op6_repetition_rules
 from .simhash import op4_simhash_golay
 from .toxicity import op10_toxicity
 
-QUERIES = {"op1_order_minhash": op1_order_minhash, "op8_wrapper_text": op8_wrapper_text, "op10_toxicity": op10_toxicity, "op4_simhash_golay": op4_simhash_golay, "op5_line_runs": op5_line_runs, "op9_mix_sources": op9_mix_sources, "op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
+QUERIES = {"op7_license_scan": op7_license_scan, "op1_order_minhash": op1_order_minhash, "op8_wrapper_text": op8_wrapper_text, "op10_toxicity": op10_toxicity, "op4_simhash_golay": op4_simhash_golay, "op5_line_runs": op5_line_runs, "op9_mix_sources": op9_mix_sources, "op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
 
 ORACLE_SQL: dict[str, str] = {"op9_mix_sources": OP9_SQL}
