@@ -11,7 +11,8 @@ from .packing import op2_concat_cut
 from .quality import op6_repetition_rules
 from .simhash import op4_simhash_golay
 from .toxicity import op10_toxicity
+from .training_order import op3_training_order
 
-QUERIES = {"op7_license_scan": op7_license_scan, "op1_order_minhash": op1_order_minhash, "op8_wrapper_text": op8_wrapper_text, "op10_toxicity": op10_toxicity, "op4_simhash_golay": op4_simhash_golay, "op5_line_runs": op5_line_runs, "op9_mix_sources": op9_mix_sources, "op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
+QUERIES = {"op3_training_order": op3_training_order, "op7_license_scan": op7_license_scan, "op1_order_minhash": op1_order_minhash, "op8_wrapper_text": op8_wrapper_text, "op10_toxicity": op10_toxicity, "op4_simhash_golay": op4_simhash_golay, "op5_line_runs": op5_line_runs, "op9_mix_sources": op9_mix_sources, "op2_concat_cut": op2_concat_cut, "op6_repetition_rules": op6_repetition_rules}
 
 ORACLE_SQL: dict[str, str] = {"op9_mix_sources": OP9_SQL}
