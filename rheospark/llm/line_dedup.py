@@ -130,7 +130,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     positions = rest.select(*KEY, F.posexplode("lines").alias("pos", "x")).select(*KEY, "pos", "x.a", "x.b")
     counts = rest.select(*KEY, "lines", F.transform("lines", lambda x: x["words"]).alias("w"))
     spans = counts.select(*KEY, F.explode(F.array_distinct(F.flatten(F.transform("w", lambda _, i: _shortest(i, min_words))))).alias("s"))
-    runs = repeated_runs(positions, spans.select(*KEY, F.col("s.pos").alias("pos"), F.col("s.length").alias("length")))
+    spans = written(spans.select(*KEY, F.col("s.pos").alias("pos"), F.col("s.length").alias("length")), "spans")
+    runs = repeated_runs(positions, spans)
     # runs of one document as disjoint pieces, first by number in the sequence, then as lines of the text
     before = Window.partitionBy(*KEY).orderBy("pos", "end").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("end", F.col("pos") + F.col("length"))
