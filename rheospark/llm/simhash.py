@@ -91,10 +91,10 @@ def _patterns() -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_keys(words: np.ndarray) -> np.ndarray:
-    """Rows of six codeword indices (12 bits each) for words of up to 23 bits; indices may repeat in a row."""
+    """Six codeword indices (12 bits each) for each word of up to 23 bits, along a last axis; the last may repeat."""
     parts, turns = _patterns()
     syndrome = parts[0][words & 0xFFF] ^ parts[1][words >> 12]
-    return (words[:, None] ^ turns[syndrome]) >> 11
+    return (words[..., None] ^ turns[syndrome]) >> 11
 
 
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
