@@ -11,7 +11,7 @@ A run counts if it has more than min_words words. Of a maximal repeated run of t
 shortest such prefix from some line on, or in a shortest such one up to some line; and all those repeat as the run does.
 So these two prefixes of each line are looked up, the first position of each interval is kept, and the union of all
 others is the union of all later copies of maximal runs. Lines without words stand in no sequence, hence such a prefix
-has at most min_words + 1 lines, which bounds the rounds. They are deleted within a run.
+has at most min_words + 1 lines, which bounds the rounds. They are deleted between two deleted lines.
 
 Positions are ordered by document key, then line. Whole texts that equal an earlier one are found first, by their hash,
 and leave the sequences. Line ids and names are two 64-bit hashes each.
@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     pieces = pieces.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("from", "end", (F.col("from") == F.col("past")).alias("on")))).alias("cuts"))
     number = rest.select(*KEY, F.transform("lines", lambda x: x["line"]).alias("at"))
     cuts = pieces.alias("l").join(number.alias("r"), _same_document()).select(*[F.col(f"l.{c}") for c in KEY], "cuts", "at")
-    # a piece that goes on from the one before also takes the lines without words between them
+    # a piece that begins where the one before has ended also takes the lines without words between them
     piece = lambda x: F.struct(F.when(x["on"], F.get("at", x["from"] - 1) + 1).otherwise(F.get("at", x["from"])).alias("from"), (F.get("at", x["end"] - 1) + 1).alias("end"))
     cuts = cuts.select(*KEY, F.transform("cuts", piece).alias("cuts"))
     cuts = cuts.unionByName(copies.withColumn("cuts", F.lit(None).cast(cuts.schema["cuts"].dataType))).withColumn("hit", F.lit(True))
