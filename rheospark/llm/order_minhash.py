@@ -18,8 +18,9 @@ from .common import drop_clashes, table, written
 K, BIN_BITS, PICK = 3, 6, 2
 #: Low bits of a long that hold a position: more words than any text that Spark can hold has.
 POSITION = 30
-#: Bytes of text in a bucket of neighbouring documents, about.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text in a bucket of neighbouring documents, about; with more bytes than MOST_BUCKETS buckets hold so, they
+#: hold more. The table of buckets that is broadcast has at most that many rows of two numbers.
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 100_000
 
 
 def _let(value: Column, body) -> Column:
@@ -118,7 +119,7 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     marks = [i / parts for i in range(parts + 1)]
     total, marks = slim.agg(F.sum("n"), F.percentile_approx("doc_id", F.array(*map(F.lit, marks)), 10_000)).first()
     marks = sorted(set(marks or [0])) or [0]
-    buckets = max(1, (total or 0) // bucket_bytes)
+    buckets = min(MOST_BUCKETS, max(1, (total or 0) // bucket_bytes))
     # place among the quantiles, between two of them in proportion: grows with doc_id, however the ids are spread
     bounds = F.array(*[F.lit(m).cast("long") for m in marks])
     at = F.size(F.filter(bounds, lambda m: m <= F.col("doc_id")))
@@ -126,7 +127,7 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     place = (at + F.coalesce((F.col("doc_id") - low) / (high - low), F.lit(0.0))) / (len(marks) + 1)
     bucket = F.coalesce(F.floor(place * buckets).cast("long"), F.lit(-1))
     tops = slim.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("doc_id"))
-    tops = written(tops, "tops")  # one row per bucket, and buckets hold about bucket_bytes each
+    tops = written(tops, "tops")  # one row per bucket
     down = Window.orderBy(F.desc("bucket"))
     follows = tops.select("bucket", F.coalesce(F.lead("bucket").over(down), F.max("bucket").over(Window.partitionBy())).alias("next"))
     own = docs.withColumn("bucket", bucket)
