@@ -23,7 +23,7 @@ class WordEncoder:
     are new to the cache most often; the letters are encoded many at once, as each gives ids up to one that ends a word.
     """
 
-    def __init__(self, name: str, limit: int = 400_000):
+    def __init__(self, name: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
