@@ -16,6 +16,13 @@ def pct(column: str | Column, p: float) -> Column:
     return F.percentile(column, F.lit(p))
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation of the rows that have both values; null where a side is constant (F.corr divides by 0 then)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def collapse_retests(df: DataFrame, keys: list[str], result: str, order: str, firsts: list[str]) -> DataFrame:
     """Mean result and the first (by order) other values of each key; null keys go."""
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
@@ -167,7 +174,7 @@ def feature_audit(df: DataFrame, columns: list[str], label: str, row: str, most_
 def grouped_spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
     """Spearman correlation with mean ranks, per key; null for constant sides."""
     ranked = df.select(*keys, avg_rank(F.col(x), keys).alias("_x"), avg_rank(F.col(y), keys).alias("_y"))
-    return ranked.groupBy(*keys).agg(F.nanvl(F.corr("_x", "_y"), F.lit(None).cast("double")).alias(out))
+    return ranked.groupBy(*keys).agg(corr("_x", "_y").alias(out))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
@@ -175,7 +182,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return {}
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {p: row[i] for i, p in enumerate(pairs)}
 
 
@@ -192,7 +199,7 @@ def prune_correlated(df: DataFrame, ranked: list[str], most: float = 0.9, keep:
 
 def max_redundancy(df: DataFrame, new: list[str], old: list[str]) -> DataFrame:
     """For each new feature the existing one it correlates with most, and LOW / MEDIUM (0.75) / HIGH (0.90)."""
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a in new for b in old])
+    row = df.agg(*[corr(a, b).alias(f"{a}|{b}") for a in new for b in old])
     cells = [F.struct(F.lit(a).alias("feature"), F.array_max(F.array(*[F.struct(F.abs(F.coalesce(F.col(f"`{a}|{b}`"), F.lit(0.0))).alias("r"), F.lit(b).alias("b")) for b in old])).alias("m")) for a in new]
     out = row.select(F.explode(F.array(*cells)).alias("x")).select("x.feature", F.col("x.m.b").alias("nearest"), F.col("x.m.r").alias("abs_r"))
     return out.withColumn("redundancy", F.when(F.col("abs_r") >= 0.9, "HIGH").when(F.col("abs_r") >= 0.75, "MEDIUM").otherwise("LOW"))
@@ -203,7 +210,7 @@ def group_correlation(df: DataFrame, by: str, columns: list[str], label: str, le
     rows = long(df, [by, label], columns)
     whole = rows.groupBy(by, "feature").agg(F.count("*").alias("rows"))
     known = rows.where(f"value is not null and {label} is not null")
-    pearson = known.groupBy(by, "feature").agg(F.count("*").alias("n"), F.corr("value", label).alias("pearson")).where(F.col("n") > least)
+    pearson = known.groupBy(by, "feature").agg(F.count("*").alias("n"), corr("value", label).alias("pearson")).where(F.col("n") > least)
     rho = grouped_spearman(known, [by, "feature"], "value", label, "spearman")
     return pearson.join(rho, [by, "feature"]).join(whole, [by, "feature"]).withColumn("coverage", F.col("n") / F.col("rows")).drop("rows")
 

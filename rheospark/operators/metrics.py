@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggs import grouped_spearman, mode, pct
+from .aggs import corr, grouped_spearman, mode, pct
 
 
 def error_aggs(y: str, p: str, w: str | None = None) -> list[Column]:
@@ -117,7 +117,7 @@ def stage2_capture(df: DataFrame, order: str, stage2: str, residual: str) -> Dat
 def deviation_corr(df: DataFrame, by: str, y: str, p: str, least: int = 3) -> DataFrame:
     w = Window.partitionBy(by)
     rows = df.withColumns({"_n": F.count("*").over(w), "_y": F.col(y) - F.avg(y).over(w), "_p": F.col(p) - F.avg(p).over(w)}).where(F.col("_n") >= least)
-    return rows.agg(F.count("*").alias("n"), F.corr("_y", "_p").alias("deviation_corr"), (F.stddev_pop("_p") / F.nullif(F.stddev_pop("_y"), F.lit(0.0))).alias("std_ratio"))
+    return rows.agg(F.count("*").alias("n"), corr("_y", "_p").alias("deviation_corr"), (F.stddev_pop("_p") / F.nullif(F.stddev_pop("_y"), F.lit(0.0))).alias("std_ratio"))
 
 
 def bucket_report(df: DataFrame, buckets: list[str], y: str, p: str, reason: str) -> DataFrame:
@@ -192,7 +192,7 @@ def gap_report(df: DataFrame, train: Column, branch: str, y: str, p: str, q: flo
 
 def stability_audit(df: DataFrame, fold: str, columns: list[str], y: str) -> DataFrame:
     """Correlation of each expert with the label per fold: mean, spread, CV %, whether the sign flips, and the dominant one."""
-    per = df.groupBy(fold).agg(*[F.corr(c, y).alias(c) for c in columns]).unpivot([fold], columns, "expert", "r")
+    per = df.groupBy(fold).agg(*[corr(c, y).alias(c) for c in columns]).unpivot([fold], columns, "expert", "r")
     out = per.groupBy("expert").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.min("r").alias("min"), F.max("r").alias("max"))
     out = out.withColumns({"cv_pct": 100.0 * F.col("std") / F.nullif(F.abs("mean"), F.lit(0.0)), "sign_flip": F.col("min") * F.col("max") < 0})
     return out.withColumn("dominant", F.abs("mean") == F.max(F.abs("mean")).over(Window.partitionBy()))
