@@ -58,6 +58,13 @@ def drop_clashes(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) ->
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own or c.lower() in kept])
 
 
+def least_hashes(rows: DataFrame, count: int, most: int, hashed: str, *ties: str) -> DataFrame:
+    """The `most` of `count` rows with the least 64-bit hash. Only hashes so low that about three times as many remain are
+    sorted, so that the task that takes the first ones reads a bounded number of rows, however many there are."""
+    low = F.col(hashed) / 2.0**64 + 0.5 <= 3.0 * most / max(count, 1)
+    return rows.where(low).orderBy(hashed, *ties).limit(most)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ K, BIN_BITS, PICK = 3, 6, 2
 POSITION = 30
 #: Bytes of text in a bucket of neighbouring documents, about; with more bytes than MOST_BUCKETS buckets hold so, they
 #: hold more. The table of buckets that is broadcast has at most that many rows of two numbers.
-BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 100_000
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 100_000
 
 
 def _let(value: Column, body) -> Column:

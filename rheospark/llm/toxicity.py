@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_clashes, small_arrow_batches, table, written
+from .common import drop_clashes, least_hashes, small_arrow_batches, table, written
 
 #: Letters that look like others, and digits and signs that stand for letters.
 LOOK_ALIKES = dict(zip("аеорсхуіѕјԁһԛԝкмтвναορτυεκιı", "aeopcxyisjdhqwkmtbvaoptuekii", strict=True))
@@ -178,8 +178,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lab
     picked = None
     for value in (0, 1):
         of_class = usable.where(F.col("toxic") == value)
-        weight = max(1.0, of_class.count() / most)
-        rows = of_class.orderBy(F.xxhash64(key), key).limit(most).withColumn("weight", F.lit(weight))
+        count = of_class.count()
+        rows = least_hashes(of_class.withColumn("_h", F.xxhash64(key)), count, most, "_h", key).drop("_h")
+        rows = rows.withColumn("weight", F.lit(max(1.0, count / most)))
         picked = rows if picked is None else picked.unionByName(rows)
     # what is broadcast has at most 2 * most rows of a key, a label and a weight
     return docs.join(F.broadcast(picked), key).select("text", "toxic", "weight")
