@@ -133,7 +133,7 @@ def qm_category(text: Column, material: Column) -> Column:
         .when(t.contains("BET") & (kind == "silica"), "silica_bet")
         .when(t.contains("CTAB") & (kind == "silica"), "silica_ctab")
         .when(t.contains("MOISTURE"), "moisture")
-        .when(t.contains("MOONEY") | t.contains("VISCOSITY"), "polymer_viscosity")
+        .when(t.contains("VISCOSITY"), "polymer_viscosity")
     )
 
 
