@@ -171,9 +171,31 @@ def feature_audit(df: DataFrame, columns: list[str], label: str, row: str, most_
     return out.withColumns({"score": score, "drop_reason": reason}).select("feature", "missing_rate", "dominant_rate", "n_distinct", "rho", "score", "drop_reason")
 
 
-def grouped_spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
-    """Spearman correlation with mean ranks, per key; null for constant sides."""
-    ranked = df.select(*keys, avg_rank(F.col(x), keys).alias("_x"), avg_rank(F.col(y), keys).alias("_y"))
+def value_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:
+    """Mean rank of each distinct value of a key (keys, value, out), for keys too large for a window.
+
+    Values fall into buckets between approximate percentiles of their key; a window ranks inside a bucket, and sums of the
+    buckets before it, at most `buckets` per key, are added. Ranks are exact, however good the percentiles are."""
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, points, 10_000).alias("_e"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = (counts.join(edges, keys) if keys else counts.join(F.broadcast(edges))).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sums, [*keys, "_b"])
+    return ranked.select(*keys, value, (F.col("_off") + F.col("_in") + (F.col("_n") + 1) / 2.0).alias(out))
+
+
+def grouped_spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho", large: bool = True) -> DataFrame:
+    """Spearman correlation with mean ranks, per key; null for constant sides. large=False ranks each key in one window,
+    which is cheaper where keys are many and small, such as orders."""
+    if large:
+        rows = df.select(*keys, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
+        ranked = rows.join(value_ranks(rows, keys, "_vx", "_x"), [*keys, "_vx"]).join(value_ranks(rows, keys, "_vy", "_y"), [*keys, "_vy"])
+    else:
+        ranked = df.select(*keys, avg_rank(F.col(x), keys).alias("_x"), avg_rank(F.col(y), keys).alias("_y"))
     return ranked.groupBy(*keys).agg(corr("_x", "_y").alias(out))
 
 
@@ -188,8 +210,10 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str
 
 def prune_correlated(df: DataFrame, ranked: list[str], most: float = 0.9, keep: int = 60) -> list[str]:
     """Features in order of rank, without those whose rank correlation with one kept before is too high."""
-    ranks = df.select(*[avg_rank(F.col(c), []).alias(c) for c in ranked])
-    rho = correlation_matrix(ranks, ranked)
+    ranks = df
+    for c in ranked:
+        ranks = ranks.join(value_ranks(df, [], c, f"_r_{c}"), c, "left")
+    rho = correlation_matrix(ranks.select(*[F.col(f"_r_{c}").alias(c) for c in ranked]), ranked)
     kept: list[str] = []
     for c in ranked:
         if len(kept) < keep and all(abs(rho.get((k, c), rho.get((c, k))) or 0.0) < most for k in kept):

@@ -80,7 +80,7 @@ def step_direction(df: DataFrame, order: str, seq: str, y: str, p: str) -> DataF
 def order_spearman(df: DataFrame, order: str, y: str, p: str, least: int = 3) -> DataFrame:
     """Mean over orders of the rank correlation, orders with enough rows; orders of constant sides don't count."""
     counts = df.groupBy(order).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rho = grouped_spearman(df.join(counts, order, "left_semi"), [order], y, p).where("rho is not null")
+    rho = grouped_spearman(df.join(counts, order, "left_semi"), [order], y, p, large=False).where("rho is not null")
     return rho.agg(F.count("*").alias("n_orders"), F.avg("rho").alias("spearman"))
 
 
