@@ -85,14 +85,14 @@ def cut_pieces(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
     return with_global_start(tokens).select("doc_id", "start", "n_tokens", "width", "ids").mapInArrow(cut, schema)
 
 
-def sequences(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """sequence_id, n_tokens, ids of every sequence (ids not padded). Only sequences that no task has whole are shuffled."""
+def window_parts(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
+    """sequence_id, offset, ids: sequences whole where a task has all of one, else its parts (at boundaries of tasks)."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, begin = b"", -1  # ids that still wait for more, and where in the stream they begin
         for batch in batches:
             rows: list[tuple] = []
-            for start, n, width, ids in zip(*(batch.column(c).to_pylist() for c in ("start", "n_tokens", "width", "ids")), strict=True):
+            for start, width, ids in zip(*(batch.column(c).to_pylist() for c in ("start", "width", "ids")), strict=True):
                 if begin < 0 or begin + len(kept) // width != start:
                     if kept:
                         rows.append((begin // size, begin % size, kept))
@@ -107,14 +107,19 @@ def sequences(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
         if kept:
             yield _pieces([(begin // size, begin % size, kept)])
 
-    pieces = with_global_start(tokens).select("start", "n_tokens", "width", "ids").mapInArrow(fill, "sequence_id long, offset long, ids binary")
-    pieces = written(pieces.withColumn("width", F.lit(_width(tokens))), "pieces")
+    return with_global_start(tokens).select("start", "width", "ids").mapInArrow(fill, "sequence_id long, offset long, ids binary")
+
+
+def sequences(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
+    """sequence_id, n_tokens, width, ids of every sequence (ids not padded). Only sequences that no task has whole are
+    shuffled."""
+    parts = window_parts(tokens, size).withColumn("width", F.lit(id_width(tokens)))
     whole = F.length("ids") == size * F.col("width")
     joined = (
-        pieces.where(~whole).groupBy("sequence_id", "width").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+        parts.where(~whole).groupBy("sequence_id", "width").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
         .select("sequence_id", F.expr("aggregate(transform(p, x -> x.ids), cast('' as binary), (a, x) -> a || x)").alias("ids"), "width")
     )
-    both = pieces.where(whole).select("sequence_id", "ids", "width").unionByName(joined)
+    both = parts.where(whole).select("sequence_id", "ids", "width").unionByName(joined)
     return both.select("sequence_id", (F.length("ids") / F.col("width")).cast("long").alias("n_tokens"), "width", "ids")
 
 
@@ -123,7 +128,8 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["sequence_id", "offset", "ids"])
 
 
-def _width(tokens: DataFrame) -> int:
+def id_width(tokens: DataFrame) -> int:
+    """Bytes of an id."""
     row = tokens.select("width").first()
     return row[0] if row else 4
 

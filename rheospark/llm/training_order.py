@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, small_arrow_batches, table
-from .packing import SEQUENCE, sequences, token_table
+from .packing import SEQUENCE, id_width, token_table, window_parts
 
 KEY, ROUNDS, SHARD_ROWS, PAD_ID = 20240607, 6, 256, 0
 MANIFEST = "sequences long, size int, width int, shard_rows long, key long"
@@ -60,36 +60,61 @@ def slot(sequence_id: Column, n: int, key: int = KEY) -> Column:
     return F.pandas_udf(make, "long")(sequence_id)
 
 
-def write_shards(found: DataFrame, path: str, size: int = SEQUENCE, key: int = KEY, shard_rows: int = SHARD_ROWS) -> int:
-    """found: sequence_id (0 .. n - 1, each once), n_tokens, width, ids. Write path/shard=S/part-*.txt and path/manifest.
+def _pack(ids: bytes, width: int) -> bytes:
+    """Compressed for the shuffle; first the low bytes of all ids, then the next ones, as those repeat more."""
+    return zlib.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 1)
 
-    Returns the number of sequences. An empty table gives a manifest of 0 sequences and no shard.
+
+def _unpack(packed: bytes, width: int) -> bytes:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(width, -1).T.tobytes()
+
+
+def write_shards(tokens: DataFrame, path: str, size: int = SEQUENCE, key: int = KEY, shard_rows: int = SHARD_ROWS) -> int:
+    """tokens: a token_table(). Write path/data/shard=S/part-*.txt and path/manifest.
+
+    Parts of sequences go to the task of their shard, the range of slots that the permutation deals them to, and meet there
+    in order of slot and offset. Returns the number of sequences. An empty table gives a manifest of 0 sequences.
     """
-    spark = found.sparkSession
-    n, width = found.agg(F.count("*"), F.max("width")).first()
+    spark = tokens.sparkSession
+    n = -(-(tokens.agg(F.sum("n_tokens")).first()[0] or 0) // size)
+    width = id_width(tokens)
     small_arrow_batches(spark, 1000)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = permute(batch.column(0).to_numpy(), n, key)
-            small = [zlib.compress(x, 1) for x in batch.column(1).to_pylist()]  # what the shuffle moves
-            yield pa.RecordBatch.from_arrays([pa.array(slots // shard_rows), pa.array(slots), pa.array(small, pa.binary())], ["shard", "slot", "ids"])
+            small = [_pack(x, width) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(slots // shard_rows), pa.array(slots), batch.column(1), pa.array(small, pa.binary())], ["shard", "slot", "offset", "ids"])
 
     def pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filler = np.array([PAD_ID], f"<u{width}").tobytes()
+        record = lambda x: x + filler * (size - len(x) // width)
+        now, ids = None, b""  # (shard, slot) and what has been read of it
         for batch in batches:
-            records = [(x := zlib.decompress(r)) + filler * (size - len(x) // width) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(records, pa.binary())], ["shard", "record"])
+            shards, slots, records = [], [], []
+            for shard, slot, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if now != (shard, slot):
+                    if now:
+                        shards.append(now[0])
+                        slots.append(now[1])
+                        records.append(record(ids))
+                    now, ids = (shard, slot), b""
+                ids += _unpack(packed, width)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(slots, pa.int64()), pa.array(records, pa.binary())], ["shard", "slot", "record"])
+        if now:
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in now), pa.array([record(ids)], pa.binary())], ["shard", "slot", "record"])
 
     if n:
         shards = -(-n // shard_rows)
         parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 64))
-        dealt = found.select("sequence_id", "ids").mapInArrow(deal, "shard long, slot long, ids binary")
-        ranged = dealt.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-        records = ranged.select("shard", "ids").mapInArrow(pad, "shard long, record binary")
+        dealt = window_parts(tokens, size).mapInArrow(deal, "shard long, slot long, offset long, ids binary")
+        sorted_ = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "slot", "offset")
+        records = sorted_.select("shard", "slot", "ids").mapInArrow(pad, "shard long, slot long, record binary")
+        # they are in order, but the writer sorts by shard alone if it can't know that
+        records = records.sortWithinPartitions("shard", "slot")
         # the bytes of a binary go through a string unchanged; each record ends with a line feed
         records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/data")
-    spark.createDataFrame([(n, size, width or 4, shard_rows, key)], MANIFEST).coalesce(1).write.json(f"{path}/manifest")
+    spark.createDataFrame([(n, size, width, shard_rows, key)], MANIFEST).coalesce(1).write.json(f"{path}/manifest")
     return n
 
 
@@ -127,7 +152,7 @@ def materialise(docs: DataFrame, path: str, size: int = SEQUENCE, key: int = KEY
     Null texts count as empty, repeated rows are rows like any other, extra columns aren't read, an empty table gives an
     empty manifest. Returns the number of sequences.
     """
-    return write_shards(sequences(token_table(docs), size), path, size, key)
+    return write_shards(token_table(docs), path, size, key)
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

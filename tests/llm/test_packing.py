@@ -71,7 +71,7 @@ def test_shards_round_trip(spark, whole, tmp_path):
     tokens = p.token_table(docs)
     found = p.sequences(tokens, 32)
     path = f"file://{tmp_path}/shards"
-    n = t.write_shards(found, path, 32, shard_rows=4)
+    n = t.write_shards(tokens, path, 32, shard_rows=4)
     want = {r.sequence_id: np.frombuffer(r.ids, "<u2").tolist() for r in found.collect()}
     assert n == len(want) == -(-sum(len(whole(x)) for _, x in rows) // 32)
     got = t.read_shards(spark, path).collect()
