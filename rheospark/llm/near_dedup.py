@@ -9,12 +9,14 @@ by 512 bits, and what may still be similar enough by the shingles themselves.
 
 A run of texts with one key gives its links as a minimum spanning tree of their bit distances, so that a dense group
 gives as many links as it has texts; short runs give all pairs. Runs too long for one task are parted into blocks, and
-pairs of blocks are tasks of their own: their trees together connect what the whole run's tree does.
+pairs of blocks are tasks of their own: their trees together connect what the whole run's tree does. A pair of blocks that
+is still too long is parted again, until none is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +35,7 @@ WORDS, TABLES, SEGMENT = 8, 8, 23
 #: Most differing bits of the first 128, and of all 512, for texts that may be similar enough: each more than two
 #: standard deviations above what a similarity of 0.8 gives.
 NEAR_128, NEAR_512 = 28, 96
-#: Runs up to this give all their pairs; runs over LARGE_RUN are parted into blocks of that size.
+#: Runs up to this give all their pairs; runs over 2 * LARGE_RUN are parted into blocks of about half of it.
 SHORT_RUN, LARGE_RUN = 12, 4096
 
 
@@ -105,8 +107,8 @@ def _tree(p: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key to candidate links u, v; rows of too long runs come out as u, null and their key."""
+def _run_links(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key to candidate links u, v; rows of runs over 2 * large come out as u, null and their key."""
 
     def out(u, v, key) -> pa.RecordBatch:
         found = pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}).group_by(["u", "v"]).aggregate([]) if len(u) else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
@@ -127,7 +129,7 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 u.append(node[at + i][near])
                 v.append(node[at + j][near])
         for at, size in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-            if size > 2 * LARGE_RUN:
+            if size > 2 * large:
                 yield spilled(keys[at : at + size], node[at : at + size])
                 continue
             edges = np.array(_tree(p[at : at + size], NEAR_128), np.int64).reshape(-1, 2) + at
@@ -151,7 +153,7 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield from finish(rows[:last])
         kept = rows[last:]
-        if len(kept) > 2 * LARGE_RUN:
+        if len(kept) > 2 * large:
             going = kept[0, 0]
             yield spilled(kept[:, 0], kept[:, 3])
             kept = kept[:0]
@@ -162,23 +164,29 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(keyed: DataFrame) -> DataFrame:
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return written(dealt.mapInArrow(_run_links, "u long, v long, key long"), "candidates")
+    return written(dealt.mapInArrow(partial(_run_links, large=LARGE_RUN), "u long, v long, key long"), "candidates")
+
+
+def _parted(spilled: DataFrame, prints: DataFrame, turn: int) -> DataFrame:
+    """spilled: key, node of too long runs. Their rows dealt to pairs of blocks, of about LARGE_RUN rows a pair; every two
+    nodes of a run meet in at least one pair. Blocks differ by turn."""
+    sizes = spilled.groupBy("key").agg(F.ceil(F.count("*") / (LARGE_RUN / 2)).cast("int").alias("blocks"))
+    octets = lambda i: F.concat(*[F.substring("print", 8 * i + j, 1) for j in range(8, 0, -1)])  # noqa: E731  reverse() would take bytes for UTF-8
+    word = lambda i: F.conv(F.hex(octets(i)), 16, -10).cast("long").alias(f"p{i + 1}")
+    rows = spilled.join(sizes, "key").join(prints.select("node", word(0), word(1)), "node")
+    block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own != other")
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit(turn)).alias("key"), "p1", "p2", "node")
 
 
 def candidate_links(prints: DataFrame) -> DataFrame:
     """prints: node, print (64 bytes). Distinct links u, v of nodes whose first 128 bits are near enough."""
     small_arrow_batches(prints.sparkSession, 20_000)
     found = _links(prints.mapInArrow(_make_keys, "key long, p1 long, p2 long, node long"))
-    links = found.where("v is not null").select("u", "v")
-    spilled = found.where("v is null").select("key", F.col("u").alias("node"))
-    if not spilled.isEmpty():
-        sizes = spilled.groupBy("key").agg(F.ceil(F.count("*") / LARGE_RUN).cast("int").alias("blocks"))
-        word = lambda i: F.conv(F.hex(F.reverse(F.substring("print", 8 * i + 1, 8))), 16, -10).cast("long").alias(f"p{i + 1}")
-        rows = spilled.join(sizes, "key").join(prints.select("node", word(0), word(1)), "node")
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "p1", "p2", "node")
-        links = links.unionByName(_links(rows).where("v is not null").select("u", "v"))
+    links, turn = found.where("v is not null").select("u", "v"), 0
+    while not (spilled := found.where("v is null").select("key", F.col("u").alias("node"))).isEmpty():
+        found, turn = _links(_parted(spilled, prints, turn)), turn + 1
+        links = links.unionByName(found.where("v is not null").select("u", "v"))
     return links.distinct()
 
 

@@ -105,6 +105,40 @@ def test_long_runs_are_parted(spark, monkeypatch):
     assert reach(whole) == set(range(60))
 
 
+def test_pairs_of_blocks_are_parted_until_all_fit(spark, monkeypatch):
+    """Chains of near prints around one base, in runs many times as long as a task takes, against all pairs."""
+    monkeypatch.setattr(n, "LARGE_RUN", 16)
+    rng = n.np.random.default_rng(3)
+    made, p = [], rng.integers(0, 1 << 63, n.WORDS, dtype=n.np.uint64)
+    spots = rng.permutation(112)
+    for i in range(100):  # each differs from the last in one bit of the first 112
+        p = p.copy()
+        p[spots[i] // 64] ^= n.np.uint64(1 << int(spots[i] % 64))
+        made.append(p)
+    prints = n.np.array(made)
+    df = spark.createDataFrame([(i, bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(prints)], "node long, print binary")
+    far = n.np.bitwise_count(prints[:, None, :2] ^ prints[None, :, :2]).sum(axis=2, dtype=n.np.int64)
+    links = {tuple(r) for r in n.candidate_links(df).collect()}
+    assert all(far[u, v] <= n.NEAR_128 for u, v in links)
+    # a task that holds neighbours i and i + 1 must connect them within itself: by edges of one bit, its tree's shortest
+    assert {(i, i + 1) for i in range(99)} <= links
+
+
+def test_no_pair_of_blocks_is_lost(spark):
+    """12,288 prints that agree in the first table's bits only, so that it has long runs. Twins differ in 16 of 128 bits, and no
+    other table has a key of both."""
+    rng, half = n.np.random.default_rng(4), 6144
+    bits = rng.integers(0, 2, (half, 64 * n.WORDS), dtype=n.np.uint8)
+    bits[:, : 2 * n.SEGMENT] = bits[0, : 2 * n.SEGMENT]
+    twins = bits.copy()
+    twins[:, 128:] = rng.integers(0, 2, (half, 64 * n.WORDS - 128), dtype=n.np.uint8)
+    twins[:, [*range(46, 54), *range(92, 100)]] ^= 1
+    prints = n.np.packbits(n.np.concatenate([bits, twins]), axis=1, bitorder="little")
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(prints)], "node long, print binary")
+    links = {tuple(r) for r in n.candidate_links(df).collect()}
+    assert sum((i, i + half) in links for i in range(half)) == half
+
+
 def test_mix_and_packing_take_what_is_left(stages):
     before, mixed = rows(stages["near_dedup"]), stages["mix_sources"].collect()
     assert {r.doc_id for r in mixed} <= set(before)
