@@ -7,14 +7,18 @@ With a bit error of 0.15 two segments share a key with a probability of 0.61, so
 of a hundred just at 0.8, one at 0.83 and fewer above. What shares a key is compared by 128 bits in its task, what remains
 by 512 bits, and what may still be similar enough by the shingles themselves.
 
-A run of texts with one key gives its links as a minimum spanning tree of their bit distances, so that a dense group
-gives as many links as it has texts; short runs give all pairs. Runs too long for one task are parted into blocks, and
-pairs of blocks are tasks of their own: their trees together connect what the whole run's tree does. A pair of blocks that
+Short runs of texts with one key give all their pairs. A longer run falls into crowds, which are connected by near enough
+bits. A small crowd gives all its near pairs, a large one at first a minimum spanning tree of its bit distances, so that
+most dense groups need as many links as they have texts. Once the trees' links are verified, each crowd whose texts are
+not all in one group gives every near pair of texts of different groups, and these are verified too: the groups are those
+that all near pairs give. Runs too long for one task are parted into blocks, and
+pairs of blocks are tasks of their own. A pair of blocks that
 is still too long is parted again, until none is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -35,7 +39,7 @@ WORDS, TABLES, SEGMENT = 8, 8, 23
 #: Most differing bits of the first 128, and of all 512, for texts that may be similar enough: each more than two
 #: standard deviations above what a similarity of 0.8 gives.
 NEAR_128, NEAR_512 = 28, 96
-#: Runs up to this give all their pairs; runs over 2 * LARGE_RUN are parted into blocks of about half of it.
+#: Runs and crowds up to this give all their pairs; runs over 2 * LARGE_RUN are parted into blocks of about half of it.
 SHORT_RUN, LARGE_RUN = 12, 4096
 
 
@@ -89,12 +93,12 @@ def _make_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[valid]), *map(pa.array, (halves[owner, 0], halves[owner, 1], node[owner]))], ["key", "p1", "p2", "node"])
 
 
-def _tree(p: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges up to `most` bits of a minimum spanning tree of the rows of two words."""
+def _tree(p: np.ndarray, most: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """Edges up to `most` bits of a minimum spanning tree of the rows of two words, and the rows of each part they connect."""
     far = np.full(len(p), 1000)
     parent = np.zeros(len(p), np.int64)
     left = np.ones(len(p), bool)
-    at, edges = 0, []
+    at, edges, order, cuts = 0, [], [0], []
     for _ in range(len(p) - 1):
         left[at] = False
         d = np.bitwise_count(p ^ p[at]).sum(axis=1, dtype=np.int64)
@@ -104,18 +108,26 @@ def _tree(p: np.ndarray, most: int) -> list[tuple[int, int]]:
         at = int(rest[far[rest].argmin()])
         if far[at] <= most:
             edges.append((at, int(parent[at])))
-    return edges
+        else:  # all that is left is farther from all parts so far
+            cuts.append(len(order))
+        order.append(at)
+    return edges, np.split(np.array(order, np.int64), cuts)
 
 
 def _run_links(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key to candidate links u, v; rows of runs over 2 * large come out as u, null and their key."""
+    """From rows sorted by key to candidate links u, v; rows of runs over 2 * large come out as u and their key, those of large
+    crowds as u and the crowd's name, a hash of its nodes."""
 
     def out(u, v, key) -> pa.RecordBatch:
         found = pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}).group_by(["u", "v"]).aggregate([]) if len(u) else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        return pa.RecordBatch.from_arrays([found["u"].combine_chunks(), found["v"].combine_chunks(), pa.nulls(len(found), pa.int64())], ["u", "v", "key"])
+        return pa.RecordBatch.from_arrays([found["u"].combine_chunks(), found["v"].combine_chunks(), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())], ["u", "v", "key", "crowd"])
 
     def spilled(keys, nodes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(keys)], ["u", "v", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(keys), pa.nulls(len(nodes), pa.int64())], ["u", "v", "key", "crowd"])
+
+    def crowded(nodes) -> pa.RecordBatch:
+        name = int.from_bytes(hashlib.blake2b(np.sort(nodes).tobytes(), digest_size=8).digest(), "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.nulls(len(nodes), pa.int64()) for _ in range(2)), pa.array(np.full(len(nodes), name))], ["u", "v", "key", "crowd"])
 
     def finish(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, p, node = rows[:, 0], rows[:, 1:3].view(np.uint64), rows[:, 3]
@@ -132,9 +144,18 @@ def _run_links(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.Rec
             if size > 2 * large:
                 yield spilled(keys[at : at + size], node[at : at + size])
                 continue
-            edges = np.array(_tree(p[at : at + size], NEAR_128), np.int64).reshape(-1, 2) + at
+            edges, crowds = _tree(p[at : at + size], NEAR_128)
+            edges = np.array(edges, np.int64).reshape(-1, 2) + at
             u.append(node[edges[:, 0]])
             v.append(node[edges[:, 1]])
+            for crowd in (at + c for c in crowds if len(c) > 2):
+                if len(crowd) > SHORT_RUN:
+                    yield crowded(node[crowd])
+                    continue
+                i, j = (crowd[x] for x in np.triu_indices(len(crowd), 1))
+                near = np.bitwise_count(p[i] ^ p[j]).sum(axis=1, dtype=np.int64) <= NEAR_128
+                u.append(node[i[near]])
+                v.append(node[j[near]])
         yield out(np.concatenate(u), np.concatenate(v), None)
 
     kept = np.empty((0, 4), np.int64)
@@ -164,7 +185,7 @@ def _run_links(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.Rec
 def _links(keyed: DataFrame) -> DataFrame:
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return written(dealt.mapInArrow(partial(_run_links, large=LARGE_RUN), "u long, v long, key long"), "candidates")
+    return written(dealt.mapInArrow(partial(_run_links, large=LARGE_RUN), "u long, v long, key long, crowd long"), "candidates")
 
 
 def _parted(spilled: DataFrame, prints: DataFrame, turn: int) -> DataFrame:
@@ -179,15 +200,65 @@ def _parted(spilled: DataFrame, prints: DataFrame, turn: int) -> DataFrame:
     return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit(turn)).alias("key"), "p1", "p2", "node")
 
 
-def candidate_links(prints: DataFrame) -> DataFrame:
-    """prints: node, print (64 bytes). Distinct links u, v of nodes whose first 128 bits are near enough."""
+def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """prints: node, print (64 bytes). Distinct links u, v of nodes whose first 128 bits are near enough; the large crowds as
+    distinct rows crowd, node: of these, links has a tree only."""
     small_arrow_batches(prints.sparkSession, 20_000)
-    found = _links(prints.mapInArrow(_make_keys, "key long, p1 long, p2 long, node long"))
-    links, turn = found.where("v is not null").select("u", "v"), 0
-    while not (spilled := found.where("v is null").select("key", F.col("u").alias("node"))).isEmpty():
+    found, every, turn = _links(prints.mapInArrow(_make_keys, "key long, p1 long, p2 long, node long")), None, 0
+    while True:
+        every = every.unionByName(found) if every is not None else found
+        spilled = found.where("key is not null").select("key", F.col("u").alias("node"))
+        if spilled.isEmpty():
+            break
         found, turn = _links(_parted(spilled, prints, turn)), turn + 1
-        links = links.unionByName(found.where("v is not null").select("u", "v"))
-    return links.distinct()
+    crowds = every.where("crowd is not null").select("crowd", F.col("u").alias("node"))
+    return every.where("v is not null").select("u", "v").distinct(), crowds.distinct()
+
+
+def candidate_links(prints: DataFrame) -> DataFrame:
+    return candidates(prints)[0]
+
+
+def _crowd_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows crowd, root, node, print sorted by crowd; all pairs of nodes of a crowd with near prints and different roots."""
+
+    def pairs(root: np.ndarray, node: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, v, n = [], [], 0
+        for i in range(len(node)):
+            j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            j = j[np.bitwise_count(p[j, :2] ^ p[i, :2]).sum(axis=1, dtype=np.int64) <= NEAR_128]
+            j = j[np.bitwise_count(p[j] ^ p[i]).sum(axis=1, dtype=np.int64) <= NEAR_512]
+            u.append(np.minimum(node[i], node[j]))
+            v.append(np.maximum(node[i], node[j]))
+            n += len(j)
+            if n and (n > 100_000 or i == len(node) - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+                u, v, n = [], [], 0
+
+    numbers, words = np.empty((0, 3), np.int64), np.empty((0, WORDS), np.uint64)
+    for batch in batches:
+        numbers = np.concatenate([numbers, np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)])
+        words = np.concatenate([words, np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, WORDS)])
+        starts = np.flatnonzero(np.diff(numbers[:, 0], prepend=~numbers[:1, 0])) if len(numbers) else []
+        for at, end in zip(starts[:-1], starts[1:], strict=True):
+            yield from pairs(numbers[at:end, 1], numbers[at:end, 2], words[at:end])
+        if len(starts):
+            numbers, words = numbers[starts[-1] :], words[starts[-1] :]
+    yield from pairs(numbers[:, 1], numbers[:, 2], words)
+
+
+def _across(crowds: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame | None:
+    """Distinct near pairs of nodes of one crowd that are in different groups; None if all crowds are within one."""
+    spark = crowds.sparkSession
+    rooted = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("crowd").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("crowd")
+    rows = written(rooted.join(mixed, "crowd"), "mixed")
+    if rows.isEmpty():
+        return None
+    small_arrow_batches(spark, 5000)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(prints, "node").select("crowd", "root", "node", "print").repartition(parts, "crowd").sortWithinPartitions("crowd")
+    return written(dealt.mapInArrow(_crowd_pairs, "u long, v long").distinct(), "across")
 
 
 def _far(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -201,6 +272,20 @@ def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
 
 
+def _similar(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links u, v of texts that are similar by their shingles."""
+    small_arrow_batches(links.sparkSession, 1000)
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = texts.join(nodes, "node").select("node", F.pandas_udf(_sets, "array<long>")("text").alias("s"))
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    a, b = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s_{n}")) for n in ("u", "v"))
+    common = F.size(F.array_intersect("s_u", "s_v"))
+    similar = common >= SIMILAR * (F.size("s_u") + F.size("s_v") - common)
+    found = written(links.join(a, "u").join(b, "v").where(similar).select("u", "v"), "similar")
+    discard(sets)
+    return found
+
+
 def similar_groups(texts: DataFrame) -> DataFrame:
     """texts: node (long, one number for equal texts), text. Returns node, root for nodes of groups of more than one: texts linked by
     a Jaccard similarity of their five-word shingles of at least 0.8. Texts without words are in no group."""
@@ -208,21 +293,16 @@ def similar_groups(texts: DataFrame) -> DataFrame:
     small_arrow_batches(spark, 1000)
     prints = texts.select("node", "text").mapInArrow(_make_prints, "node long, print binary")
     prints = written(prints.groupBy("node").agg(F.max("print").alias("print")), "prints")
-    links = candidate_links(prints)
+    links, crowds = candidates(prints)
     a, b = (prints.select(F.col("node").alias(n), F.col("print").alias(f"print_{n}")) for n in ("u", "v"))
     far = F.pandas_udf(_far, "long")("print_u", "print_v")
     links = written(links.join(a, "u").join(b, "v").where(far <= NEAR_512).select("u", "v"), "near")
-    small_arrow_batches(spark, 1000)
-    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = texts.join(nodes, "node").select("node", F.pandas_udf(_sets, "array<long>")("text").alias("s"))
-    sets = written(sets.dropDuplicates(["node"]), "sets")
-    a, b = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s_{n}")) for n in ("u", "v"))
-    common = F.size(F.array_intersect("s_u", "s_v"))
-    similar = common >= SIMILAR * (F.size("s_u") + F.size("s_v") - common)
-    verified = links.join(a, "u").join(b, "v").where(similar).select("u", "v")
+    verified = _similar(links, texts)
     roots = components(verified)
-    for spent in (prints, sets):
-        discard(spent)
+    across = _across(crowds, roots, prints)
+    if across is not None:
+        roots = components(verified.unionByName(_similar(across, texts)))
+    discard(prints)
     return roots
 
 

@@ -139,6 +139,39 @@ def test_no_pair_of_blocks_is_lost(spark):
     assert sum((i, i + half) in links for i in range(half)) == half
 
 
+def test_dense_group_at_the_limit(spark):
+    """160 copies of a text with four edits each, of which few pairs are similar enough: the groups that all pairs with a
+    common key, near bits and enough common shingles give."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(300)]
+    texts = {}
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(300), 4):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    sets = {i: n.np.unique(shingle_hashes(t, 5)) for i, t in texts.items()}
+    prints = n.np.array([n.long_print(sets[i]) for i in texts])
+    keys = n.segment_keys(n._segments(prints))
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in range(a + 1, len(texts)):
+            bits = n.np.bitwise_count(prints[a] ^ prints[b])
+            shared = [bool(set(keys[a, s]) & set(keys[b, s])) for s in range(2 * n.TABLES)]
+            met = any(x and y for x, y in zip(shared[0::2], shared[1::2], strict=True))
+            common = len(n.np.intersect1d(sets[a], sets[b]))
+            if met and bits[:2].sum() <= n.NEAR_128 and bits.sum() <= n.NEAR_512 and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    got = {r.node: r.root for r in n.similar_groups(spark.createDataFrame(list(texts.items()), "node long, text string")).collect()}
+    exact = groups(texts)
+    lost = sum(got.get(i, i) != r for i, r in exact.items())
+    print("texts in a group", sum(i != r for i, r in exact.items()), "with another root than by all pairs", lost)
+    assert {i: got.get(i, i) for i in texts} == root and any(i != r for i, r in root.items())
+
+
 def test_mix_and_packing_take_what_is_left(stages):
     before, mixed = rows(stages["near_dedup"]), stages["mix_sources"].collect()
     assert {r.doc_id for r in mixed} <= set(before)
