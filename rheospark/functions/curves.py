@@ -5,7 +5,7 @@ An index is a position from 0; null means "not found". Nulls in an array are mis
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,73 +131,107 @@ def fill_by_peer_mean(points: DataFrame, group: list[str], time: str, value: str
 
 
 def first_drop(a: Column, threshold: float = -5.0, least: int = 10, floor: int = 25, default: int = 30) -> Column:
-    """Index of the first step below the threshold (0 for short curves or none), then `default` if below `floor`."""
-    found = F.when(F.size(a) < least, 0).otherwise(F.coalesce(first_index(diffs(a), lambda d, i: d < threshold), F.lit(0)))
+    """CV8: index behind the first step below the threshold (0 for short curves or none), then `default` if below `floor`."""
+    found = F.when(F.size(a) < least, 0).otherwise(F.coalesce(first_index(diffs(a), lambda d, i: d < threshold) + 1, F.lit(0)))
     return let(found, lambda i: F.when(i < floor, default).otherwise(i))
 
 
 def plateau_start(temp: Column, target: Column, start: Column, near: float = 20.0, hold: float = 30.0, width: int = 5, default: int = 10) -> Column:
-    """First index from start on at target - near whose window stays at target - hold (the tail isn't tested)."""
+    """CV9: first index from start on at target - near whose window stays at target - hold (not tested where the window
+    would reach the end); else start + default, at most the last index."""
     def holds(v: Column, i: Column) -> Column:
-        return (i + width > F.size(v)) | F.forall(F.slice(v, i + 1, width), lambda x: x >= target - hold)
+        return (i + width >= F.size(v)) | F.forall(F.slice(v, i + 1, width), lambda x: x >= target - hold)
 
-    return F.coalesce(let(temp, lambda v: first_index(v, lambda x, i: (i >= start) & (x >= target - near) & holds(v, i))), start + default)
+    return F.coalesce(let(temp, lambda v: first_index(v, lambda x, i: (i >= start) & (x >= target - near) & holds(v, i))), F.least(start + default, F.size(temp) - 1))
 
 
 def discharge_start(temp: Column, start: Column) -> Column:
-    """A drop of 10 over 5 s that becomes 15 over 15 s (+ 2); else a step below -10; else below -5; else 5 from the end."""
+    """CV10: a fall of 10 over 5 s that becomes 15 over 15 s (+ 2); else a step below -10; else below -5; else 5 from the
+    end. The last index if start is within 5 of the end."""
     def find(v: Column) -> Column:
         n = F.size(v)
-        fall = lambda i, k: F.get(v, i) - F.get(v, F.least(i + k, n - 1))
-        long = first_index(v, lambda x, i: (i >= start) & (i + 5 < n) & (fall(i, 5) >= 10) & (fall(i, 15) >= 15)) + 2
-        step = lambda t: first_index(v, lambda x, i: (i >= start) & (i + 1 < n) & (fall(i, 1) > t))
-        return F.coalesce(long, step(10), step(5), F.greatest(n - 5, F.lit(0)))
+        fall = lambda i, k: F.get(v, i) - F.get(v, i + k)
+        long = first_index(v, lambda x, i: (i >= start) & (i < n - 15) & (fall(i, 5) >= 10) & (fall(i, 15) >= 15)) + 2
+        step = lambda t: first_index(v, lambda x, i: (i > start) & (i < n - 1) & (fall(i, 1) > t))
+        return F.when(start >= n - 5, n - 1).otherwise(F.coalesce(long, step(10), step(5), F.greatest(start + 1, n - 5)))
 
     return let(temp, find)
 
 
 def bottom_start(temp: Column, start: Column) -> Column:
-    """From the least of the next 80 s the first value 3 above it within 100 s."""
+    """CV11: from the first least value of the next 80 s on, the first value 3 above it within 100 s (else where it is);
+    behind start and before the end."""
     def find(v: Column) -> Column:
+        n = F.size(v)
         window = part(v, start, start + 80)
         low = F.array_min(window)
-        at = start + F.array_position(window, low).cast("int") - 1
-        return let(at, lambda i: F.coalesce(first_index(v, lambda x, j: (j >= i) & (j < i + 100) & (x >= low + 3)), i))
+        at = F.coalesce(start + F.array_position(window, low).cast("int") - 1, start)
+        rise = let(at, lambda i: F.coalesce(first_index(v, lambda x, j: (j > i) & (j < i + 100) & (x >= low + 3)), i))
+        return F.when(start >= n - 3, n - 1).otherwise(F.greatest(start + 1, F.least(rise, n - 1)))
 
     return let(temp, find)
 
 
 def bottom_end(temp: Column, power: Column, start: Column) -> Column:
-    """The earlier of the last power of 50 and more and the largest drop over 5, both more than 5 s after start."""
-    last = last_index(power, lambda x, i: (i > start + 5) & (x >= 50))
+    """CV12: from start on, the earlier of what follows the last power of 50 and more and what follows the largest drop over
+    5, each only if more than 5 s after start; else the end."""
+    def find(v: Column) -> Column:
+        n = F.size(v)
+        active = F.coalesce(last_index(power, lambda x, i: (i >= start) & (x >= 50)) + 1, n)
+        steps = F.transform(F.filter(indices(n - 1), lambda i: i >= start), lambda i: F.struct((F.get(v, i + 1) - F.get(v, i)).alias("d"), i.alias("i")))
+        least = F.array_min(F.filter(steps, lambda x: x["d"] < -5))
+        late = lambda x: F.when(x > start + 5, x)
+        return F.when(start >= n - 5, n).otherwise(F.coalesce(F.least(late(active), late(least["i"] + 1), n), n))
 
-    def drop(d: Column) -> Column:
-        least = F.array_min(F.transform(F.filter(indices(F.size(d)), lambda i: i > start + 5), lambda i: F.struct(F.get(d, i).alias("d"), i.alias("i"))))
-        return F.when(least["d"] < -5, least["i"])
+    return let(temp, find)
 
-    return F.coalesce(F.least(last, let(diffs(temp), drop)), F.size(temp) - 1)
 
+def stage_bounds(df: DataFrame, temp: str, ram: str, power: str, target: Column, oil: Column, oil_start: Column | None = None, oil_end: Column | None = None) -> DataFrame:
+    """CV13: t1 .. t5 (ends of loading, dry, oil, wet and plateau), bottom_start and bottom_end of each curve.
 
-def stage_bounds(df: DataFrame, temp: str, ram: str, power: str, target: Column, oil: Column) -> DataFrame:
-    """Starts b0 .. b6 of up to six stages (dry, oil, wet, plateau, discharge, bottom), capped forward and backward so
-    that none begins before the one in front of it or ends after the curve."""
+    oil_start and oil_end are the recipe's step times; missing ones, or such as leave no room on the curve, become t1 + 45
+    and 40 later, and they end 15 and 10 before the curve does. Without oil t2 = t3 = t1 and dry mixing lasts until the
+    plateau, t4. Forward, a stage that wouldn't follow the one in front begins 5 after it; backward, each ends at least 2
+    before the next, from the curve's end on, and none below 0.
+    """
     n = F.size(temp)
-    rows = df.withColumn("b1", first_drop(F.col(ram))).withColumn("b2", F.when(oil, F.least(F.col("b1") + 15, n)).otherwise(F.col("b1")))
-    rows = rows.withColumn("b3", plateau_start(F.col(temp), target, F.col("b2"))).withColumn("b4", discharge_start(F.col(temp), F.least("b3", n)))
-    rows = rows.withColumn("b5", F.when(oil, bottom_start(F.col(temp), F.least("b4", n - 1))).otherwise(n)).withColumn("b6", F.when(oil, bottom_end(F.col(temp), F.col(power), F.least("b5", n - 1))).otherwise(n))
-    names = [f"b{i}" for i in range(7)]
-    rows = rows.withColumn("b0", F.lit(0))
-    for a, b in zip(names, names[1:], strict=False):  # forward: not before the one in front, nor past the curve
-        rows = rows.withColumn(b, F.least(F.greatest(F.coalesce(b, a), a), n))
-    return rows
-
-
-STAGES = ["dry", "oil", "wet", "plateau", "discharge", "bottom"]
-
-
-def stages_long(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row (stage, s, e) for each stage, also those of no length."""
-    cells = F.array(*[F.struct(F.lit(name).alias("stage"), F.col(f"b{i}").alias("s"), F.col(f"b{i + 1}").alias("e")) for i, name in enumerate(STAGES)])
+    none = F.lit(None).cast("double")
+    s, e = (none if c is None else c.cast("double") for c in (oil_start, oil_end))
+    cut = lambda c, room: F.least(c, n - room)
+    after = lambda c, by: F.when(c <= by, by + 5).otherwise(c)
+    rows = df.withColumns({"t1": first_drop(F.col(ram)), "_oil": F.coalesce(oil, F.lit(False))})
+    t = {i: F.col(f"t{i}") for i in range(1, 6)}
+    rows = rows.withColumn("_s", F.when(s.isNull() | (s < t[1] + 10) | (s >= n - 40), t[1] + 45).otherwise(F.bround(s, 0)).cast("int"))
+    rows = rows.withColumn("_e", F.when(e.isNull() | (e <= F.col("_s")) | (e >= n - 20), F.col("_s") + 40).otherwise(F.bround(e, 0)).cast("int"))
+    rows = rows.withColumn("t2", F.when(F.col("_oil"), after(cut(F.col("_s"), 15), t[1])).otherwise(t[1]))
+    rows = rows.withColumn("t3", F.when(F.col("_oil"), after(cut(F.col("_e"), 10), t[2])).otherwise(t[1]))
+    rows = rows.withColumn("t4", after(plateau_start(F.col(temp), target, t[3]), t[3]))
+    rows = rows.withColumn("t5", after(discharge_start(F.col(temp), t[4]), t[4]))
+    rows = rows.withColumn("bottom_start", bottom_start(F.col(temp), t[5]))
+    rows = rows.withColumn("t5", F.least(t[5], n)).withColumn("t4", F.least(t[4], t[5] - 2))
+    rows = rows.withColumn("t3", F.least(t[3], t[4] - 2)).withColumn("t2", F.when(F.col("_oil"), F.least(t[2], t[3] - 2)).otherwise(t[3]))
+    rows = rows.withColumn("t1", F.greatest(F.when(F.col("_oil"), F.least(t[1], t[2] - 2)).otherwise(t[3]), F.lit(0)))
+    for i in range(2, 6):
+        rows = rows.withColumn(f"t{i}", F.greatest(t[i], t[i - 1]))
+    rows = rows.withColumn("bottom_start", F.least(F.greatest(F.col("bottom_start"), t[5]), n))
+    end = bottom_end(F.col(temp), F.col(power), F.col("bottom_start"))
+    return rows.withColumn("bottom_end", F.when(end <= F.col("bottom_start"), n).otherwise(F.least(end, n))).drop("_s", "_e", "_oil")
+
+
+STAGES = ["loading", "dry", "oil", "wet", "plateau", "bottom"]
+
+
+def stage_spans(oil: Column) -> list[tuple[str, Column, Column]]:
+    """(stage, start, end) of each stage, from the columns of stage_bounds()."""
+    t1, t2, t3, t4, t5 = (F.col(f"t{i}") for i in range(1, 6))
+    has = F.coalesce(oil, F.lit(False))
+    spans = [(F.lit(0), t1), (t1, F.when(has, t2).otherwise(t4)), (t2, t3), (t3, F.when(has, t4).otherwise(t3)), (t4, t5), (F.col("bottom_start"), F.col("bottom_end"))]
+    return [(name, a, b) for name, (a, b) in zip(STAGES, spans, strict=True)]
+
+
+def stages_long(df: DataFrame, keep: list[str], oil: Column) -> DataFrame:
+    """CV14: a row (stage, s, e) for each stage, also those of no length."""
+    cells = F.array(*[F.struct(F.lit(name).alias("stage"), a.alias("s"), b.alias("e")) for name, a, b in stage_spans(oil)])
     return df.select(*keep, F.explode(cells).alias("x")).select(*keep, "x.*")
 
 
@@ -230,18 +264,23 @@ def power_metrics(df: DataFrame, power: str, start: Column, end: Column) -> Data
     })
 
 
-def viscosity_metrics(df: DataFrame, power: str, speed: str, spans: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    """Mean apparent viscosity power / speed squared of the whole and of named spans."""
+def viscosity_metrics(df: DataFrame, power: str, speed: str, spans: Mapping[str, tuple[Column, Column]], discharge: Column | None = None) -> DataFrame:
+    """CV18: mean apparent viscosity power / speed squared of the whole and of named spans, and its value at discharge."""
     eta = F.zip_with(F.col(power), F.col(speed), lambda a, b: F.when(b > 0, a / (b * b)))
-    return df.withColumn("_eta", eta).withColumns({"visc_mean": mean(F.col("_eta"))} | {f"visc_{n}": mean(part(F.col("_eta"), a, b)) for n, (a, b) in spans.items()}).drop("_eta")
+    out = {"visc_mean": mean(F.col("_eta"))} | {f"visc_{n}": mean(part(F.col("_eta"), a, b)) for n, (a, b) in spans.items()}
+    if discharge is not None:
+        out["visc_discharge"] = F.get("_eta", discharge)
+    return df.withColumn("_eta", eta).withColumns(out).drop("_eta")
 
 
-def time_shares(df: DataFrame, durations: Mapping[str, str]) -> DataFrame:
-    whole = sum((F.coalesce(F.col(c), F.lit(0)) for c in durations.values()), F.lit(0))
-    return df.withColumns({f"share_{n}": F.coalesce(F.col(c), F.lit(0)) / F.nullif(whole, F.lit(0)) for n, c in durations.items()} | {"total_time": whole})
+def time_shares(df: DataFrame, spans: Mapping[str, tuple[Column, Column]], n: Column, discharge: Column) -> DataFrame:
+    """CV19: each span's share of the curve's length n, the share behind the discharge, the length and the discharge."""
+    share = lambda a, b: (b - a) / F.nullif(n, F.lit(0))
+    return df.withColumns({f"share_{name}": share(a, b) for name, (a, b) in spans.items()} | {"share_discharge": share(discharge, n), "total_time": n, "reach_discharge": discharge})
 
 
 def ram_metrics(df: DataFrame, ram: str, speed: str, discharge: Column) -> DataFrame:
+    """CV20: rises of the ram over 10, its mean from the discharge on, the integral of the speed."""
     return df.withColumns({"ram_lifts": F.size(F.filter(diffs(F.col(ram)), lambda d: d > 10)), "ram_stable": mean(part(F.col(ram), discharge, F.size(ram))), "shear_history": trapezoid(F.col(speed), 0.0)})
 
 
@@ -261,36 +300,68 @@ def slope(a: Column, least: int = 4) -> Column:
 
 
 def rheology_metrics(df: DataFrame, power: str, torque: str, speed: str, stage1: tuple[Column, Column], stage2: tuple[Column, Column]) -> DataFrame:
-    eta = F.zip_with(F.col(torque), F.col(speed), lambda a, b: F.when(b > 0, a / b))
-    return df.withColumns({"power_max_1": F.array_max(part(F.col(power), *stage1)), "torque_max_1": F.array_max(part(F.col(torque), *stage1)), "power_slope_2": slope(part(F.col(power), *stage2)), "eta_last": F.try_element_at(eta, F.lit(-1))})
+    """CV21: greatest power and torque of stage 1; of a stage 2 of more than 3 s the slope of its known power values, one
+    behind the other, and its last known torque / speed."""
+    eta = F.zip_with(part(F.col(torque), *stage2), part(F.col(speed), *stage2), lambda a, b: F.when(b > 0, a / b))
+    long = stage2[1] > stage2[0] + 3
+    return df.withColumns({
+        "power_max_1": F.array_max(part(F.col(power), *stage1)), "torque_max_1": F.array_max(part(F.col(torque), *stage1)),
+        "power_slope_2": F.when(long, slope(known(part(F.col(power), *stage2)))), "eta_last": F.when(long, F.try_element_at(known(eta), F.lit(-1))),
+    })
 
 
 def specific_energy(df: DataFrame, integrals: Mapping[str, str], solids: str, temp: str, above: float = 100.0) -> DataFrame:
-    return df.withColumns({f"{n}_specific_energy": F.col(c) / F.nullif(F.col(solids), F.lit(0.0)) for n, c in integrals.items()} | {"thermal_above": total(known(F.col(temp)), lambda x: F.greatest(x - above, F.lit(0.0)))})
-
-
-def invalid_reason(temp: Column, speed: Column, power: Column, torque: Column, ram: Column) -> Column:
-    """The first test that a curve fails; null for a valid one."""
-    n = F.size(temp)
-    spread = lambda a: F.array_max(a) - F.array_min(a)
-    return (
-        F.when((n < 3) | (n > 300), "duration").when((F.array_min(temp) < 15) | (F.array_max(temp) > 250), "temperature_range")
-        .when(F.array_max(temp) < F.get(temp, F.lit(0)) + 10, "no_heating").when(F.coalesce(F.array_max(speed), F.lit(0.0)) < 10, "no_speed")
-        .when(F.coalesce(F.array_max(power), F.lit(0.0)) < 10, "no_power").when(F.coalesce(F.array_max(torque), F.lit(0.0)) < 10, "no_torque")
-        .when(F.coalesce(spread(ram), F.lit(0.0)) == 0, "flat_ram")
-    )
-
-
-def curve_valid(df: DataFrame, temp: str, speed: str, power: str, torque: str, ram: str) -> DataFrame:
-    return df.withColumn("reason", invalid_reason(*map(F.col, (temp, speed, power, torque, ram)))).withColumn("valid", F.col("reason").isNull())
+    """CV22: each integral (missing: 0) by the solids, 0 without solids; the trapezoid integral of the degrees above `above`."""
+    per = lambda c: F.when(F.col(solids) > 0, F.coalesce(F.col(c), F.lit(0.0)) / F.col(solids)).otherwise(0.0)
+    hot = F.transform(known(F.col(temp)), lambda x: F.greatest(x - above, F.lit(0.0)))
+    return df.withColumns({f"{n}_specific_energy": per(c) for n, c in integrals.items()} | {"thermal_above": trapezoid(hot, 0.0)})
+
+
+def invalid_reason(temp: Column, speed: Column, power: Column, torque: Column, ram: Column, spans: list[tuple[str, Column, Column, Column]]) -> Column:
+    """The first test that a curve fails; null for a valid one. spans: (stage, start, end, present), in order."""
+    found = None
+
+    def test(condition: Column, reason: str) -> None:
+        nonlocal found
+        hit = F.coalesce(condition, F.lit(False))
+        found = F.when(hit, reason) if found is None else found.when(hit, reason)
+
+    for name, a, b, there in spans:
+        test(there & (b - a < 3), f"{name}: too short")
+        test(there & (b - a > 300), f"{name}: too long")
+    test((F.array_min(temp) < 15) | (F.array_max(temp) > 250), "temperature out of range")
+    by_name = {name: (a, b, there) for name, a, b, there in spans}
+    if "loading" in by_name and "plateau" in by_name:
+        (a, b, first), (c, d, last) = by_name["loading"], by_name["plateau"]
+        test(first & last & (mean(part(temp, c, d)) <= mean(part(temp, a, b)) + 10), "no heating")
+    for name, a, b, there in spans:
+        if name in ("dry", "oil", "wet", "plateau"):
+            test(there & (mean(part(speed, a, b)) < 10), f"{name}: speed too low")
+    for name, a, b, there in spans:
+        if name in ("dry", "wet", "plateau"):
+            test(there & ((mean(part(power, a, b)) < 10) | (mean(part(torque, a, b)) < 10)), f"{name}: power or torque too low")
+    for name, a, b, there in spans:
+        if name != "bottom":
+            cut = part(ram, a, b)
+            test(there & (F.array_max(cut) < 10), f"{name}: ram at zero")
+            test(there & (std_pop(cut) < 0.01) & (mean(cut) < 20), f"{name}: ram flat")
+    return found
+
+
+def curve_valid(df: DataFrame, temp: str, speed: str, power: str, torque: str, ram: str, spans: list[tuple[str, Column, Column, Column]]) -> DataFrame:
+    """CV23: reason (null for a valid curve) and valid."""
+    return df.withColumn("reason", invalid_reason(*map(F.col, (temp, speed, power, torque, ram)), spans)).withColumn("valid", F.col("reason").isNull())
 
 
 def reason_counts(df: DataFrame) -> DataFrame:
+    """CV24: curves by reason."""
     return df.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def sticky_batches(df: DataFrame, temp: str, discharge: Column, least: int = 250, near: int = 10) -> DataFrame:
-    return df.where((F.size(temp) > least) & (F.size(temp) - discharge <= near))
+def sticky_batches(df: DataFrame, temp: str, discharge: Column, least: int = 250, near: int = 10, head: int = 35, warm: float = 50.0) -> DataFrame:
+    """CV25: long curves, warm in their first `head` seconds, whose discharge is found only within `near` of the end."""
+    started = (F.size(temp) >= head) & F.exists(F.slice(temp, 1, head), lambda x: x > warm)
+    return df.where(started & (F.size(temp) > least) & (discharge >= F.size(temp) - near))
 
 
 def arrhenius_dose(temp: Column, energy: float = 75_000.0, reference: float = 150.0, low: float = 135.0, gas: float = 8.314) -> Column:
@@ -311,9 +382,10 @@ def fraction_features(df: DataFrame, channels: list[str], cuts: Mapping[str, tup
     return df.withColumns(out)
 
 
-def curve_vector(channels: list[Column], bounds: list[tuple[Column, Column]], k: int = 20) -> Column:
-    """Stage by stage and channel by channel k points each, in one array."""
-    return F.flatten(F.array(*[resample(part(c, a, b), k) for a, b in bounds for c in channels]))
+def curve_vector(channels: list[Column], bounds: list[tuple[Column, Column]], k: int = 20, zero: Iterable[tuple[int, int]] = ()) -> Column:
+    """CV28: stage by stage and channel by channel k points each, in one array; zeros for the (stage, channel) in `zero`."""
+    cell = lambda i, j: F.array_repeat(F.lit(0.0), k) if (i, j) in zero else resample(part(channels[j], *bounds[i]), k)
+    return F.flatten(F.array(*[cell(i, j) for i in range(len(bounds)) for j in range(len(channels))]))
 
 
 def curve_agg(points: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:

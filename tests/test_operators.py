@@ -58,30 +58,38 @@ def test_curve_edges(spark):
     assert get(c.resample(arr([]), 3)) == [0.0, 0.0, 0.0] and get(c.resample(arr([1, 3]), 3)) == [1.0, 2.0, 3.0]
     assert get(c.trapezoid(arr([4]))) == 4.0 and get(c.trapezoid(arr([4]), 0.0)) == 0.0 and get(c.trapezoid(arr([]))) == 0.0 and get(c.trapezoid(arr([1, None, 3]))) == 2.0
     assert get(c.mean(arr([]))) is None and get(c.std_pop(arr([1, 3]))) == 1.0
-    assert get(c.first_drop(arr([5] * 9))) == 30 and get(c.first_drop(arr([5] * 40 + [-5] + [0] * 5))) == 39
+    assert get(c.first_drop(arr([5] * 9))) == 30 and get(c.first_drop(arr([5] * 40 + [-5] + [0] * 5))) == 40
     assert get(c.slope(arr([1, 2, 3]))) is None and get(c.slope(arr([1, 2, 3, 4]))) == pytest.approx(1.0)
     rising = [100.0] * 20 + [140.0] * 40
     assert get(c.plateau_start(arr(rising), F.lit(150.0), F.lit(5))) == 20
     assert get(c.discharge_start(arr([150.0] * 40 + [138.0 - i for i in range(20)]), F.lit(30))) in (37, 38, 39, 40, 41)
     want = math.exp(-75000 / 8.314 * (1 / (140 + 273.15) - 1 / 423.15))
     assert get(c.arrhenius_dose(arr([140, 100, 250]))) == pytest.approx(want)
-    assert get(c.invalid_reason(arr([20, 120, 140]), arr([20]), arr([20]), arr([20]), arr([1, 2]))) is None
-    assert get(c.invalid_reason(arr([20, 21, 22]), arr([20]), arr([20]), arr([20]), arr([1, 2]))) == "no_heating"
+    spans = [("loading", F.lit(0), F.lit(3), F.lit(True)), ("plateau", F.lit(3), F.lit(6), F.lit(True))]
+    reason = lambda temp, ram=(20,): get(c.invalid_reason(arr(temp), arr([20] * 6), arr([20] * 6), arr([20] * 6), arr(list(ram) * 6), spans))
+    assert reason([20, 21, 22, 120, 130, 140]) is None
+    assert reason([20, 21, 22, 20, 21, 22]) == "no heating" and reason([20] * 5 + [300]) == "temperature out of range"
+    assert reason([20, 21, 22, 120, 130, 140], (5,)) == "loading: ram at zero" and reason([20, 21, 22, 120, 130, 140], (15,)) == "loading: ram flat"
 
 
 def test_stage_bounds_are_ordered(spark):
     rng = np.random.default_rng(0)
     rows = []
-    for n in (5, 40, 120, 200):
+    for n in (10, 40, 120, 200, 320):
         temp = np.concatenate([np.linspace(80, 150, max(1, n - 20)), np.linspace(150, 90, min(20, n))])[:n]
         rows.append((n, temp.tolist(), rng.normal(50, 20, n).tolist(), rng.normal(100, 40, n).tolist()))
     df = spark.createDataFrame(rows, "n long, temp array<double>, ram array<double>, power array<double>")
     for oil in (True, False):
-        for r in c.stage_bounds(df, "temp", "ram", "power", F.lit(145.0), F.lit(oil)).collect():
-            b = [r[f"b{i}"] for i in range(7)]
-            assert b == sorted(b) and b[0] == 0 and b[-1] <= r.n
-        stages = c.stages_long(c.stage_bounds(df, "temp", "ram", "power", F.lit(145.0), F.lit(oil)), ["n"])
-        assert stages.count() == 24
+        for start, end in ((None, None), (F.lit(90), F.lit(150.0))):
+            bounds = c.stage_bounds(df, "temp", "ram", "power", F.lit(145.0), F.lit(oil), start, end)
+            for r in bounds.collect():
+                b = [0, r.t1, r.t2, r.t3, r.t4, r.t5, r.bottom_start, r.bottom_end]
+                assert b == sorted(b) and b[-1] <= r.n
+                assert oil or r.t1 == r.t2 == r.t3
+                if r.n == 320 and oil and start is not None:
+                    assert (r.t2, r.t3) == (90, 150)
+            stages = c.stages_long(bounds, ["n"], F.lit(oil))
+            assert stages.count() == 30
 
 
 def test_dropouts_and_interpolation(spark):

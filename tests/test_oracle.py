@@ -6,8 +6,7 @@ import os
 import duckdb
 import pytest
 
-from rheospark.plans import more_queries  # noqa: F401
-from rheospark.plans.queries import ORACLE, QUERIES
+from rheospark.plans.all_queries import ORACLE, QUERIES
 from rheospark.sources.io import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
