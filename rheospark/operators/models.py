@@ -314,7 +314,8 @@ class HighEnergyModel:
         share = train.agg(F.avg(F.col(self.flag).cast("double"))).first()[0] or 0.0
         weight = F.when(F.col(self.flag), 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6))
         rows = train.withColumns({"_y": F.col(self.flag).cast("double"), "_w": weight})
-        learner = GBTClassifier(featuresCol="detector__features", labelCol="_y", weightCol="_w", predictionCol="detected", rawPredictionCol="_raw", probabilityCol="_prob", maxIter=20, maxDepth=3, seed=42)
+        learner = GBTClassifier(featuresCol="detector__features", labelCol="_y", weightCol="_w", predictionCol="detected", maxIter=20, maxDepth=3, seed=42)
+        learner = learner.setRawPredictionCol("_raw").setProbabilityCol("_prob")
         self.detector = Pipeline(stages=[preprocess(self.columns, "detector__features"), learner]).fit(rows)
         high = train.where(F.col(self.flag))
         row = high.agg(F.count("*"), pct(self.residual, 0.05), pct(self.residual, 0.95)).first()
@@ -589,13 +590,22 @@ def local_prediction(df: DataFrame, train: DataFrame, compound: str, neighbours:
     return out.withColumn("local_prediction", sum((F.col("beta")[i] * t for i, t in enumerate(terms)), F.lit(0.0))).drop("beta")
 
 
-def similar_recipes(df: DataFrame, history: DataFrame, recipe: str, keys: list[str], columns: list[str], mixer: str, k: int = 5) -> DataFrame:
-    """The k nearest recipes of the same keys (system, route) by mean relative distance, the same mixer preferred. history
-    has one row per recipe and mixer."""
+def similar_recipes(df: DataFrame, history: DataFrame, recipe: str, keys: list[str], columns: list[str], mixer: str, k: int = 5, band: tuple[str, float] | None = None) -> DataFrame:
+    """ML21: the k nearest recipes of the same keys (system, route) by mean relative distance, the same mixer preferred.
+    history has one row per recipe and mixer. band: a column and how far apart recipes may be in it; it parts large keys
+    into cells of that width, and each recipe meets its own cell and the two beside it."""
     from .joins import first_rows
 
+    if band:
+        column, width = band
+        cell = F.floor(F.col(column) / width)
+        df = df.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+        history, keys = history.withColumn("_cell", cell), [*keys, "_cell"]
+
     side = history.select(*keys, F.col(recipe).alias("_other"), F.col(mixer).alias("_mixer"), *[F.col(c).alias(f"_{c}") for c in columns])
     joined = df.join(side, keys).where(F.col(recipe) != F.col("_other"))
+    if band:
+        joined = joined.where(F.abs(F.col(band[0]) - F.col(f"_{band[0]}")) <= band[1])
     gap = sum((F.abs(F.col(c) - F.col(f"_{c}")) / F.greatest(F.abs(c), F.lit(1.0)) for c in columns), F.lit(0.0)) / len(columns)
     ranked = first_rows(joined.withColumn("distance", gap), [recipe, mixer], [(F.col("_mixer") != F.col(mixer)).cast("int"), F.col("distance"), F.col("_other")], k)
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("distance", "_other"))), lambda x: x["_other"]), ", ")

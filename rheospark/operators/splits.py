@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import cut
 from .aggs import mode, pct
 
 
@@ -44,23 +43,15 @@ def super_groups(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Labels of the distinct pairs go to and fro between both sides as minima until none changes; each round is written,
     so that lineage stays short and a lost executor costs one round."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/rheospark-{uuid.uuid4().hex}"
     pairs = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a is not null and b is not null").distinct()
     labels = pairs.withColumn("label", F.col("a"))
-
-    def cut(x: DataFrame) -> DataFrame:
-        path = f"{folder}/groups-{uuid.uuid4().hex}"
-        x.write.parquet(path)
-        return spark.read.schema(x.schema).parquet(path)
-
-    labels = cut(labels)
+    labels = cut(labels, "groups")
     while True:
         by_b = labels.groupBy("b").agg(F.min("label").alias("mb"))
         by_a = labels.join(by_b, "b").groupBy("a").agg(F.min("mb").alias("ma"))
         # a label is itself a value of a: what that value has reached meanwhile is taken over at once
         jump = by_a.select(F.col("a").alias("ma"), F.col("ma").alias("far"))
-        new = cut(labels.join(by_a, "a").join(jump, "ma", "left").select("a", "b", F.least("ma", F.coalesce("far", "ma")).alias("label"), F.col("label").alias("old")))
+        new = cut(labels.join(by_a, "a").join(jump, "ma", "left").select("a", "b", F.least("ma", F.coalesce("far", "ma")).alias("label"), F.col("label").alias("old")), "groups")
         changed = new.where("label != old").limit(1).count()
         labels = new.drop("old")
         if not changed:

@@ -12,6 +12,19 @@ def number_in_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return df.withColumns({"n_in_group": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)), "group_size": F.count("*").over(Window.partitionBy(*keys))})
 
 
+def number_rows(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """SO1: every row's place, from 1, in a total order. Rows are dealt out by ranges of the order; counts of the ranges, one
+    row each, give where a range begins, so that no task sorts more than its range."""
+    from ..sources.io import cut
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = dealt.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return rows.withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_before")
+
+
 def group_transform(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
     w = Window.partitionBy(*keys)
     return df.withColumns({n: a.over(w) for n, a in aggs.items()})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves, scalar
 from ..operators import aggs, calibrate, features, joins, metrics, models, recommend, splits, windows
-from ..sources.io import table
+from ..sources.io import shared_dir, table
 from ..streaming import jobs
 from .queries import B, CURVE, E, _curves, _uniform
 from .registry import query
@@ -421,7 +421,7 @@ def _(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumns({"ts": F.col("ts").cast("timestamp"), "p": F.lit(100.0), "c": F.when(F.col("event_type") == "error", "LOW").otherwise("HIGH")})
     out = jobs.monitor_stream(stream, "ts", "value", "p", "c")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out")
     q = out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
