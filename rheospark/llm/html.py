@@ -6,9 +6,13 @@ become a slot, a part that only one side has becomes optional, and equal neighbo
 become one repeated group. There is no union, so a wrapper stays as small as the host's template. Each task folds its
 own pages into one wrapper per host; those partial wrappers meet in two steps, by host and salt and then by host.
 
-The wrapper, with the text and link text gathered over all pages of the host, says which of its parts is the article;
-a page is then aligned with it, and its text is what stands in the article's slots, less the parts that carry menus,
-notices, adverts, forms, comments and the like.
+The wrapper's slots say which of its parts is the article: of the parts that tags or names offer, those whose text
+varies from page to page, else the part with most text in slots. A page is then aligned with the wrapper, part by part,
+through optional parts and repeated groups; its text is what stands in the article's parts, also where it is the same on
+every page, less the parts inside that are named as menus, notices, adverts, forms, comments and the like. A name never
+leaves out a part that holds most of the article, nor anything around the article.
+
+Parts more than MAX_DEPTH deep belong to the part at that depth, so that no page is too deep; their text stays.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,7 +54,13 @@ SALTS = 64
 #: Wrappers are broadcast up to this many bytes in all; beyond it pages and wrappers are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words that make a class tell a state and not a part: "has-sidebar", "cookie-enabled".
+STATE_FIRST = set("has no not with without is show hide hides use uses js".split())
+STATE_LAST = set("enabled disabled active inactive open opened closed visible hidden on off ready loaded left right".split())
+#: Depth of a wrapper; cells of a table of two sequences of parts that are aligned exactly.
+MAX_DEPTH, MAX_CELLS = 100, 250_000
+
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -58,22 +70,54 @@ KEY, OPTIONAL, REPEATED, TEXT, CHARS, LINKS, CHILDREN = range(7)
 
 
 def _key(tag: str, attributes: str) -> str:
-    """Tag and the words of its class, id and role, without what may number single pages."""
+    """Tag and the words of its class, id and role, without what may number single pages or tell a state."""
     words: set[str] = set()
-    for _, value in _ATTR.findall(attributes):
-        words.update(w.lower() for w in _PARTS.findall(value) if len(w) > 1)
+    if "=" in attributes:
+        for _, value in _ATTR.findall(attributes):
+            for name in value.strip("\"'").split():
+                parts = [w.lower() for w in _PARTS.findall(name)]
+                if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+                    continue
+                words.update(w for w in parts if len(w) > 1)
     return " ".join([tag, *sorted(words)])
 
 
-def parse(page: str | None) -> tuple[list, list[tuple[tuple[str, ...], str, int]]]:
-    """The page's tree, and its blocks of text in page order as (keys of the open tags, text, characters in links)."""
+class _Tags:
+    """The end of each tag: the first > outside quotes. Once there is none before the page ends, the first > at all, so
+    that a page with a quote too many is read once and not once for each tag."""
+
+    def __init__(self, page: str):
+        self.page, self.loose = page, False
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        page, start = self.page, at
+        while not self.loose:
+            end = page.find(">", at)
+            if end < 0:
+                break
+            quote = min((i for i in (page.find(q, at, end) for q in self.last) if i >= 0), default=-1)
+            if quote < 0:
+                return end
+            if self.last[page[quote]] <= quote:  # never closed: a sign like any other
+                at = quote + 1
+                continue
+            at = page.index(page[quote], quote + 1) + 1
+        self.loose = True
+        return page.find(">", start)
+
+
+def parse(page: str | None) -> tuple[list, list[tuple[list, str]]]:
+    """The page's tree, and its blocks of text in page order as (the part they stand in, text)."""
     page = page or ""
     root = ["", False, False, None, 0, 0, []]
     stack: list[list] = [root]
     tags = [""]
-    blocks: list[tuple[tuple[str, ...], str, int]] = []
+    opened: Counter[str] = Counter()
+    blocks: list[tuple[list, str]] = []
     text: list[str] = []
     link = linked = 0
+    ends = _Tags(page)
 
     def flush() -> None:
         nonlocal linked
@@ -85,28 +129,40 @@ def parse(page: str | None) -> tuple[list, list[tuple[tuple[str, ...], str, int]
                 node[TEXT] = words if node[TEXT] in (None, words) else "*"
                 node[CHARS] += len(words)
                 node[LINKS] += min(linked, len(words))
-                blocks.append((tuple(n[KEY] for n in stack[1:]), words, linked))
+                blocks.append((node, words))
         linked = 0
 
     def close(to: int) -> None:
         flush()
+        opened.subtract(tags[to:])
         del stack[to:], tags[to:]
 
+    def innermost(tag: str) -> int:
+        at = len(tags) - 1
+        while tags[at] != tag:
+            at -= 1
+        return at
+
     at = 0
     while True:
-        found = _TOKEN.search(page, at)
+        found = _OPEN.search(page, at)
+        if found and found[2]:
+            end_of_tag = ends.end(found.end())
+            if end_of_tag < 0:  # no tag ends any more: the rest is text
+                found = None
         chunk = page[at : found.start()] if found else page[at:]
         if chunk:
             text.append(chunk)
             linked += len(chunk) if link else 0
         if not found:
             break
-        at = found.end()
         if not found[2]:
+            at = found.end()
             continue
-        tag, end = found[2].lower(), bool(found[1])
+        tag, end, attributes = found[2].lower(), bool(found[1]), page[found.end() : end_of_tag]
+        at = end_of_tag + 1
         if tag in RAW:
-            if not end and not found[3].endswith("/"):
+            if not end and not attributes.endswith("/"):
                 behind = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = behind.end() if behind else len(page)
             continue
@@ -116,15 +172,15 @@ def parse(page: str | None) -> tuple[list, list[tuple[tuple[str, ...], str, int]
             text.append(" ")
         elif tag in BLOCK or tag in OUT_TAGS:
             if end:
-                if tag in tags:
-                    close(len(tags) - 1 - tags[::-1].index(tag))
+                if opened[tag] > 0:
+                    close(innermost(tag))
                 else:
                     flush()
                 continue
-            if "p" in tags and tag != "button":
-                close(len(tags) - 1 - tags[::-1].index("p"))
-            for i in range(len(tags) - 1, 0, -1):
-                if tags[i] in CLOSES.get(tag, ()):
+            if opened["p"] > 0 and tag != "button":
+                close(innermost("p"))
+            for i in range(len(tags) - 1, 0, -1) if tag in CLOSES else ():
+                if tags[i] in CLOSES[tag]:
                     close(i)
                     break
                 if tags[i] in SCOPE:
@@ -132,10 +188,14 @@ def parse(page: str | None) -> tuple[list, list[tuple[tuple[str, ...], str, int]
             flush()
             link = 0
             if tag not in VOID:
-                node = [_key(tag, found[3]), False, False, None, 0, 0, []]
-                stack[-1][CHILDREN].append(node)
+                if len(stack) <= MAX_DEPTH:
+                    node = [_key(tag, attributes), False, False, None, 0, 0, []]
+                    stack[-1][CHILDREN].append(node)
+                else:
+                    node = stack[-1]
                 stack.append(node)
                 tags.append(tag)
+                opened[tag] += 1
     close(1)
     return root, blocks
 
@@ -166,28 +226,65 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
     return [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], align(a[CHILDREN], b[CHILDREN])]
 
 
+def _pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of very long sequences, of one that takes each key at its next place."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    middle: list[tuple[int, int]] = []
+    if len(x) * len(y) > MAX_CELLS:
+        places: dict[str, list[int]] = {}
+        for j, key in enumerate(y):
+            places.setdefault(key, []).append(j)
+        at = 0
+        for i, key in enumerate(x):
+            later = places.get(key, [])
+            k = bisect_left(later, at)
+            if k < len(later):
+                middle.append((head + i, head + later[k]))
+                at = later[k] + 1
+    elif x and y:
+        length = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                length[i][j] = length[i + 1][j + 1] + 1 if x[i] == y[j] else max(length[i + 1][j], length[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                middle.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif length[i + 1][j] >= length[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return [*((k, k) for k in range(head)), *middle, *((len(a) - k, len(b) - k) for k in range(tail, 0, -1))]
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
-    """Align two sequences of parts by their longest common subsequence of keys; what has no partner is optional."""
-    length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            length[i][j] = length[i + 1][j + 1] + 1 if a[i][KEY] == b[j][KEY] else max(length[i + 1][j], length[i][j + 1])
+    """Align two sequences of parts by a common subsequence of keys; what has no partner is optional."""
     out: list[list] = []
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][KEY] == b[j][KEY]:
-            part, i, j = merge(a[i], b[j]), i + 1, j + 1
-        elif j == len(b) or i < len(a) and length[i + 1][j] >= length[i][j + 1]:
-            part, i = [*a[i]], i + 1
-            part[OPTIONAL] = True
-        else:
-            part, j = [*b[j]], j + 1
-            part[OPTIONAL] = True
+
+    def add(part: list) -> None:
         if out and out[-1][KEY] == part[KEY]:  # an optional part beside an equal one: a repeated group
             out[-1] = merge(out[-1], part)
             out[-1][REPEATED] = True
         else:
             out.append(part)
+
+    def alone(part: list) -> None:
+        add([*part[:OPTIONAL], True, *part[OPTIONAL + 1 :]])
+
+    i = j = 0
+    for x, y in [*_pairs([n[KEY] for n in a], [n[KEY] for n in b]), (len(a), len(b))]:
+        for part in (*a[i:x], *b[j:y]):
+            alone(part)
+        if x < len(a):
+            add(merge(a[x], b[y]))
+        i, j = x + 1, y + 1
     return out
 
 
@@ -203,45 +300,98 @@ def left_out(key: str) -> bool:
     return tag in OUT_TAGS or bool(OUT_WORDS.intersection(words)) and tag not in ("html", "body")
 
 
-def article_paths(wrapper: list) -> set[tuple[str, ...]]:
-    """Key paths of the wrapper's parts that hold the article: article tags, else main tags, else parts named like an
-    article, else the part whose own blocks hold most text outside links."""
-    tiers: list[dict[tuple[str, ...], int]] = [{}, {}, {}, {}]
-
-    def visit(node: list, path: tuple[str, ...], taken: int) -> int:
-        if node[KEY] and left_out(node[KEY]):
-            return 0
-        tag, *words = node[KEY].split(" ") if node[KEY] else ("",)
-        tier = 0 if tag == "article" else 1 if tag == "main" or ("main" in words and tag in ("div", "section")) else 2 if MAIN_WORDS.intersection(words) and tag in ("div", "section") else 3
-        inside = min(taken, tier) if node[KEY] else taken
-        own = sum(visit(c, (*path, c[KEY]), inside) for c in node[CHILDREN])
-        plain = node[CHARS] - node[LINKS]
-        if tier < 3 and tier < taken and own + plain > 0:
-            tiers[tier][path] = own + plain
-        tiers[3][path] = plain + sum(c[CHARS] - c[LINKS] for c in node[CHILDREN] if not left_out(c[KEY]))
-        return own + plain
-
-    visit(wrapper, (), 3)
-    for found in tiers[:3]:
-        if found:
-            return set(found)
-    best = max(tiers[3].items(), key=lambda x: x[1], default=((), 0))
-    return {best[0]}
-
-
-def extract(page: str | None, article: set[tuple[str, ...]]) -> str:
-    """The text of a page's blocks inside the article's parts; if the page has none of them, it is its own wrapper."""
+def _variable(node: list) -> int:
+    """Characters outside links of a part's own slot."""
+    return max(0, node[CHARS] - node[LINKS]) if node[TEXT] == "*" else 0
+
+
+def mark_article(wrapper: list) -> list:
+    """Append to each part of a wrapper what it is: 1 the article begins here, -1 left out, 0 as the part around it.
+
+    Candidates are article tags, else main tags, else parts named like an article, in each case at first those that no
+    name of their own or around them leaves out, and then the others; else the part whose own blocks vary most. Of a
+    host's candidates those whose text varies count, if there are any."""
+    order: list[tuple[list, bool, bool]] = []  # part, left out by a name, left out by a tag (its own or one around it)
+    stack = [(wrapper, False, False)]
+    while stack:
+        node, named, out = stack.pop()
+        tag = node[KEY].split(" ")[0]
+        out = out or tag in OUT_TAGS
+        named = named or bool(node[KEY]) and left_out(node[KEY])
+        order.append((node, named, out))
+        stack += [(c, named, out) for c in reversed(node[CHILDREN])]
+    variable: dict[int, int] = {}
+    plain: dict[int, int] = {}
+    for node, _, _ in reversed(order):  # children come before their parents here
+        kept = [c for c in node[CHILDREN] if not left_out(c[KEY])]
+        variable[id(node)] = _variable(node) + sum(variable[id(c)] for c in node[CHILDREN])
+        plain[id(node)] = max(0, node[CHARS] - node[LINKS]) + sum(plain[id(c)] for c in kept)
+    tiers: dict[tuple[bool, int], list[list]] = {}
+    for node, named, out in order:
+        tag, *words = node[KEY].split(" ")
+        if tag == "article":
+            tier = 0
+        elif tag == "main" or tag in ("div", "section") and "main" in words:
+            tier = 1
+        elif tag in ("div", "section") and MAIN_WORDS.intersection(words):
+            tier = 2
+        else:
+            continue
+        if not out and plain[id(node)] + variable[id(node)] > 0:
+            tiers.setdefault((named, tier), []).append(node)
+    regions: list[list] = []
+    for rank in sorted(tiers):
+        regions = [n for n in tiers[rank] if variable[id(n)]] or tiers[rank]
+        break
+    if not regions:
+        own = lambda n: (sum(map(_variable, [n, *n[CHILDREN]])), max(0, n[CHARS] - n[LINKS]) + sum(c[CHARS] - c[LINKS] for c in n[CHILDREN] if not left_out(c[KEY])))
+        regions = [max([n for n, named, _ in order if not named] or [wrapper], key=own)]
+    chosen = {id(n) for n in regions}
+    whole = {False: plain, True: variable}
+    stack = [(wrapper, 0, False)]
+    while stack:
+        node, around, varies = stack.pop()
+        mark = 0
+        if id(node) in chosen:
+            mark, varies = 1, variable[id(node)] > 0
+            around = max(around, whole[varies][id(node)])
+        elif around and left_out(node[KEY]) and (node[KEY].split(" ")[0] in OUT_TAGS or 2 * whole[varies][id(node)] <= around):
+            mark = -1
+        node.append(mark)
+        stack += [(c, around, varies) for c in node[CHILDREN]]
+    return wrapper
+
+
+def extract(page: str | None, wrapper: list) -> str:
+    """The text of a page's blocks in the article's parts of a marked wrapper. A page that has none of them is its own."""
     root, blocks = parse(page)
-    for paths in (article, None):
-        if paths is None:
-            paths = article_paths(fold(root))
-        kept = [
-            text
-            for path, text, _ in blocks
-            if not any(map(left_out, path)) and any(path[:n] in paths for n in range(len(path) + 1))
-        ]
-        if kept:
-            return "\n\n".join(kept)
+    for marked in (wrapper, None):
+        if marked is None:
+            marked = mark_article(fold(parse(page)[0]))
+        inside: dict[int, bool] = {}
+        stack: list[tuple[list, list | None, bool]] = [(root, marked, False)]
+        while stack:
+            node, partner, kept = stack.pop()
+            if partner is not None:
+                kept = partner[-1] > 0 or kept and partner[-1] == 0
+            else:
+                kept = kept and not left_out(node[KEY])
+            inside[id(node)] = kept
+            places: dict[str, list[int]] = {}
+            for k, part in enumerate(partner[CHILDREN] if partner is not None else ()):
+                places.setdefault(part[KEY], []).append(k)
+            at = 0
+            for child in node[CHILDREN]:  # a part may repeat, alone or with those beside it, or be missing
+                same = places.get(child[KEY])
+                if same:
+                    k = bisect_left(same, at)
+                    at = same[k] if k < len(same) else same[0]
+                    stack.append((child, partner[CHILDREN][at], kept))
+                else:
+                    stack.append((child, None, kept))
+        text = "\n\n".join(words for node, words in blocks if inside[id(node)])
+        if text:
+            return text
     return ""
 
 
@@ -276,14 +426,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    known: dict[str, set] = {}
+    known: dict[str, list] = {}
     for pages, wrappers in batches:
         out = []
         for page, wrapper in zip(pages, wrappers, strict=True):
             if wrapper not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[wrapper] = article_paths(json.loads(wrapper))
+                known[wrapper] = mark_article(json.loads(wrapper))
             out.append(extract(page, known[wrapper]))
         yield pd.Series(out, dtype=object)
 
