@@ -1,20 +1,21 @@
-"""Line dedup: repeated runs of lines, by prefix doubling over the suffixes of the sequences of line ids.
+"""Line dedup: repeated runs of lines, by a suffix array over sequences of line ids, made by prefix doubling.
 
-A suffix is a position (document, line). After round k the active suffixes are those whose first 2 ** k lines stand at
-two positions or more; suffixes with equal lines there share a name. Round k + 1 names the pair of a suffix's name and
-the name of the suffix 2 ** k lines on, so a suffix drops out as soon as no other shares its prefix. Names take the
-place of ranks: an interval of the suffix array with a common prefix of some length is the set of suffixes that share
-the name of that length, so the intervals need no global sort. A prefix of any length n has as its name the names of the
-two blocks of 2 ** k <= n lines at its ends.
+A suffix is a position (document, line). Its rank after round k is where the interval of the suffixes that share its first
+2 ** k lines begins in the suffix array; the intervals are the array's intervals of a longest common prefix of at least
+2 ** k lines. Round k + 1 orders the suffixes of an interval by the rank of the suffix 2 ** k lines on. A suffix that
+shares its interval with no other is in its final place and drops out. Distinct pairs of ranks are counted before they
+are put in order, by prefix sums over buckets of them, so a rank costs no sort of all suffixes in one place. The interval
+of a common prefix of any length n is named by the ranks of the two blocks of 2 ** k <= n lines at its ends.
 
 A run counts if it has more than min_words words. Of a maximal repeated run of that many words every line lies in a
 shortest such prefix from some line on, or in a shortest such one up to some line; and all those repeat as the run does.
-So these two prefixes of each line are looked up, the first position of each interval is kept, and the union of all
-others is the union of all later copies of maximal runs. Lines without words stand in no sequence, hence such a prefix
-has at most min_words + 1 lines, which bounds the rounds. They are deleted between two deleted lines.
+So the intervals of these two prefixes of each line are looked up, the first position of each is kept, and the union of
+all others is the union of all later copies of maximal runs. Lines without words stand in no sequence, hence such a
+prefix has at most min_words + 1 lines, which bounds the rounds. They are deleted between two deleted lines.
 
 Positions are ordered by document key, then line. Whole texts that equal an earlier one are found first, by their hash,
-and leave the sequences. Line ids and names are two 64-bit hashes each.
+and leave the sequences. Line ids are two 64-bit hashes. Rows of a very frequent line, interval or text are salted where
+they meet the one row that it has.
 """
 
 from __future__ import annotations
@@ -26,45 +27,81 @@ from .common import WORD, discard, drop_clashes, table, written
 
 #: A run of lines is deleted if it has more words than this.
 MIN_WORDS = 50
-NAME = ["a", "b"]
 KEY = ["k", "t1", "t2"]
-
-
-def _name(*columns: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b")]
+#: Buckets that distinct line ids, and the distinct continuations of one interval, are put in order in.
+ID_BUCKETS, NEXT_BUCKETS = 1 << 14, 64
+#: Names with more than this share of all rows that have a name in common with others, and at least so many, are hot.
+HOT_SHARE, HOT_ROWS = 1000, 1000
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Add k (the key), and t1, t2 (hashes of the text): together they name a document and put documents in order."""
+    """doc (all columns), k (the key), t1 and t2 (hashes of the text): these name a document and put documents in order."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.withColumns({"k": F.col(f"`{key}`"), "t1": F.xxhash64(F.lit(1), whole), "t2": F.xxhash64(F.lit(2), whole)})
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.lit(1), whole).alias("t1"), F.xxhash64(F.lit(2), whole).alias("t2"))
 
 
 def _order(*more: str) -> Column:
     return F.struct(F.col("k").isNull().alias("none"), *KEY, *more)
 
 
-def _repeated(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The rows whose name occurs twice or more. What is joined to the rows is counts by name, summed before the shuffle."""
-    many = rows.groupBy(*NAME).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(many, NAME).select(*keep)
+def _join_names(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with what names (written; on, n = rows of the name, more) says of them; rows without a name are left out.
+
+    Rows of hot names get a salt, and a hot name a row for each. There are at most HOT_SHARE hot names, for their n add up
+    to no more than the total; only those are broadcast."""
+    total = names.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(names.where(F.col("n") > most).select(*on, parts.alias("parts")))
+    salted = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*KEY, *[c for c in ("pos",) if c in rows.columns]), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
+    each = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, parts - 1).otherwise(0))))
+    return salted.join(each, [*on, "salt"]).drop("salt")
+
+
+def _line_ranks(lines: DataFrame) -> DataFrame:
+    """a, b, n, rank of the line ids that occur twice or more, in the order of the ids."""
+    counted = written(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"), "line-ids")
+    bucket = F.shiftright("a", 64 - ID_BUCKETS.bit_length() + 1).cast("int")
+    counted = counted.withColumn("bucket", bucket)
+    sums = counted.groupBy("bucket").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most ID_BUCKETS rows are broadcast
+    ranked = counted.withColumn("inside", inside).join(F.broadcast(sums.select("bucket", before.alias("before"))), "bucket")
+    return written(ranked.select("a", "b", "n", (F.col("before") + F.col("inside")).alias("rank")), "line-ranks")
+
+
+def _pair_ranks(pairs: DataFrame, total: int) -> DataFrame:
+    """r1, r2, n, rank of the pairs that occur twice or more: within the interval that begins at r1 in the order of r2."""
+    counted = pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1")
+    counted = written(counted.withColumn("bucket", F.floor(F.col("r2") * NEXT_BUCKETS / F.lit(float(total))).cast("int")), "pairs")
+    sums = counted.groupBy("r1", "bucket").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("r1").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("r1", "bucket").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counted.withColumn("inside", inside).join(sums.select("r1", "bucket", before.alias("before")), ["r1", "bucket"])
+    return written(ranked.select("r1", "r2", "n", (F.col("r1") + F.col("before") + F.col("inside")).alias("rank")), "pair-ranks")
 
 
 def repeated_runs(lines: DataFrame, windows: DataFrame) -> DataFrame:
     """The windows (k, t1, t2, pos, length) that also stand at an earlier position; lines: k, t1, t2, pos, a, b."""
-    columns = [*KEY, "pos", *NAME]
-    level = written(_repeated(lines, columns), "level-0")
+    columns = [*KEY, "pos", "rank"]
+    ranks = _line_ranks(lines)
+    total = ranks.agg(F.sum("n")).first()[0] or 0
+    level = written(_join_names(lines, ranks, ["a", "b"]).select(*columns), "level-0")
+    discard(ranks)
     named: list[DataFrame] = []
     size = 1
     while not level.isEmpty():
-        tail = level.select(*KEY, (F.col("pos") + size).alias("end"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        tail = level.select(*KEY, (F.col("pos") + size).alias("end"), F.col("rank").alias("r2"))
         here = windows.where((F.col("length") >= size) & (F.col("length") < 2 * size)).withColumn("end", F.col("pos") + F.col("length"))
         both = _on_position(_on_position(here, level), tail, "end")
-        named.append(written(both.select(*KEY, "pos", "length", *_name(F.col("length"), *map(F.col, ("a", "b", "a2", "b2")))), "named"))
-        ahead = level.select(*KEY, (F.col("pos") - size).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        pairs = _on_position(level, ahead).select(*KEY, "pos", *_name(*map(F.col, ("a", "b", "a2", "b2"))))
-        longer = written(_repeated(pairs, columns), "level")
-        discard(level)
+        named.append(written(both.select(*KEY, "pos", "length", F.col("rank").alias("r1"), "r2"), "named"))
+        ahead = level.select(*KEY, (F.col("pos") - size).alias("pos"), F.col("rank").alias("r2"))
+        pairs = written(_on_position(level, ahead).select(*KEY, "pos", F.col("rank").alias("r1"), "r2"), "rank-pairs")
+        ranks = _pair_ranks(pairs, total)
+        longer = written(_join_names(pairs, ranks, ["r1", "r2"]).select(*columns), "level")
+        for done in (level, pairs, ranks):
+            discard(done)
         level, size = longer, 2 * size
     discard(level)
     if not named:
@@ -72,8 +109,9 @@ def repeated_runs(lines: DataFrame, windows: DataFrame) -> DataFrame:
     every = named[0]
     for x in named[1:]:
         every = every.unionByName(x)
-    first = every.groupBy(*NAME).agg(F.min(_order("pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return every.join(first, NAME).where(F.col("first") < _order("pos")).select(*KEY, "pos", "length")
+    interval = ["length", "r1", "r2"]
+    first = written(every.groupBy(*interval).agg(F.min(_order("pos")).alias("first"), F.count("*").alias("n")).where("n > 1"), "intervals")
+    return _join_names(every, first, interval).where(F.col("first") < _order("pos")).select(*KEY, "pos", "length")
 
 
 def _on_position(left: DataFrame, right: DataFrame, pos: str = "pos", how: str = "inner") -> DataFrame:
@@ -114,18 +152,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
 
     Rows are put in order by key (null last), then text hash. Rows that agree in key and text are one document: they
     all get the same result. A null text has no lines and stays null; an empty text has one empty line. Columns of docs
-    named like the new ones are replaced. Empty table: empty result.
+    named n_lines or n_deleted_lines are replaced, all others stay, whatever their names. Empty table: empty result.
     """
-    own = ["n_lines", "n_deleted_lines", *KEY, "cuts", "hit", "_text"]
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    keyed = _keyed(drop_clashes(docs, own, keep=(key, text)), key, text)
-    line = lambda x, i: F.struct(i.alias("line"), *_name(x), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words"))
-    slim = keyed.where(F.col(f"`{text}`").isNotNull()).select(*KEY, F.filter(F.transform(lines, line), lambda x: x["words"] > 0).alias("lines"))
+    keyed = _keyed(drop_clashes(docs, ["n_lines", "n_deleted_lines"], keep=(key, text)), key, text)
+    whole_text = F.col("doc").getField(text)
+    lines = F.split(whole_text, "\n", -1)
+    line = lambda x, i: F.struct(i.alias("line"), F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words"))
+    slim = keyed.where(whole_text.isNotNull()).select(*KEY, F.filter(F.transform(lines, line), lambda x: x["words"] > 0).alias("lines"))
     sequence = written(slim.dropDuplicates(KEY), "lines")
     words = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["words"])
     whole = sequence.groupBy("t1", "t2").agg(F.min(_order()).alias("first"), F.count("*").alias("n"), F.max(words).alias("words"))
-    whole = whole.where((F.col("n") > 1) & (F.col("words") > min_words)).select("t1", "t2", "first")
-    copies = written(sequence.select(*KEY).join(whole, ["t1", "t2"]).where(F.col("first") < _order()).select(*KEY), "copies")
+    whole = written(whole.where((F.col("n") > 1) & (F.col("words") > min_words)).select("t1", "t2", "n", "first"), "wholes")
+    copies = written(_join_names(sequence.select(*KEY), whole, ["t1", "t2"]).where(F.col("first") < _order()).select(*KEY), "copies")
     rest = written(sequence.alias("l").join(copies.alias("r"), _same_document(), "left_anti"), "firsts")
     positions = rest.select(*KEY, F.posexplode("lines").alias("pos", "x")).select(*KEY, "pos", "x.a", "x.b")
     counts = rest.select(*KEY, "lines", F.transform("lines", lambda x: x["words"]).alias("w"))
@@ -146,16 +184,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     joined = keyed.alias("l").join(cuts.alias("r"), _same_document(), "left")
     for c in KEY:
         joined = joined.drop(F.col(f"r.{c}"))
-    n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines))
+    n = F.when(whole_text.isNull(), 0).otherwise(F.size(lines))
     starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda x: x["end"]))
     ends = F.concat(F.transform("cuts", lambda x: x["from"]), F.array(n))
     gaps = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n")))
     left = F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["s"] + 1, g["n"]))), "\n")
     deleted = F.aggregate("cuts", F.lit(0), lambda s, x: s + (x["end"] - x["from"]))
     deleted = F.when(F.col("hit").isNull(), 0).when(F.col("cuts").isNull(), n).otherwise(deleted)
-    new = F.when(F.col("hit").isNull(), F.col(f"`{text}`")).when(F.col("cuts").isNull(), F.lit("")).otherwise(left)
-    out = joined.withColumns({"n_lines": n.cast("long"), "n_deleted_lines": deleted.cast("long"), "_text": new})
-    return out.withColumn(text, F.col("_text")).drop(*KEY, "cuts", "hit", "_text")
+    new = F.when(F.col("hit").isNull(), whole_text).when(F.col("cuts").isNull(), F.lit("")).otherwise(left)
+    cells = [(new if c.lower() == text.lower() else F.col("doc").getField(c)).alias(c) for c in keyed.schema["doc"].dataType.names]
+    return joined.select(*cells, n.cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted_lines"))
 
 
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
