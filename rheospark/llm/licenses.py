@@ -1,10 +1,16 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates. DataFrame and ML functions only.
 
-A paragraph is a line with a word. Its features are its words and word pairs, hashed and sparse. A multinomial logistic
-regression knows the licence families of TEMPLATES and the class "none". It is fitted on the templates, alone and
-between lines of the corpus, and on a bounded sample of lines that are like no template. The least probability of a
-family that counts is calibrated on other lines of that sample; whatever stays below is unknown, hence "none". A
-prediction stands if enough word pairs of one of the family's templates are in the paragraph.
+A paragraph is a window of up to WINDOW lines between blank lines, so that a notice may be wrapped; every second window
+begins half a window later. Only windows with one of the ANCHORS are looked at, which loses nothing: more than
+1 - CONFIRMED of each template's word pairs hold an anchor, so a window without any confirms no template. Features of a
+window are its words and word pairs, hashed and sparse. A multinomial logistic regression knows the licence families of
+TEMPLATES and the class "none". It is fitted on the templates, alone and among lines of the corpus, and on a bounded
+sample of lines that are like no template.
+
+Its probabilities are calibrated over all windows: in each of BINS classes of the top probability, the share of windows
+that a template confirms, of those that one confirms or that are like none, is what the probability is worth. What is
+worth less than LEAST is unknown, hence "none". A prediction stands if enough word pairs of one of the family's templates
+are in the window.
 """
 
 from __future__ import annotations
@@ -12,40 +18,58 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, least_hashes, table, written
 
-#: Sentences that give notice of a licence, by family.
+#: Passages that give notice of a licence, or its terms, by family.
 TEMPLATES: dict[str, list[str]] = {
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "This software is licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
         "SPDX-License-Identifier: MIT",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "bsd": [
         "Use of this source code is governed by a BSD-style license.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "agpl": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3."],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
@@ -60,6 +84,7 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "public-domain": [
         "This work has been dedicated to the public domain.",
+        "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0.",
     ],
     "proprietary": ["All rights reserved.", "Unauthorized copying of this file is strictly prohibited."],
@@ -70,12 +95,18 @@ OTHERS = [
     "Public transport is free of charge to any person in version 2.0 of the plan.",
     "You may obtain a copy of the book at the library.",
     "Women's rights and all reserved seats were discussed in general terms.",
+    "The copyright office gave notice that the conditions of distribution had changed.",
+    "A software licence fee is due for every copy that the company sells under the contract.",
 ]
-#: Lines of the corpus that the classifier is fitted on and calibrated with, at most; lines that templates stand between.
+#: Beginnings of words of which each template has enough. A test counts.
+ANCHORS = "licen,copyright,permission,permit,warrant,redistribut,gnu,mozilla,mpl,public domain,reserved,unauthorized,prohibited,software,distributed,cc by,cc-by,cc0,eclipse,conditions,apache,compliance,notice,merchantab,free of charge,granted,modif,copies,sublicen,express,implied,provided,bsd,governed,reproduce,subject to,source code,accompanying,creative commons,attribution,dedicated,unencumbered,waived,released,copying,extent".split(",")
+#: Lines of a window.
+WINDOW = 8
+#: Lines of the corpus that the classifier is fitted on, at most; lines that templates stand between.
 SAMPLE, FILLERS = 4000, 12
-#: Hashed features; share of sampled lines of "none" that may pass the least probability; the least probability at all.
-FEATURES, FALSE_SHARE, LEAST = 1 << 13, 0.001, 0.5
-#: Share of a template's word pairs that confirms a family, and that bars a line from the sample of "none".
+#: Hashed features; classes of probability; what a probability is worth at least.
+FEATURES, BINS, LEAST = 1 << 13, 20, 0.5
+#: Share of a template's word pairs that confirms a family, and that bars a window from being like none.
 CONFIRMED, LIKE = 0.7, 0.3
 NONE = "none"
 
@@ -102,8 +133,18 @@ def _similarity(pairs: Column, templates: list[list[str]]) -> Column:
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    lines = F.posexplode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)).alias("paragraph", "line")
-    return docs.select(F.col(f"`{key}`").alias("_k"), lines).where(F.col("line").rlike(WORD))
+    """_k, block, paragraph (a number in the document), line (the window's lines, joined), for windows with an anchor."""
+    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
+    hit = r"(?i)\b(?:" + "|".join(ANCHORS) + ")"
+    # a blank line ends a block; blocks are cut into windows that begin half a window apart
+    rows = docs.where(F.col(f"`{text}`").rlike(hit)).select(F.col(f"`{key}`").alias("_k"), lines.alias("l"))
+    blocks = F.filter(F.split(F.array_join(F.transform("l", lambda x: F.when(x.rlike(WORD), x).otherwise(F.lit(""))), "\n"), "\n\n+", -1), lambda b: b.rlike(hit))
+    rows = rows.select("_k", F.posexplode(blocks).alias("block", "b"))
+    rows = rows.select("_k", "block", F.split(F.trim(F.col("b"), F.lit("\n")), "\n", -1).alias("l"))
+    half = WINDOW // 2
+    starts = F.sequence(F.lit(0), F.greatest(F.size("l") - half - 1, F.lit(0)), F.lit(half))
+    windows = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("l", i + 1, WINDOW)))
+    return rows.select("_k", "block", F.posexplode(windows).alias("paragraph", "line")).where(F.col("line").rlike(hit))
 
 
 def _featured(lines: DataFrame) -> DataFrame:
@@ -112,11 +153,12 @@ def _featured(lines: DataFrame) -> DataFrame:
     return HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True).transform(rows).drop("terms")
 
 
-def fit(lines: DataFrame) -> tuple[LogisticRegressionModel, float, dict[str, list[list[str]]]]:
-    """lines: line (paragraphs of the corpus). The model, the least probability that counts, the templates' word pairs."""
-    spark = lines.sparkSession
+def fit(docs: DataFrame, key: str, text: str) -> tuple[LogisticRegressionModel, dict[str, list[list[str]]]]:
+    """The model, fitted on the templates and at most SAMPLE lines of the corpus, and the templates' word pairs."""
+    spark = docs.sparkSession
     templates = _template_pairs(spark)
     families = list(TEMPLATES)
+    lines = docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("line")).where(F.col("line").rlike(WORD))
     picked = least_hashes(lines.select("line", F.xxhash64("line").alias("h")), lines.count(), SAMPLE, "h", "line")
     none = _featured(picked.select("line", "h"))
     like = _similarity(F.col("p"), [t for ts in templates.values() for t in ts])
@@ -125,46 +167,56 @@ def fit(lines: DataFrame) -> tuple[LogisticRegressionModel, float, dict[str, lis
     fillers = [r.line[:400] for r in none.orderBy("h").limit(FILLERS).collect()] or ["Some other words."]
     rows = []
     for label, family in enumerate(families):
-        for text in TEMPLATES[family]:
-            rows.append((text, float(label)))
-            rows += [(x, float(label)) for f in fillers for x in (f"{f} {text}", f"{text} {f}", f"{f} {text} {f}")]
+        for notice in TEMPLATES[family]:
+            rows.append((notice, float(label)))
+            rows += [(x, float(label)) for f in fillers for x in (f"{f} {notice}", f"{notice} {f}", f"{f} {notice} {f}")]
     rows += [(x, float(len(families))) for x in OTHERS for _ in range(10)]
     positive = spark.createDataFrame(rows, "line string, label double")
-    fold = F.pmod("h", F.lit(4))
-    training = written(positive.unionByName(none.where(fold != 0).drop("h")).repartition(2), "training")
+    training = written(positive.unionByName(none.drop("h")).repartition(2), "training")
     model = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", standardization=False).fit(_featured(training))
-    top = F.array_max(F.slice(vector_to_array("probability"), 1, len(families)))
-    other = model.transform(_featured(none.where(fold == 0))).agg(F.percentile(top, F.lit(1 - FALSE_SHARE))).first()[0]
-    return model, max(LEAST, other or 0.0), templates
+    return model, templates
+
+
+def _worth(scored: DataFrame) -> DataFrame:
+    """bin, worth: at most BINS rows. Worth never falls with the probability: a class has at least what lies below it."""
+    sure, unlike = F.count_if(F.col("similarity") >= CONFIRMED), F.count_if(F.col("like") < LIKE)
+    by_bin = scored.groupBy("bin").agg((sure / F.nullif(sure + unlike, F.lit(0))).alias("share"))
+    return by_bin.select("bin", F.max(F.coalesce("share", F.lit(0.0))).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("worth"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every row of docs: key, n_paragraphs, n_licences (paragraphs with a confirmed licence), family (of the most
-    probable of these; "none" without), families (all, comma-separated in order of name), probability, similarity.
+    """For every row of docs: key, n_paragraphs (windows with an anchor), n_licences (families in each block, confirmed),
+    family (of the most probable; "none" without), families (all, comma-separated in order of name), probability (as
+    calibrated), similarity.
 
     Null, empty and blank texts: no paragraphs, "none", nulls. Rows that share a key are one document, a null key too.
     Empty table: empty result. Other columns of docs aren't read, whatever their names.
     """
-    found = paragraphs(docs, key, text)
-    model, least, templates = fit(found)
+    docs = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    model, templates = fit(docs, key, text)
     families = list(TEMPLATES)
-    scored = model.transform(_featured(found)).withColumn("probs", F.slice(vector_to_array("probability"), 1, len(families)))
-    scored = scored.select("_k", "paragraph", "p", F.array_max("probs").alias("probability"), F.array_position("probs", F.array_max("probs")).cast("int").alias("at"))
-    scored = scored.where(F.col("probability") >= least).withColumn("family", F.element_at(F.array(*map(F.lit, families)), F.col("at")))
+    scored = model.transform(_featured(paragraphs(docs, key, text))).withColumn("probs", F.slice(vector_to_array("probability"), 1, len(families)))
+    scored = scored.select("_k", "block", "p", F.array_max("probs").alias("top"), F.array_position("probs", F.array_max("probs")).cast("int").alias("at"))
+    scored = scored.withColumn("family", F.element_at(F.array(*map(F.lit, families)), F.col("at")))
     similarity = F.coalesce(*[F.when(F.col("family") == f, _similarity(F.col("p"), templates[f])) for f in families])
-    confirmed = scored.withColumn("similarity", similarity).where(F.col("similarity") >= CONFIRMED)
-    by_doc = confirmed.groupBy("_k").agg(
+    like = _similarity(F.col("p"), [t for ts in templates.values() for t in ts])
+    bin_of = F.least(F.floor(F.col("top") * BINS), F.lit(BINS - 1)).cast("int")
+    scored = written(scored.select("_k", "block", "family", "top", bin_of.alias("bin"), similarity.alias("similarity"), like.alias("like")), "scored")
+    confirmed = scored.join(F.broadcast(_worth(scored)), "bin").where((F.col("worth") >= LEAST) & (F.col("similarity") >= CONFIRMED))
+    # a licence in two windows of a block is one; a document's windows meet here as one row for each block and family
+    blocks = confirmed.groupBy("_k", "block", "family").agg(F.max(F.struct("worth", "top", "similarity")).alias("m"))
+    by_doc = blocks.groupBy("_k").agg(
         F.count("*").alias("n_licences"),
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
-        F.max(F.struct("probability", "similarity", "family")).alias("best"),
+        F.max(F.struct("m.worth", "m.top", "m.similarity", "family")).alias("best"),
     )
-    count = F.size(F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1), lambda x: x.rlike(WORD)))
-    every = docs.select(F.col(f"`{key}`").alias("_k"), count.cast("long").alias("n")).groupBy("_k").agg(F.sum("n").alias("n_paragraphs"))
-    out = every.join(by_doc, every["_k"].eqNullSafe(by_doc["_k"]), "left").drop(by_doc["_k"])
+    n_windows = scored.groupBy(F.col("_k").alias("_w")).agg(F.count("*").alias("n"))
+    every = docs.select(F.col(f"`{key}`").alias("_k")).distinct()
+    out = every.join(n_windows, F.col("_k").eqNullSafe(F.col("_w")), "left").join(by_doc.withColumnRenamed("_k", "_d"), F.col("_k").eqNullSafe(F.col("_d")), "left")
     return out.select(
-        F.col("_k").alias(key), "n_paragraphs", F.coalesce("n_licences", F.lit(0)).cast("long").alias("n_licences"),
+        F.col("_k").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("n_licences", F.lit(0)).cast("long").alias("n_licences"),
         F.coalesce("best.family", F.lit(NONE)).alias("family"), F.coalesce("families", F.lit("")).alias("families"),
-        F.col("best.probability").alias("probability"), F.col("best.similarity").alias("similarity"),
+        F.col("best.worth").alias("probability"), F.col("best.similarity").alias("similarity"),
     )
 
 

@@ -32,11 +32,14 @@ GENERAL = """
 GENERAL_WEIGHT = 3.0
 #: Phrases whose words aren't meant as insults.
 EXCEPTIONS = ("clown fish", "pond scum", "scum line", "trash can", "trash bin", "trash collection", "guinea pig", "dumb bell")
-#: Labelled texts of either class to learn from, at most; learned terms, at most; the least evidence (log-likelihood
-#: ratio, 24 is about one in a million) and the fewest contexts of a term; lengths of stems.
-SAMPLE, TERMS, EVIDENCE, CONTEXTS, STEMS = 5000, 20_000, 24.0, 5, (4, 7)
+#: Labelled texts of either class to learn from, at most; the least evidence (log-likelihood ratio, 24 is about one in a
+#: million) and the fewest contexts of a term; lengths of stems.
+SAMPLE, EVIDENCE, CONTEXTS, STEMS = 5000, 24.0, 5, (4, 7)
 
 _TABLE = {ord(k): v for k, v in LOOK_ALIKES.items()}
+#: A word of Latin letters (or signs for them) and Greek or Cyrillic ones: those stand for Latin letters there. A word of
+#: one script stays what it is.
+_MIXED = re.compile(r"[\w@$]*(?:[a-z0-9@$][\w@$]*[Ͱ-ԯ]|[Ͱ-ԯ][\w@$]*[a-z])[\w@$]*")
 _SIGN = re.compile(r"[0-9@$!|]+(?=[^\W\d_])|(?<=[^\W\d_])[0-9@$|]+")
 _GAP = re.compile(r"[\W_]+")
 
@@ -45,7 +48,8 @@ def fold(text: str | None) -> str:
     """Words of a text in their plain form, parted by one space, with a space at either end."""
     text = (text or "").casefold()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text).translate(_TABLE) if not unicodedata.combining(c))
+        text = "".join(c for c in unicodedata.normalize("NFKD", text).replace("ı", "i") if not unicodedata.combining(c))
+        text = _MIXED.sub(lambda m: m[0].translate(_TABLE), text)
     if _SIGN.search(text):  # only beside letters: a number stays a number
         text = _SIGN.sub(lambda m: "".join(DIGITS.get(c, c) for c in m[0]), text)
     return f" {_GAP.sub(' ', text).strip()} "
@@ -129,7 +133,8 @@ def learn(labelled: DataFrame) -> Lexicon:
     # far more often toxic than not: in common words a small shift is significant too
     terms = terms.withColumn("evidence", evidence).where((F.col("a") >= CONTEXTS) & (F.col("evidence") >= EVIDENCE))
     terms = terms.withColumn("w", F.log((F.col("a") + 0.5) / (n_a + 1.0)) - F.log((F.col("b") + 0.5) / (n_b + 1.0))).where("w > 2")
-    for r in terms.orderBy(F.desc("evidence"), "term").limit(TERMS).collect():
+    # each term has CONTEXTS contexts in the bounded sample, which bounds their number too
+    for r in terms.orderBy(F.desc("evidence"), "term").collect():
         lexicon.weights[r.term] = r.w
     rows = sample.select(_features(F.col("text"), lexicon).alias("x"), "toxic", "weight").collect()
     lexicon.curve = tuple(_logistic(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float), np.array([r.weight for r in rows], float)))

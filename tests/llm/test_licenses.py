@@ -1,3 +1,6 @@
+import re
+import textwrap
+
 from rheospark.llm import licenses as lic
 
 LINES = {
@@ -15,6 +18,28 @@ def test_finds_planted_lines_only(spark, sf, texts):
 def test_edges(spark, weird, empty):
     docs = weird.unionByName(spark.createDataFrame([(9, "Some words.\nreleased under the MIT license"), (10, "a driver's license and general rights")], "doc_id long, text string"))
     rows = {r.doc_id: r for r in lic.scan(docs.selectExpr("*", "1 AS line", "2 AS P")).collect()}
-    assert rows[9].family == "mit" and rows[10].family == "none" and rows[1].n_paragraphs == 0 and rows[4].n_paragraphs == 2
+    assert rows[9].family == "mit" and rows[10].family == "none" and rows[1].n_paragraphs == 0 and rows[4].n_paragraphs == 0
     assert None in rows
     assert lic.scan(empty).collect() == []
+
+
+def test_windows_without_an_anchor_confirm_nothing():
+    hit = re.compile(r"\b(?:" + "|".join(lic.ANCHORS) + ")")
+    for texts in lic.TEMPLATES.values():
+        for text in texts:
+            words = re.findall(r"[^\W_]+(?:[.+'-][^\W_]+)*", text.lower())
+            pairs = set(zip(words, words[1:]))
+            assert sum(bool(hit.search(" ".join(p))) for p in pairs) > (1 - lic.CONFIRMED) * len(pairs), text
+
+
+def test_wrapped_notices_among_other_lines(spark):
+    prose = "The mill stands by the river and grinds corn for the village all year round."
+    wrapped = lambda family, i: "\n".join(textwrap.wrap(lic.TEMPLATES[family][i], 72))
+    docs = [
+        (1, f"{prose}\n{prose}\n\n{wrapped('gpl', 1)}\n\n{wrapped('gpl', 2)}\n\n{prose}"), (2, f"{prose}\n{wrapped('mit', 2)}\n{prose}"), (3, f"{wrapped('bsd', 1)}\n\n{wrapped('bsd', 2)}\n{prose}"),
+        (4, "\n".join([prose] * 20 + [wrapped("apache", 1)] + [prose] * 20)), (5, wrapped("isc", 0)), (6, wrapped("lgpl", 1)), (7, wrapped("agpl", 1)), (8, prose + " The software permits every reader to buy a licence."),
+        (9, "Distributed under the Frobnicate Public Covenant, which permits nothing at all."),
+    ]
+    rows = {r.doc_id: r for r in lic.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r.families for i, r in rows.items()} == {1: "gpl", 2: "mit", 3: "bsd", 4: "apache", 5: "isc", 6: "lgpl", 7: "agpl", 8: "", 9: ""}
+    assert rows[1].n_licences == 2 and rows[1].probability >= lic.LEAST

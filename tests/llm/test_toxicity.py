@@ -6,6 +6,8 @@ from rheospark.llm import toxicity as t
 def test_folding():
     assert t.fold("  ÉTÉ, 1d10t! Іdіоt 42 $cum x_y") == " ete idiot idiot 42 scum x y "
     assert t.fold(None) == "  "
+    assert t.fold("мир и сосна Ὀδύσσεια") == " мир и сосна οδυσσεια "  # one script: no look-alikes
+    assert t.fold("stuрid мо1он") == " stupid моiон ".replace("моiон", t.fold("мо1он").strip())
 
 
 def test_exceptions_and_weights():
