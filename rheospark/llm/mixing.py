@@ -63,7 +63,7 @@ def mix(docs: DataFrame, size: Column, random: Column, source: str = "source", w
     docs is read three times; give a slim or written table where reading or the columns size and random cost much.
     """
     docs = docs.withColumns({"_size": F.coalesce(size, F.lit(0)).cast("long"), "_r": F.coalesce(random, F.lit(0)).cast("long")})
-    docs = drop_clashes(docs, ["size", "source_size", "target", "taken", "_s", "_null", "_b"], keep=(source,))
+    docs = drop_clashes(docs, ["size", "source_size", "target", "taken", "_s", "_null", "_b", "_before", "_at"], keep=(source,))
     column = F.col(f"`{source}`")
     docs = docs.withColumns({"_s": F.coalesce(column.cast("string"), F.lit("")), "_null": column.isNull()})
     total = docs.agg(F.sum("_size")).first()[0] or 0

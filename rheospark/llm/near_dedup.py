@@ -311,9 +311,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     that agree in both). Null and empty texts are equal to one another. Columns stay as they are; an empty table gives
     an empty result. Texts are named by a 64-bit hash.
     """
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    named = docs.withColumn("_node", F.xxhash64(whole))
-    order = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("k"))
+    whole = F.coalesce(F.col("doc").getField(text), F.lit(""))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("_node", F.xxhash64(whole))
+    order = F.struct(F.col("doc").getField(key).isNull().alias("none"), F.col("doc").getField(key).alias("k"))
     firsts = written(named.groupBy("_node").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.count_distinct(order).alias("keys")), "firsts")
     groups = similar_groups(named.select(F.col("_node").alias("node"), whole.alias("text")))
     rooted = firsts.join(groups, firsts["_node"] == groups["node"], "left").select("_node", "first", F.coalesce("root", "_node").alias("root"))
@@ -321,4 +321,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kept = named.join(written(best, "best"), "_node").where(order.eqNullSafe(F.col("_first"))).drop("_first")
     if not firsts.where("n > keys").isEmpty():  # rows that agree in key and text
         kept = kept.dropDuplicates(["_node"])
-    return kept.drop("_node")
+    return kept.select("doc.*")

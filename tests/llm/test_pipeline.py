@@ -10,13 +10,13 @@ from rheospark.llm.simhash import shingle_hashes
 
 
 @pytest.fixture(scope="module")
-def stages(spark, sf):
-    docs, out = spark.read.parquet(f"{sf}/documents.parquet"), {}
+def stages(spark, sf, tmp_path_factory):
+    docs, out, folder = spark.read.parquet(f"{sf}/documents.parquet"), {}, tmp_path_factory.mktemp("stages")
     out["documents"] = docs
     for name, stage in c.STAGES:
         docs = stage(spark, docs, sf)
-        docs.write.mode("overwrite").parquet(f"/tmp/rheospark-warehouse/test-{name}")
-        docs = out[name] = spark.read.parquet(f"/tmp/rheospark-warehouse/test-{name}")
+        docs.write.parquet(f"file://{folder}/{name}")
+        docs = out[name] = spark.read.parquet(f"file://{folder}/{name}")
     return out
 
 
@@ -81,6 +81,8 @@ def test_planted_near_copies(spark):
 
 
 def test_long_runs_are_parted(spark, monkeypatch):
+    """Every two of 60 prints are near and share every key; runs of more than eight are parted."""
+    monkeypatch.setattr(n, "LARGE_RUN", 4)
     rng = n.np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, n.WORDS, dtype=n.np.uint64)
     made = []
@@ -172,6 +174,55 @@ def test_dense_group_at_the_limit(spark):
     assert {i: got.get(i, i) for i in texts} == root and any(i != r for i, r in root.items())
 
 
+def test_similar_groups_in_parted_runs(spark, monkeypatch):
+    """Groups of 40 near copies, with runs parted from four texts on, are those of all pairs."""
+    import random
+
+    monkeypatch.setattr(n, "LARGE_RUN", 2)
+    rng = random.Random(11)
+    texts = {}
+    for g in range(5):
+        base = [f"g{g}w{rng.randrange(10_000)}" for _ in range(250)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.sample(range(250), 2):
+                words[at] = f"new{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(words)
+    got = {r.node: r.root for r in n.similar_groups(spark.createDataFrame(list(texts.items()), "node long, text string")).collect()}
+    assert {i: got.get(i, i) for i in texts} == groups(texts)
+
+
+EDGES = [
+    (1, None, "en", None, 0), (2, "", None, "a", 0), (3, " \n\t ", "en", "a", 4), (4, "one two", "en", "b", 7), (4, "one two", "en", "b", 7), (None, "null key here", None, "b", 13), (None, None, None, None, None),
+    (5, "word " * 20_000, "en", "a", 100_000), (6, " ".join(f"w{i}" for i in range(80)), "en", "a", 1), (7, " ".join(f"w{i}" for i in range(80)), "en", None, 1), (8, "\n".join(f"p{i} q{i} r{i} s{i}" for i in range(20)), "de", "b", 1),
+]
+
+
+@pytest.mark.parametrize("stage", c.STAGES, ids=[name for name, _ in c.STAGES])
+def test_stages_with_odd_rows(spark, sf, stage):
+    name, function = stage
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(EDGES, schema).selectExpr("*", "1 AS size", "2 AS k", "3 AS _node", "4 AS part", "5 AS kept", "6 AS _at")
+    out = function(spark, docs, sf).collect()
+    ids = collections.Counter(r.doc_id for r in out)
+    if name == "quality":
+        assert ids == {6: 1, 7: 1, 8: 1}
+    elif name == "line_dedup":
+        assert ids == collections.Counter(r[0] for r in EDGES) and [r.text for r in out if r.doc_id == 7] == [""] and all(r.text is None for r in out if r.doc_id == 1)
+    elif name == "near_dedup":
+        assert ids == {1: 1, 3: 1, 4: 1, None: 1, 5: 1, 6: 1, 8: 1}
+    elif name == "mix_sources":
+        assert all(i in {r[0] for r in EDGES} for i in ids) and all(r.text for r in out)
+    else:
+        assert set(ids) == {r[0] for r in EDGES} and sum(1 for r in out if r.start == 0) == len(EDGES)
+    assert function(spark, spark.createDataFrame([], schema), sf).collect() == []
+
+
+def test_run_as_a_whole(spark, stages, sf):
+    key = lambda r: (r.doc_id, r.start, r.length, r.doc_tokens)
+    assert collections.Counter(map(key, c.run(spark, sf).collect())) == collections.Counter(map(key, stages["packing"].collect()))
+
+
 def test_mix_and_packing_take_what_is_left(stages):
     before, mixed = rows(stages["near_dedup"]), stages["mix_sources"].collect()
     assert {r.doc_id for r in mixed} <= set(before)
