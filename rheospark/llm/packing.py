@@ -9,7 +9,7 @@ the records at the boundaries of partitions, and those only if whole sequences a
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +18,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_arrow_batches, table, written
-from .tokens import word_encoder
+from .tokens import forget_words, word_encoder
 
 SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Bytes of texts that are encoded together, about.
+CHUNK_BYTES = 16_000_000
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def _larger(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold `least` bytes, for words that repeat within a batch are looked up once."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.concat_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """First pass: part, doc_id, local_start, n_tokens, width, ids of every row of docs, written to the shared folder.
 
@@ -38,18 +53,19 @@ def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_I
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         part, start = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
-        for batch in batches:
-            ids = [x + end for x in encoder.encode([x or "" for x in batch.column(1).to_pylist()])]
-            sizes = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
-            starts = start + np.cumsum(sizes) - sizes
-            start += int(sizes.sum())
-            constant = lambda v, n=len(ids): pa.array(np.full(n, v, np.int32))
+        for batch in _larger(batches, CHUNK_BYTES):
+            ids, sizes = encoder.encode(batch.column(1))
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes += 1
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            constant = lambda v, n=len(sizes): pa.array(np.full(n, v, np.int32))
+            binary = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [constant(part), batch.column(0), pa.array(starts), pa.array(sizes), constant(width), pa.array(ids, pa.binary())],
+                [constant(part), batch.column(0), pa.array(start + ends[:-1]), pa.array(sizes), constant(width), binary],
                 ["part", "doc_id", "local_start", "n_tokens", "width", "ids"],
             )
+            start += int(ends[-1])
 
     schema = f"part int, doc_id {key_type}, local_start long, n_tokens long, width int, ids binary"
     return written(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(encode, schema), "tokens")
@@ -85,10 +101,15 @@ def cut_pieces(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
     return with_global_start(tokens).select("doc_id", "start", "n_tokens", "width", "ids").mapInArrow(cut, schema)
 
 
-def window_parts(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """sequence_id, offset, ids: sequences whole where a task has all of one, else its parts (at boundaries of tasks)."""
+PARTS = "sequence_id long, offset long, ids binary"
+
+
+def window_parts(tokens: DataFrame, size: int = SEQUENCE, then: Callable[[Iterator], Iterator] = iter, schema: str = PARTS) -> DataFrame:
+    """sequence_id, offset, ids: sequences whole where a task has all of one, else its parts (at boundaries of tasks).
+    `then` takes the batches on in the same Python worker and gives batches of `schema`."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         kept, begin = b"", -1  # ids that still wait for more, and where in the stream they begin
         for batch in batches:
             rows: list[tuple] = []
@@ -107,7 +128,7 @@ def window_parts(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:
         if kept:
             yield _pieces([(begin // size, begin % size, kept)])
 
-    return with_global_start(tokens).select("start", "width", "ids").mapInArrow(fill, "sequence_id long, offset long, ids binary")
+    return with_global_start(tokens).select("start", "width", "ids").mapInArrow(lambda batches: then(fill(batches)), schema)
 
 
 def sequences(tokens: DataFrame, size: int = SEQUENCE) -> DataFrame:

@@ -2,26 +2,30 @@
 
 The permutation is a Feistel network over the smallest domain of an even number of bits that holds all sequence ids; an
 id that falls outside is walked on through the network until it falls inside. So the slot of a sequence, and the
-sequence of a slot, follow from the key and the number of sequences alone. Shards hold equally many slots each and one
-task writes a shard in order of its slots. A record is the ids of one sequence, padded to the full length, and a line
-feed: record r of a shard begins at byte r * stride, so reading can begin, and go on, at any slot.
+sequence of a slot, follow from the key and the number of sequences alone. Shards hold equally many slots each, a range
+of slots is a partition, and one task writes it in order. A record is the slot (eight bytes), the ids of one sequence,
+padded to the full length, and a line feed: record r of a shard begins at byte r * stride, so reading can begin, and go
+on, at any slot.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_arrow_batches, table
+from .common import discard, fresh_path, small_arrow_batches, table
 from .packing import SEQUENCE, id_width, token_table, window_parts
+from .tokens import forget_words
 
-KEY, ROUNDS, SHARD_ROWS, PAD_ID = 20240607, 6, 256, 0
+KEY, ROUNDS, PAD_ID, HEADER = 20240607, 6, 0, 8
+#: Records of a shard: 128 MB of two-byte ids.
+SHARD_ROWS = 1 << 15
 MANIFEST = "sequences long, size int, width int, shard_rows long, key long"
 
 
@@ -52,14 +56,6 @@ def permute(ids: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> n
     return out.astype(np.int64)
 
 
-def slot(sequence_id: Column, n: int, key: int = KEY) -> Column:
-    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series(permute(ids.to_numpy(), n, key))
-
-    return F.pandas_udf(make, "long")(sequence_id)
-
-
 def _pack(ids: bytes, width: int) -> bytes:
     """Compressed for the shuffle; first the low bytes of all ids, then the next ones, as those repeat more."""
     return zlib.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 1)
@@ -70,10 +66,11 @@ def _unpack(packed: bytes, width: int) -> bytes:
 
 
 def write_shards(tokens: DataFrame, path: str, size: int = SEQUENCE, key: int = KEY, shard_rows: int = SHARD_ROWS) -> int:
-    """tokens: a token_table(). Write path/data/shard=S/part-*.txt and path/manifest.
+    """tokens: a token_table(). Write path/data, a file for each shard with names in the order of shards, and path/manifest.
 
-    Parts of sequences go to the task of their shard, the range of slots that the permutation deals them to, and meet there
-    in order of slot and offset. Returns the number of sequences. An empty table gives a manifest of 0 sequences.
+    Parts of sequences go to the partition of their shard, the range of slots that the permutation deals them to, and meet
+    there in order of slot and offset; the task writes them as they come. Returns the number of sequences. An empty table
+    gives a manifest of 0 sequences.
     """
     spark = tokens.sparkSession
     n = -(-(tokens.agg(F.sum("n_tokens")).first()[0] or 0) // size)
@@ -84,36 +81,31 @@ def write_shards(tokens: DataFrame, path: str, size: int = SEQUENCE, key: int =
         for batch in batches:
             slots = permute(batch.column(0).to_numpy(), n, key)
             small = [_pack(x, width) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(slots // shard_rows), pa.array(slots), batch.column(1), pa.array(small, pa.binary())], ["shard", "slot", "offset", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(1), pa.array(small, pa.binary())], ["slot", "offset", "ids"])
 
     def pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         filler = np.array([PAD_ID], f"<u{width}").tobytes()
-        record = lambda x: x + filler * (size - len(x) // width)
-        now, ids = None, b""  # (shard, slot) and what has been read of it
+        record = lambda slot, x: slot.to_bytes(HEADER, "little") + x + filler * (size - len(x) // width)
+        now, ids = None, b""  # slot and what has been read of it
         for batch in batches:
-            shards, slots, records = [], [], []
-            for shard, slot, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if now != (shard, slot):
-                    if now:
-                        shards.append(now[0])
-                        slots.append(now[1])
-                        records.append(record(ids))
-                    now, ids = (shard, slot), b""
+            records = []
+            for slot, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now != slot:
+                    if now is not None:
+                        records.append(record(now, ids))
+                    now, ids = slot, b""
                 ids += _unpack(packed, width)
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(slots, pa.int64()), pa.array(records, pa.binary())], ["shard", "slot", "record"])
-        if now:
-            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in now), pa.array([record(ids)], pa.binary())], ["shard", "slot", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([record(now, ids)], pa.binary())], ["record"])
 
     if n:
-        shards = -(-n // shard_rows)
-        parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 64))
-        dealt = window_parts(tokens, size).mapInArrow(deal, "shard long, slot long, offset long, ids binary")
-        sorted_ = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "slot", "offset")
-        records = sorted_.select("shard", "slot", "ids").mapInArrow(pad, "shard long, slot long, record binary")
-        # they are in order, but the writer sorts by shard alone if it can't know that
-        records = records.sortWithinPartitions("shard", "slot")
+        dealt = window_parts(tokens, size, deal, "slot long, offset long, ids binary")
+        dealt = dealt.repartitionById(-(-n // shard_rows), F.floor(F.col("slot") / shard_rows).cast("int"))
+        records = dealt.sortWithinPartitions("slot", "offset").select("slot", "ids").mapInArrow(pad, "record binary")
         # the bytes of a binary go through a string unchanged; each record ends with a line feed
-        records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/data")
+        records.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", 0).text(f"{path}/data")
     spark.createDataFrame([(n, size, width, shard_rows, key)], MANIFEST).coalesce(1).write.json(f"{path}/manifest")
     return n
 
@@ -122,58 +114,49 @@ def manifest(spark: SparkSession, path: str) -> dict:
     return spark.read.schema(MANIFEST).json(f"{path}/manifest").first().asDict()
 
 
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
-    """slot, shard, byte_offset, sequence_id, ids (array) of all records from a slot on; shards before it aren't opened."""
-    m = manifest(spark, path)
-    schema = "slot long, shard long, byte_offset long, sequence_id long, ids array<long>"
+def _records(spark: SparkSession, path: str, m: dict, from_slot: int, row: Callable[[np.ndarray], object], schema: str) -> DataFrame:
+    """slot, shard, byte_offset, sequence_id and row(ids) of every record from a slot on. Spark has no DataFrame reader for
+    records of fixed length; its RDD reader cuts files of any size between records."""
     if from_slot >= m["sequences"]:
         return spark.createDataFrame([], schema)
-    stride = m["size"] * m["width"] + 1
-    files = spark.read.format("binaryFile").load(f"{path}/data").where(F.col("shard") >= from_slot // m["shard_rows"])
-    small_arrow_batches(spark, 4)
+    files = spark.read.format("binaryFile").load(f"{path}/data").select("path").orderBy("path")  # names only, not what is in them
+    first = from_slot // m["shard_rows"]
+    paths = ",".join(r.path for r in files.collect()[first:]) if first else f"{path}/data/part-*"
+    stride, width, key, n, of_shard = HEADER + m["size"] * m["width"] + 1, m["width"], m["key"], m["sequences"], m["shard_rows"]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                records = np.frombuffer(content, np.uint8).reshape(-1, stride)[:, :-1]
-                ids = np.ascontiguousarray(records).view(f"<u{m['width']}").astype(np.int64)
-                offsets = np.arange(len(ids)) * stride
-                slots = shard * m["shard_rows"] + np.arange(len(ids))
-                rows = [pa.array(slots), pa.array(np.full(len(ids), shard)), pa.array(offsets), pa.array(permute(slots, m["sequences"], m["key"], inverse=True))]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * m["size"]), pa.array(ids.ravel()))
-                yield pa.RecordBatch.from_arrays([*rows, lists], ["slot", "shard", "byte_offset", "sequence_id", "ids"])
+    def parse(records: Iterator[bytes]) -> Iterator[tuple]:
+        while some := list(islice(records, 256)):
+            slots = np.array([int.from_bytes(x[:HEADER], "little") for x in some])
+            sequences = permute(slots, n, key, inverse=True).tolist()
+            for slot, sequence, x in zip(slots.tolist(), sequences, some, strict=True):
+                if slot >= from_slot:
+                    shard, at = divmod(slot, of_shard)
+                    yield slot, shard, at * stride, sequence, row(np.frombuffer(x[HEADER:-1], f"<u{width}"))
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(paths, stride).mapPartitions(parse), schema)
 
-    return files.select(F.col("shard").cast("long"), "content").mapInArrow(parse, schema).where(F.col("slot") >= from_slot)
+
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
+    """slot, shard, byte_offset, sequence_id, ids (array) of all records from a slot on; shards before it aren't opened."""
+    schema = "slot long, shard long, byte_offset long, sequence_id long, ids array<long>"
+    return _records(spark, path, manifest(spark, path), from_slot, lambda ids: ids.tolist(), schema)
 
 
-def materialise(docs: DataFrame, path: str, size: int = SEQUENCE, key: int = KEY) -> int:
+def materialise(docs: DataFrame, path: str, size: int = SEQUENCE, key: int = KEY, shard_rows: int = SHARD_ROWS) -> int:
     """Tokens of all rows of docs (doc_id, text), packed into sequences and written in training order below path.
 
     Null texts count as empty, repeated rows are rows like any other, extra columns aren't read, an empty table gives an
     empty manifest. Returns the number of sequences.
     """
-    return write_shards(token_table(docs), path, size, key)
+    tokens = token_table(docs.select("doc_id", "text"))
+    n = write_shards(tokens, path, size, key, shard_rows)
+    discard(tokens)
+    return n
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands in the written shards: a row for each sequence, read back."""
     path = fresh_path(spark, "shards")
     materialise(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    m = manifest(spark, path)
-    stride, rows_of, n, width, key = m["size"] * m["width"] + 1, m["shard_rows"], m["sequences"], m["width"], m["key"]
-    schema = "sequence_id long, slot long, shard long, byte_offset long, ids_crc32 long"
-    if not n:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load(f"{path}/data").select(F.col("shard").cast("long").alias("shard"), "content")
-    small_arrow_batches(spark, 4)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(-1, stride)[:, :-1]).view(f"<u{width}").astype("<u4")
-                slots = shard * rows_of + np.arange(len(ids))
-                crc = np.fromiter((zlib.crc32(x.tobytes()) for x in ids), np.int64, len(ids))
-                columns = [permute(slots, n, key, inverse=True), slots, np.full(len(ids), shard), np.arange(len(ids)) * stride, crc]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["sequence_id", "slot", "shard", "byte_offset", "ids_crc32"])
-
-    return files.mapInArrow(digest, schema)
+    schema = "slot long, shard long, byte_offset long, sequence_id long, ids_crc32 long"
+    return _records(spark, path, manifest(spark, path), 0, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), schema)

@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rheospark.llm import packing as p
 from rheospark.llm import training_order as t
@@ -17,9 +19,14 @@ def whole():
 
 
 def test_words_give_the_ids_of_whole_texts(whole):
-    texts = ["", " \n", "İstanbul can't DON'T we've.", "Σίσυφος ΟΔΥΣΣΕΥΣ, é", "<|endoftext|> a<|startoftext|>b.", "foo\x1cbar x y 中文, ́. ..,, 12.5, abc..., x,y", "été É."]
-    made = WordEncoder(p.TOKENIZER, limit=8).encode(texts * 3, chunk_chars=20)
-    assert [np.frombuffer(x, "<u2").tolist() for x in made] == [whole(x)[:-1] for x in texts * 3]
+    texts = ["", " \n", "İstanbul can't DON'T we've.", "Σίσυφος ΟΔΥΣΣΕΥΣ, é", "<|endoftext|> a<|startoftext|>b.", "foo\x1cbar x y 中文, ́. ..,, 12.5, abc..., x,y", "été É.",
+             "E\u0301te\u0301 œuvre ŒUVRE!! x$$$ a's b'. c'' <|x ß ẞ ЖУК жук ǅ \u00a0a\u2003b\u0085c", "<|ENDOFTEXT|> K Å ﬁ"]
+    for part in (texts, [x for x in texts if "endoftext" not in x.lower()]):
+        encoder = WordEncoder(p.TOKENIZER, limit=8)
+        ids, counts = encoder.encode(pa.array([*part * 3, None]), chunk_bytes=20)
+        want = [whole(x)[:-1] for x in [*part * 3, None]]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
 
 
 def check(rows, ids, size):
@@ -66,23 +73,36 @@ def test_permutation_is_one(n):
 
 
 def test_shards_round_trip(spark, whole, tmp_path):
-    rows = [(i, "some more words " * (i % 29)) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    """Every record against ids of the plain tokenizer, laid end to end in the order of the token table, and the permutation."""
+    rows = [(i, "some more words " * (i % 29)) for i in range(60)] + [(None, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("x")).repartition(5)
     tokens = p.token_table(docs)
-    found = p.sequences(tokens, 32)
+    by_id = {(i, len(whole(x))): whole(x) for i, x in rows}
+    ids = [x for r in tokens.orderBy("part", "local_start").collect() for x in by_id[r.doc_id, r.n_tokens]]
     path = f"file://{tmp_path}/shards"
     n = t.write_shards(tokens, path, 32, shard_rows=4)
-    want = {r.sequence_id: np.frombuffer(r.ids, "<u2").tolist() for r in found.collect()}
-    assert n == len(want) == -(-sum(len(whole(x)) for _, x in rows) // 32)
+    assert n == -(-len(ids) // 32) and len(ids) == sum(len(whole(x)) for _, x in rows)
     got = t.read_shards(spark, path).collect()
     assert sorted(r.slot for r in got) == list(range(n))
     for r in got:
-        ids = want[r.sequence_id]
-        assert r.ids == ids + [0] * (32 - len(ids)) and r.byte_offset == (r.slot % 4) * 65
+        part = ids[32 * r.sequence_id : 32 * r.sequence_id + 32]
+        assert r.ids == part + [0] * (32 - len(part)) and r.byte_offset == (r.slot % 4) * 73
+        assert r.slot == t.permute(np.array([r.sequence_id]), n)[0] and r.shard == r.slot // 4
+    files = sorted(tmp_path.glob("shards/data/part-*"))
+    assert len(files) == -(-n // 4)
+    for shard, file in enumerate(files):  # at its byte offset a record says its slot
+        raw = file.read_bytes()
+        assert [int.from_bytes(raw[at : at + 8], "little") for at in range(0, len(raw), 73)] == list(range(4 * shard, min(n, 4 * shard + 4)))
     assert sorted(r.slot for r in t.read_shards(spark, path, n // 2).collect()) == list(range(n // 2, n))
     assert t.read_shards(spark, path, n).collect() == []
 
 
+def test_weird_rows_in_shards(spark, weird, whole, tmp_path):
+    path = f"file://{tmp_path}/weird"
+    n = t.materialise(weird.selectExpr("*", "1 AS Ids", "2 AS shard"), path, 64, shard_rows=50)
+    assert n == -(-sum(len(whole(r.text)) for r in weird.collect()) // 64) == t.read_shards(spark, path).count()
+
+
 def test_empty_shards(spark, empty, tmp_path):
     assert t.materialise(empty, f"file://{tmp_path}/none") == 0
     assert t.read_shards(spark, f"file://{tmp_path}/none").collect() == []
@@ -90,4 +110,6 @@ def test_empty_shards(spark, empty, tmp_path):
 
 def test_op3_reads_back_what_op2_cuts(spark, sf):
     rows = t.op3_training_order(spark, sf).collect()
+    pieces = p.op2_concat_cut(spark, sf).groupBy("sequence_id").count().count()
+    assert len(rows) == pieces
     assert sorted(r.slot for r in rows) == sorted(r.sequence_id for r in rows) == list(range(len(rows)))
