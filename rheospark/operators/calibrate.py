@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_rows
 from .windows import rolling_offset
 
 
@@ -14,61 +15,55 @@ def alpha_of(feedback: Column, before: Column, jump: float = 2.0, same: float =
     return F.when(before.isNull(), first).when(changed, fast).otherwise(slow)
 
 
-def _fold(df: DataFrame, keys: list[str], order: list[str], step, start: Column, fields: list[str]) -> DataFrame:
-    """For each key its rows in order, folded: adds `state`, the state before each row. A key's rows are one array; keys
-    are compounds or families, and a long history is cut into periods that carry the state (start)."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in keys and c not in order]))).alias("_r"), F.count("*").alias("_n"))
-    zero = F.struct(start.alias("s"), F.array().cast("array<double>").alias("out"))
-    value = start if len(fields) == 1 else None
-    states = F.aggregate("_r", zero, lambda a, x: F.struct(step(a["s"], x).alias("s"), F.concat(a["out"], F.array(a["s"] if value is not None else a["s"][fields[0]])).alias("out")))["out"]
-    return rows.withColumn("_o", states).select(*keys, F.posexplode("_r").alias("_i", "_x"), "_o").select(*keys, "_x.*", F.get("_o", F.col("_i")).alias("state"))
-
-
 def ewma_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, k: int = 3, most: float = 4.0) -> DataFrame:
-    """correction (clipped state before the row) and calibrated prediction. The k-th labelled residual back, the row's own
+    """CA1: correction (clipped state before the row) and calibrated prediction. The k-th labelled residual back, the row's own
     counted, is the feedback a labelled row learns from, at a rate that depends on the feedback before it alone; so rates
     and feedbacks come from windows, and the fold is a linear recurrence."""
-    rows = df.withColumn("_res", F.col(y) - F.col(p))
+    rows = df.withColumn("_res", (F.col(y) - F.col(p)).cast("double"))
     w = Window.partitionBy(*keys, F.col("_res").isNotNull()).orderBy(*order)
     rows = rows.withColumns({"_f": F.when(F.col("_res").isNotNull(), F.lag("_res", k - 1).over(w)), "_g": F.when(F.col("_res").isNotNull(), F.lag("_res", k).over(w))})
     rows = rows.withColumn("_a", F.when(F.col("_f").isNotNull(), alpha_of(F.col("_f"), F.col("_g"))))
-    step = lambda s, x: F.when(x["_f"].isNull(), s).otherwise((1 - x["_a"]) * s + x["_a"] * x["_f"])
-    out = _fold(rows, keys, order, step, F.lit(0.0), ["s"])
-    correction = F.greatest(F.lit(-most), F.least(F.lit(most), F.col("state")))
-    return out.withColumns({"correction": correction, "calibrated": F.col(p) + correction}).drop("_res", "_f", "_g", "_a", "state")
+
+    def step(s: tuple, x: tuple) -> tuple:
+        feedback, rate = x
+        return s if feedback is None else ((1 - rate) * s[0] + rate * feedback,)
+
+    out = fold_rows(rows, keys, order, ["_f", "_a"], (0.0,), step, ["_state"])
+    correction = F.greatest(F.lit(-most), F.least(F.lit(most), F.col("_state")))
+    return out.withColumns({"correction": correction, "calibrated": F.col(p) + correction}).drop("_res", "_f", "_g", "_a", "_state")
 
 
 def kalman_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, q: float = 0.01, r: float = 1.0, alpha: float = 0.2, most: float = 6.0) -> DataFrame:
-    """kalman and ewma bias before each row, clipped."""
-    rows = df.withColumn("_res", F.col(y) - F.col(p))
+    """CA2: kalman and ewma bias before each row, clipped."""
+    rows = df.withColumn("_res", (F.col(y) - F.col(p)).cast("double"))
 
-    def step(s: Column, x: Column) -> Column:
-        var = s["v"] + q
-        gain = var / (var + r)
-        moved = F.struct((s["b"] + gain * (x["_res"] - s["b"])).alias("b"), ((1 - gain) * var).alias("v"))
-        return F.when(x["_res"].isNull(), s).otherwise(moved)
+    def step(s: tuple, x: tuple) -> tuple:
+        (bias, var, mean), (res,) = s, x
+        if res is None:
+            return s
+        gain = (var + q) / (var + q + r)
+        return bias + gain * (res - bias), (1 - gain) * (var + q), (1 - alpha) * mean + alpha * res
 
     clip = lambda c: F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c)))
-    out = _fold(rows, keys, order, step, F.struct(F.lit(0.0).alias("b"), F.lit(1.0).alias("v")), ["b", "v"]).withColumnRenamed("state", "_k")
-    ewma = lambda s, x: F.when(x["_res"].isNull(), s).otherwise((1 - alpha) * s + alpha * x["_res"])
-    out = _fold(out, keys, order, ewma, F.lit(0.0), ["s"])
-    return out.withColumns({"kalman": clip("_k"), "ewma": clip("state")}).drop("_res", "_k", "state")
+    out = fold_rows(rows, keys, order, ["_res"], (0.0, 1.0, 0.0), step, ["_b", "_v", "_e"])
+    return out.withColumns({"kalman": clip("_b"), "ewma": clip("_e")}).drop("_res", "_b", "_v", "_e")
 
 
 def adaptive_kalman(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, noise: float = 3.0, shift: float = 1.8, drift: float = 0.2, most_gain: float = 0.75) -> DataFrame:
-    """Kalman bias with gain 0.10 for innovations above `noise`, half more above `shift`, at most `most_gain`."""
-    rows = df.withColumn("_res", F.col(y) - F.col(p))
-
-    def step(s: Column, x: Column) -> Column:
-        off = F.abs(x["_res"] - s["b"])
-        var = s["v"] + drift
+    """CA3: Kalman bias with gain 0.10 for innovations above `noise`, half more above `shift`, at most `most_gain`."""
+    rows = df.withColumn("_res", (F.col(y) - F.col(p)).cast("double"))
+
+    def step(s: tuple, x: tuple) -> tuple:
+        (bias, var), (res,) = s, x
+        if res is None:
+            return s
+        off, var = abs(res - bias), var + drift
         plain = var / (var + 1.0)
-        gain = F.when(off > noise, 0.10).when(off > shift, F.least(1.5 * plain, F.lit(most_gain))).otherwise(F.least(plain, F.lit(most_gain)))
-        moved = F.struct((s["b"] + gain * (x["_res"] - s["b"])).alias("b"), ((1 - gain) * var).alias("v"))
-        return F.when(x["_res"].isNull(), s).otherwise(moved)
+        gain = 0.10 if off > noise else min(1.5 * plain if off > shift else plain, most_gain)
+        return bias + gain * (res - bias), (1 - gain) * var
 
-    out = _fold(rows, keys, order, step, F.struct(F.lit(0.0).alias("b"), F.lit(1.0).alias("v")), ["b", "v"])
-    return out.withColumn("calibrated", F.col(p) + F.col("state")).withColumnRenamed("state", "bias").drop("_res")
+    out = fold_rows(rows, keys, order, ["_res"], (0.0, 1.0), step, ["bias", "_v"])
+    return out.withColumn("calibrated", F.col(p) + F.col("bias")).drop("_res", "_v")
 
 
 def order_offset(df: DataFrame, keys: list[str], order: list[Column], y: str, p: str, state: DataFrame | None = None, most: float = 10.0) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import visible_values
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in a total order."""
@@ -186,12 +188,12 @@ def sample_to_batch_nearest(samples: DataFrame, batches: DataFrame, keys: list[s
 
 
 def pit_last_n(df: DataFrame, history: DataFrame, keys: list[str], start: str, visible: str, order: list[str], value: str, n: int) -> DataFrame:
-    """Mean and count of the last n values of the key that were visible before start. df has a unique row column `row_id`."""
-    side = history.select(*keys, visible, *[c for c in order if c not in (visible, *keys)], F.col(value).alias("_y"))
-    joined = df.select("row_id", start, *keys).join(side, keys).where(F.col(visible) < F.col(start))
-    last = first_rows(joined, ["row_id"], [F.col(c).desc() for c in order], n)
-    means = last.groupBy("row_id").agg(F.avg("_y").alias(f"last{n}_mean"), F.count("_y").alias(f"last{n}_n"))
-    return df.join(means, "row_id", "left")
+    """JN21: mean and count of the last n values of the key that were visible before start; see folds.visible_values()."""
+    out = visible_values(df, history, keys, F.col(start), F.col(visible), [F.col(c) for c in order], F.col(value), n, out="_last")
+    known = F.filter("_last", lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(known), F.lit(0))
+    count = F.when(F.size("_last") > 0, F.size(known).cast("long"))
+    return out.withColumns({f"last{n}_mean": mean, f"last{n}_n": count}).drop("_last")
 
 
 def expand_candidates(df: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:

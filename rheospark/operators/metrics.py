@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import cut
 from .aggs import corr, grouped_spearman, mode, pct
 
 
@@ -121,9 +122,11 @@ def deviation_corr(df: DataFrame, by: str, y: str, p: str, least: int = 3) -> Da
 
 
 def bucket_report(df: DataFrame, buckets: list[str], y: str, p: str, reason: str) -> DataFrame:
-    """Per kind of bucket and bucket: n, means, residual, errors, rank correlation, most frequent reason."""
+    """AG37: per kind of bucket and bucket: n, means, residual, errors, rank correlation, most frequent reason. The rows by
+    bucket are written once, for they are read for errors, ranks and reasons."""
     cells = F.array(*[F.struct(F.lit(b).alias("bucket_type"), F.col(b).cast("string").alias("bucket_value")) for b in buckets])
     rows = df.select(y, p, reason, F.explode(cells).alias("_b")).select(y, p, reason, "_b.*").where("bucket_value is not null")
+    rows = cut(rows, "buckets")
     keys = ["bucket_type", "bucket_value"]
     out = rows.groupBy(*keys).agg(F.avg(y).alias("actual_mean"), F.avg(p).alias("pred_mean"), F.avg(F.col(y) - F.col(p)).alias("residual_mean"), *error_aggs(y, p))
     return out.join(grouped_spearman(rows, keys, y, p), keys, "left").join(mode(rows, keys, reason, "reason_top1"), keys, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import visible_values
 from .joins import first_rows
 
 
@@ -42,37 +43,18 @@ def labelled_lag(df: DataFrame, keys: list[str], order: list[Column], value: str
     return df.where(F.col(value).isNotNull()).withColumns({"feedback": F.lag(value, k - 1).over(w), "feedback_before": F.lag(value, k).over(w)})
 
 
-def _reach(df: DataFrame, keys: list[str], order: list[Column], start: str, visible: str, value: str) -> int | None:
-    """How many of the rows before a row, in an order that begins with start, may not be visible yet: the most rows that a
-    key has within the longest delay. None where nulls or another order forbid to tell."""
-    if str(order[0]) != str(F.col(start)):
-        return None
-    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    delay, nulls = df.agg(F.max(at(visible) - at(start)), F.count_if(F.col(start).isNull() | F.col(visible).isNull() | F.col(value).isNull())).first()
-    if nulls or delay is None:
-        return None
-    near = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-max(int(delay), 0), Window.currentRow)
-    return df.select(*keys, at(start).alias("_at")).select(F.count("*").over(near).alias("n")).agg(F.max("n")).first()[0]
-
-
 def rolling_visible(df: DataFrame, keys: list[str], order: list[Column], start: str, visible: str, value: str, n_mean: int = 3, n_std: int = 10) -> DataFrame:
-    """Mean of the last n_mean and population deviation of the last n_std values of earlier rows (in `order`) of the key
-    that were visible strictly before the row's start.
-
-    A row looks back over as many rows as may be invisible yet and those it needs, which one pass over the times gives.
-    Where nulls or the order forbid that, over all earlier rows of the key: for large keys use joins.pit_last_n then."""
-    reach = _reach(df, keys, order, start, visible, value)
-    first = Window.unboundedPreceding if reach is None else -(reach + max(n_mean, n_std))
-    past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(first, -1)
-    seen = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(visible).alias("t"), F.col(value).cast("double").alias("y")))).over(past)
-    out = df.withColumn("_h", seen)
-    usable = F.transform(F.filter("_h", lambda x: x["t"] < F.col(start)), lambda x: x["y"])
-    out = out.withColumn("_h", usable)
-    last = lambda n: F.slice("_h", F.greatest(F.size("_h") - n + 1, F.lit(1)), n)
+    """WF6: mean of the last n_mean and population deviation of the last n_std known values of earlier rows (in `order`, which
+    begins with start) of the key that were visible strictly before the row's start. Rows count from the later of their own
+    start and visibility on; those visible before they start count for rows behind them that start with them. See
+    folds.visible_values()."""
+    known = df.where(F.col(value).isNotNull())
+    seen_at = F.when(F.col(start).isNotNull() & F.col(visible).isNotNull(), F.greatest(F.col(visible), F.col(start)))
+    out = visible_values(df, known, keys, F.col(start), seen_at, order, F.col(value), max(n_mean, n_std), out="_h", early=F.col(visible) < F.col(start))
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
     size = lambda a: F.nullif(F.size(a), F.lit(0))
     mean = lambda a: total(a, lambda x: x) / size(a)
-    out = out.withColumns({"_m": last(n_mean), "_s": last(n_std)})
+    out = out.withColumns({"_m": F.slice("_h", 1, n_mean), "_s": F.slice("_h", 1, n_std)})
     out = out.withColumns({f"roll{n_mean}_mean": mean(F.col("_m")), "_mu": mean(F.col("_s"))})
     var = total(F.col("_s"), lambda x: (x - F.col("_mu")) * (x - F.col("_mu"))) / size(F.col("_s"))
     return out.withColumn(f"roll{n_std}_std", F.sqrt(var)).drop("_h", "_m", "_s", "_mu")

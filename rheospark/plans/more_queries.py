@@ -402,11 +402,12 @@ def _(spark, d):
     return models.cluster_compounds(batches(spark, d), "compound", ["y", "price", "tax"], 4)[0].select("compound", "n", "cluster")
 
 
-@query("knn_applicability", """a AS (SELECT vec_id, embedding[1:8] AS v FROM embeddings WHERE vec_id % 4 = 0), q AS (SELECT vec_id, embedding[1:8] AS v FROM embeddings WHERE vec_id % 4 <> 0),
-x AS (SELECT q.vec_id, sqrt(list_sum(list_transform(range(1, 9), lambda i: (CAST(q.v[i] AS DOUBLE) - a.v[i]) ** 2))) AS dist FROM q, a), r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rn FROM x)
+@query("knn_applicability", """a AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 4 = 0), q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 4 <> 0),
+x AS (SELECT q.vec_id, list_distance(q.v, a.v) AS dist FROM q, a), r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rn FROM x)
 FINAL SELECT vec_id, round(avg(dist), 4) AS knn_distance FROM r WHERE rn <= 5 GROUP BY vec_id""", "knn_distance")
 def _(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
+    """ML17"""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     out = models.applicability(rows.where("vec_id % 4 <> 0"), rows.where("vec_id % 4 = 0"), "vec_id", "v")
     return out.select("vec_id", F.round("knn_distance", 4).alias("knn_distance"))
 

@@ -499,15 +499,15 @@ def _(spark, d):
     return joins.sample_to_batch_nearest(samples, rows, ["order_id"], "pallet", "sample", "batch_no")
 
 
-@query("pit_last_n", f"""{B}, f AS (SELECT order_id, batch_no, compound, start FROM g WHERE order_id % 100 = 0), h AS (
- SELECT f.order_id, f.batch_no, g.y, row_number() OVER (PARTITION BY f.order_id, f.batch_no ORDER BY g.start DESC, g.order_id DESC, g.batch_no DESC) AS rn FROM f JOIN g ON g.compound = f.compound AND g.visible < f.start),
+@query("pit_last_n", f"""{B}, f AS (SELECT order_id, batch_no, l_suppkey, start FROM g), h AS (
+ SELECT f.order_id, f.batch_no, g.y, row_number() OVER (PARTITION BY f.order_id, f.batch_no ORDER BY g.start DESC, g.order_id DESC, g.batch_no DESC) AS rn FROM f JOIN g ON g.l_suppkey = f.l_suppkey AND g.visible < f.start),
 m AS (SELECT order_id, batch_no, avg(y) AS last3_mean, count(y) AS last3_n FROM h WHERE rn <= 3 GROUP BY 1, 2)
 FINAL SELECT f.order_id, f.batch_no, last3_mean, last3_n FROM f LEFT JOIN m USING (order_id, batch_no)""", "last3_mean")
 def _(spark, d):
     rows = batches(spark, d)
-    df = rows.where("order_id % 100 = 0").select(F.concat_ws("_", "order_id", "batch_no").alias("row_id"), "order_id", "batch_no", "compound", "start")
-    history = rows.select("compound", "visible", F.col("start").alias("h_start"), F.col("order_id").alias("h_order"), F.col("batch_no").alias("h_batch"), "y")
-    return joins.pit_last_n(df, history, ["compound"], "start", "visible", ["h_start", "h_order", "h_batch"], "y", 3).select("order_id", "batch_no", "last3_mean", "last3_n")
+    df = rows.select("order_id", "batch_no", "l_suppkey", "start")
+    history = rows.select("l_suppkey", "visible", F.col("start").alias("h_start"), F.col("order_id").alias("h_order"), F.col("batch_no").alias("h_batch"), "y")
+    return joins.pit_last_n(df, history, ["l_suppkey"], "start", "visible", ["h_start", "h_order", "h_batch"], "y", 3).select("order_id", "batch_no", "last3_mean", "last3_n")
 
 
 @query("nearest_centroid", """c4 AS (SELECT label, avg(embedding[1]) AS a, avg(embedding[2]) AS b, avg(embedding[3]) AS c FROM embeddings GROUP BY label),
