@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import shared_dir
+
 #: A word, for Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,15 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one is set only where none is (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -65,6 +57,22 @@ def least_hashes(rows: DataFrame, count: int, most: int, hashed: str, *ties: str
     return rows.where(low).orderBy(hashed, *ties).limit(most)
 
 
+def join_hot(rows: DataFrame, names: DataFrame, on: list[str], spread: list[str], share: int = 1000, least: int = 1000) -> DataFrame:
+    """Rows with what names (written; `on`, n = rows of the name, more) says of them; rows without a name are left out.
+
+    Names with more than one in `share` of all rows, and more than `least`, are hot: their rows get a salt, a hash of the
+    columns `spread`, and the name a row for each salt. There are at most `share` hot names, for their n add up to no more
+    than the total; only those are broadcast."""
+    total = names.agg(F.sum("n")).first()[0] or 0
+    most = max(least, total // share)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(names.where(F.col("n") > most).select(*on, parts.alias("parts")))
+    salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("parts")).cast("int")).otherwise(0)
+    salted = rows.join(hot, on, "left").withColumn("salt", salt).drop("parts")
+    each = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, parts - 1).otherwise(0))))
+    return salted.join(each, [*on, "salt"]).drop("salt")
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, drop_clashes, table, written
+from .common import WORD, discard, drop_clashes, join_hot, table, written
 
 #: A run of lines is deleted if it has more words than this.
 MIN_WORDS = 50
@@ -45,17 +45,7 @@ def _order(*more: str) -> Column:
 
 
 def _join_names(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """Rows with what names (written; on, n = rows of the name, more) says of them; rows without a name are left out.
-
-    Rows of hot names get a salt, and a hot name a row for each. There are at most HOT_SHARE hot names, for their n add up
-    to no more than the total; only those are broadcast."""
-    total = names.agg(F.sum("n")).first()[0] or 0
-    most = max(HOT_ROWS, total // HOT_SHARE)
-    parts = F.ceil(F.col("n") / most).cast("int")
-    hot = F.broadcast(names.where(F.col("n") > most).select(*on, parts.alias("parts")))
-    salted = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*KEY, *[c for c in ("pos",) if c in rows.columns]), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
-    each = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, parts - 1).otherwise(0))))
-    return salted.join(each, [*on, "salt"]).drop("salt")
+    return join_hot(rows, names, on, [*KEY, *[c for c in ("pos",) if c in rows.columns]], HOT_SHARE, HOT_ROWS)
 
 
 def _line_ranks(lines: DataFrame) -> DataFrame:

@@ -52,6 +52,30 @@ def test_links_connect_as_all_pairs_do(spark, large):
     assert {p: roots.get(p, p) for p in prints} == brute(prints, 3)
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from rheospark.llm import graph
+
+    monkeypatch.setattr(graph, "HOT_ROWS", 3)
+    rng = np.random.default_rng(3)
+    links = [(500, int(x)) for x in rng.integers(501, 600, 80)] + [(int(a), int(a) + int(b)) for a, b in zip(rng.integers(0, 400, 150), rng.integers(1, 9, 150), strict=True)]
+    links += [(7, 7), (1000, 500), (1001, 1000), None] + links[:5]
+    links = [x or (None, 3) for x in links]
+    parent = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = sorted((top(a), top(b)))
+            parent[b] = a
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: top(x) for x in list(parent) if top(x) != x}
+
+
 def test_edge_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (5, "ONE two"), (None, "x y z"), (6, "x y z w " * 3000)]
     out = {(r.doc_id, r.fingerprint): r.component_id for r in s.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
