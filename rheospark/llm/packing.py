@@ -23,8 +23,8 @@ from .tokens import forget_words, word_encoder
 SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Bytes of texts that are encoded together, about.
-CHUNK_BYTES = 16_000_000
+#: Bytes of texts that are encoded together, about; a worker takes about 400 MB with 4 MB, 670 with 16.
+CHUNK_BYTES = 4_000_000
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 

@@ -106,7 +106,7 @@ class WordEncoder:
         data = stream.buffers()[2]
         return (data.to_pybytes()[: ends[-1]] if data else b""), counts // self.dtype.itemsize
 
-    def encode(self, texts: pa.Array, chunk_bytes: int = 16_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, chunk_bytes: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one behind the other, and how many each has (nulls have none)."""
         texts = texts.fill_null("")
         if any(pc.any(pc.match_substring(texts, s, ignore_case=True)).as_py() for s in self.special):
@@ -120,6 +120,7 @@ class WordEncoder:
             ids.append(raw)
             counts.append(n)
             at = to
+            pa.default_memory_pool().release_unused()
         return np.frombuffer(b"".join(ids), self.dtype), np.concatenate(counts)
 
 
