@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .aggs import fingerprint, pct
 from .metrics import error_aggs, regression_metrics
+from ..sources.io import cut
 
 
 def doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -500,41 +501,50 @@ def guidance(df: DataFrame, columns: list[str], label: str, k: int = 5) -> DataF
 # ---- neighbours and confidence ----------------------------------------------------------------------------------------
 
 
-def applicability(df: DataFrame, train: DataFrame, key: str, vector: str, k: int = 5, most: int = 20_000) -> DataFrame:
-    """Mean distance to the k nearest training vectors, and how it compares with the training set's own percentiles.
-
-    The training set is a reference of bounded size (checked); it goes to each task as one matrix, and rows are compared
-    with it batch by batch."""
-    n = train.count()
-    if n > most:
-        raise ValueError(f"{n} reference rows; give at most {most}, for instance centroids")
-    reference = np.array([r[0] for r in train.select(vector).collect()], float).reshape(n, -1)
-    sent = df.sparkSession.sparkContext.broadcast(reference)
-
-    def far(batches: Iterator[pd.Series], own: bool = False) -> Iterator[pd.Series]:
-        ref = sent.value
-        norms = (ref**2).sum(axis=1)
-        for batch in batches:
-            x = np.stack(batch.to_numpy()).astype(float)
-            out = np.empty(len(x))
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
-                d = np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + norms - 2 * part @ ref.T, 0))
-                m = min(k + own, len(ref))
-                near = np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)[:, int(own) :]
-                out[at : at + 256] = near.mean(axis=1) if near.shape[1] else 0.0
-            yield pd.Series(out)
-
-    def far_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from far(batches)
-
-    def far_own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from far(batches, True)
-
-    own = train.select(F.pandas_udf(far_own, "double")(vector).alias("d")).agg(F.percentile("d", F.array(*map(F.lit, (0.9, 0.95, 0.99)))).alias("p")).first()[0]
+def _nearest(rows: DataFrame, reference: DataFrame, vector: str, k: int, block: int) -> DataFrame:
+    """Distances, in order, of each distinct vector of rows to its k nearest vectors of reference, as vector, near. Blocks of
+    about `block` distinct vectors of one side meet those of the other in one task each; what a vector keeps of a block is k
+    numbers. Copies in the reference count as often as they occur."""
+    own, counted = cut(rows.select(vector).distinct(), "vectors"), cut(reference.groupBy(vector).agg(F.count("*").alias("n")), "reference")
+    n_own, n_other = (max(1, -(-x.count() // block)) for x in (own, counted))
+    place = lambda n: F.pmod(F.xxhash64(vector), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = own.withColumn("a", place(n_own)).withColumn("b", each(n_other))
+    right = counted.withColumn("b", place(n_other)).withColumn("a", each(n_own))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({vector: [], "near": []}, dtype=object)
+        points, ref = np.stack(x[vector].to_numpy()).astype(float), np.stack(y[vector].to_numpy()).astype(float)
+        ref = np.repeat(ref, np.minimum(y["n"].to_numpy(), k), axis=0)
+        squares, m, near = (ref**2).sum(axis=1), min(k, len(ref)), []
+        for at in range(0, len(points), 256):
+            part = points[at : at + 256]
+            d = (part**2).sum(axis=1)[:, None] + squares - 2 * part @ ref.T
+            best = ref[np.argpartition(d, m - 1, axis=1)[:, :m]]
+            near.extend(np.sort(np.linalg.norm(best - part[:, None], axis=2), axis=1))
+        return pd.DataFrame({vector: x[vector], "near": near})
+
+    schema = f"`{vector}` {rows.schema[vector].dataType.simpleString()}, near array<double>"
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(compare, schema)
+    return met.groupBy(vector).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def applicability(df: DataFrame, train: DataFrame, key: str, vector: str, k: int = 5, block: int = 20_000) -> DataFrame:
+    """ML17: mean distance to the k nearest training vectors, and how it compares with the training set's own percentiles.
+
+    Both sides may be of any size: they meet in blocks. A null vector, and any where there is no training vector, has a
+    null distance and is OUT_OF_DOMAIN; a training set of one vector has a distance of 0 to itself."""
+    rows, known = (x.select(vector).where(F.col(vector).isNotNull()) for x in (df, train))
+    near = cut(_nearest(rows.unionByName(known), known, vector, k + 1, block), "near")
+    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / F.size(part)
+    others = F.slice("near", 2, k)
+    spread = known.groupBy(vector).agg(F.count("*").alias("n")).join(near, vector).select("n", F.when(F.size(others) > 0, mean(others)).otherwise(0.0).alias("d"))
+    own = spread.agg(F.percentile("d", F.array(*map(F.lit, (0.9, 0.95, 0.99))), F.col("n")).alias("p")).first()[0] or [None] * 3
     d = F.col("knn_distance")
-    out = df.withColumn("knn_distance", F.pandas_udf(far_rows, "double")(vector))
-    return out.withColumn("reliability", F.when(d <= own[0], "HIGH").when(d <= own[1], "MEDIUM").when(d <= own[2], "LOW").otherwise("OUT_OF_DOMAIN"))
+    out = df.join(near.select(vector, mean(F.slice("near", 1, k)).alias("knn_distance")), vector, "left").select(*df.columns, "knn_distance")
+    low, middle, high = (F.lit(x).cast("double") for x in own)
+    return out.withColumn("reliability", F.when(d <= low, "HIGH").when(d <= middle, "MEDIUM").when(d <= high, "LOW").otherwise("OUT_OF_DOMAIN"))
 
 
 def out_of_range(df: DataFrame, profile: DataFrame, key: str, columns: list[str], k: int = 8) -> DataFrame:

@@ -403,13 +403,16 @@ def _(spark, d):
 
 
 @query("knn_applicability", """a AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 4 = 0), q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 4 <> 0),
-x AS (SELECT q.vec_id, list_distance(q.v, a.v) AS dist FROM q, a), r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rn FROM x)
-FINAL SELECT vec_id, round(avg(dist), 4) AS knn_distance FROM r WHERE rn <= 5 GROUP BY vec_id""", "knn_distance")
+x AS (SELECT q.vec_id, list_distance(q.v, a.v) AS dist FROM q, a), r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rn FROM x),
+x2 AS (SELECT a.vec_id, list_distance(a.v, b.v) AS dist FROM a, a AS b), r2 AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rn FROM x2),
+own AS (SELECT avg(dist) AS d FROM r2 WHERE rn BETWEEN 2 AND 6 GROUP BY vec_id), p AS (SELECT quantile_cont(d, 0.9) AS p1, quantile_cont(d, 0.95) AS p2, quantile_cont(d, 0.99) AS p3 FROM own),
+k AS (SELECT vec_id, avg(dist) AS d FROM r WHERE rn <= 5 GROUP BY vec_id)
+FINAL SELECT vec_id, round(d, 4) AS knn_distance, CASE WHEN d <= p1 THEN 'HIGH' WHEN d <= p2 THEN 'MEDIUM' WHEN d <= p3 THEN 'LOW' ELSE 'OUT_OF_DOMAIN' END AS reliability FROM k, p""", "knn_distance")
 def _(spark, d):
     """ML17"""
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     out = models.applicability(rows.where("vec_id % 4 <> 0"), rows.where("vec_id % 4 = 0"), "vec_id", "v")
-    return out.select("vec_id", F.round("knn_distance", 4).alias("knn_distance"))
+    return out.select("vec_id", F.round("knn_distance", 4).alias("knn_distance"), "reliability")
 
 
 # ---- streams -------------------------------------------------------------------------------------------------------------

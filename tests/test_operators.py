@@ -248,6 +248,15 @@ def test_forest_neighbours_and_others(spark, train):
     ref = np.array([r.v for r in vec.where("id < 200").collect()])
     for r in near[:5]:
         assert r.knn_distance == pytest.approx(np.sort(np.linalg.norm(ref - np.array(r.v), axis=1))[:5].mean())
+    # blocks, copies on both sides, nulls and no reference
+    some = vec.where("id < 40").unionByName(vec.where("id < 7"))
+    asked = vec.where("id >= 30 and id < 90").unionByName(vec.where("id = 50")).unionByName(vec.where("id = 1").withColumn("v", F.lit(None).cast("array<double>")))
+    whole, parted = (sorted((r.id, round(r.knn_distance or -1, 9), r.reliability) for r in models.applicability(asked, some, "id", "v", 5, n).collect()) for n in (1000, 7))
+    ref = np.array([r.v for r in some.collect()])
+    assert whole == parted and len(whole) == 62 and whole[0] == (1, -1, "OUT_OF_DOMAIN")
+    for r in asked.where("v is not null").collect()[:8]:
+        assert dict((i, d) for i, d, _ in whole)[r.id] == pytest.approx(np.sort(np.linalg.norm(ref - np.array(r.v), axis=1))[:5].mean())
+    assert {r.reliability for r in models.applicability(asked, some.limit(0), "id", "v").collect()} == {"OUT_OF_DOMAIN"}
     conf = models.confidence(train, train, ["a", "b"], "w", "w")
     assert {r.light for r in conf.select("light").distinct().collect()} <= {"Green", "Yellow", "Red"}
     profile = aggs.reference_profile(train, ["a", "b"])
