@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import fold_rows
+from .scans import affine_scan, ranged, running_top, spanning
 from .windows import rolling_offset
 
 
@@ -15,42 +18,51 @@ def alpha_of(feedback: Column, before: Column, jump: float = 2.0, same: float =
     return F.when(before.isNull(), first).when(changed, fast).otherwise(slow)
 
 
-def ewma_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, k: int = 3, most: float = 4.0) -> DataFrame:
+def ewma_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, k: int = 3, most: float = 4.0, parts: int | None = None) -> DataFrame:
     """CA1: correction (clipped state before the row) and calibrated prediction. The k-th labelled residual back, the row's own
-    counted, is the feedback a labelled row learns from, at a rate that depends on the feedback before it alone; so rates
-    and feedbacks come from windows, and the fold is a linear recurrence."""
+    counted, is the feedback a labelled row learns from, at a rate that depends on the feedback before it alone. So a
+    row's update is a linear map, and a key of any size is scanned in many tasks (scans.py)."""
+    res = F.col("_res")
     rows = df.withColumn("_res", (F.col(y) - F.col(p)).cast("double"))
-    w = Window.partitionBy(*keys, F.col("_res").isNotNull()).orderBy(*order)
-    rows = rows.withColumns({"_f": F.when(F.col("_res").isNotNull(), F.lag("_res", k - 1).over(w)), "_g": F.when(F.col("_res").isNotNull(), F.lag("_res", k).over(w))})
-    rows = rows.withColumn("_a", F.when(F.col("_f").isNotNull(), alpha_of(F.col("_f"), F.col("_g"))))
-
-    def step(s: tuple, x: tuple) -> tuple:
-        feedback, rate = x
-        return s if feedback is None else ((1 - rate) * s[0] + rate * feedback,)
-
-    out = fold_rows(rows, keys, order, ["_f", "_a"], (0.0,), step, ["_state"])
+    rows = ranged(rows.withColumn("_x", F.when(res.isNotNull(), F.struct(*order, "_res"))), keys, order, parts)
+    chunks = spanning(rows)
+    rows = running_top(rows, keys, order, "_x", k, "_back", chunks=chunks)
+    back = lambda i: F.when(res.isNotNull(), res if i == 0 else F.get("_back", F.lit(i - 1))["_res"])
+    rows = rows.withColumns({"_f": back(k - 1), "_g": back(k)})
+    rate = F.when(F.col("_f").isNotNull(), alpha_of(F.col("_f"), F.col("_g"))).otherwise(0.0)
+    out = affine_scan(rows.withColumn("_rate", rate), keys, order, {"_state": (1 - F.col("_rate"), F.coalesce(F.col("_rate") * F.col("_f"), F.lit(0.0)), 0.0)}, chunks=chunks)
     correction = F.greatest(F.lit(-most), F.least(F.lit(most), F.col("_state")))
-    return out.withColumns({"correction": correction, "calibrated": F.col(p) + correction}).drop("_res", "_f", "_g", "_a", "_state")
-
-
-def kalman_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, q: float = 0.01, r: float = 1.0, alpha: float = 0.2, most: float = 6.0) -> DataFrame:
-    """CA2: kalman and ewma bias before each row, clipped."""
-    rows = df.withColumn("_res", (F.col(y) - F.col(p)).cast("double"))
-
-    def step(s: tuple, x: tuple) -> tuple:
-        (bias, var, mean), (res,) = s, x
-        if res is None:
-            return s
-        gain = (var + q) / (var + q + r)
-        return bias + gain * (res - bias), (1 - gain) * (var + q), (1 - alpha) * mean + alpha * res
-
+    return out.withColumns({"correction": correction, "calibrated": F.col(p) + correction}).drop("_res", "_x", "_back", "_f", "_g", "_rate", "_state", "_key", "_part")
+
+
+def variance_after(n: Column, q: float, r: float, first: float = 1.0) -> Column:
+    """Variance of a Kalman filter with process noise q and measurement noise r after n measurements. Each one takes v to
+    r (v + q) / (v + q + r), whatever was measured: a Moebius map, whose n-th power is known from its fixed points."""
+    if q == 0:
+        return 1 / (1 / first + n / r)
+    d = math.sqrt(q * q + 4 * q * r)
+    a, b = (d - q) / 2, (-d - q) / 2
+    w = F.pow(F.lit((r - a) / (r - b)), n) * ((first - a) / (first - b))
+    return (a - b * w) / (1 - w)
+
+
+def kalman_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, q: float = 0.01, r: float = 1.0, alpha: float = 0.2, most: float = 6.0, parts: int | None = None) -> DataFrame:
+    """CA2: kalman and ewma bias before each row, clipped. The gain depends on the number of residuals before alone, so both are
+    linear maps and scanned like CA1's."""
+    known = F.col("_res").isNotNull()
+    rows = ranged(df.withColumn("_res", (F.col(y) - F.col(p)).cast("double")), keys, order, parts)
+    chunks = spanning(rows)
+    linear = lambda gain: (F.when(known, 1 - gain).otherwise(1.0), F.coalesce(gain * F.col("_res"), F.lit(0.0)), 0.0)
+    rows = affine_scan(rows, keys, order, {"_n": (F.lit(1.0), known.cast("double"), 0.0), "_e": linear(F.lit(alpha))}, chunks=chunks)
+    var = variance_after(F.col("_n"), q, r) + q
+    rows = affine_scan(rows.withColumn("_gain", var / (var + r)), keys, order, {"_b": linear(F.col("_gain"))}, chunks=chunks)
     clip = lambda c: F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c)))
-    out = fold_rows(rows, keys, order, ["_res"], (0.0, 1.0, 0.0), step, ["_b", "_v", "_e"])
-    return out.withColumns({"kalman": clip("_b"), "ewma": clip("_e")}).drop("_res", "_b", "_v", "_e")
+    return rows.withColumns({"kalman": clip("_b"), "ewma": clip("_e")}).drop("_res", "_n", "_e", "_gain", "_b", "_key", "_part")
 
 
 def adaptive_kalman(df: DataFrame, keys: list[str], order: list[str], y: str, p: str, noise: float = 3.0, shift: float = 1.8, drift: float = 0.2, most_gain: float = 0.75) -> DataFrame:
-    """CA3: Kalman bias with gain 0.10 for innovations above `noise`, half more above `shift`, at most `most_gain`."""
+    """CA3: Kalman bias with gain 0.10 for innovations above `noise`, half more above `shift`, at most `most_gain`.
+    The gain depends on the state itself, so there is no map to compose: a key is one task's, which holds two numbers."""
     rows = df.withColumn("_res", (F.col(y) - F.col(p)).cast("double"))
 
     def step(s: tuple, x: tuple) -> tuple:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .scans import running_top
 
 
 def fold_rows(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], zero: tuple, step: Callable[[tuple, tuple], tuple], outputs: list[str]) -> DataFrame:
@@ -35,78 +35,29 @@ def fold_rows(df: DataFrame, keys: list[str], order: list[str], inputs: list[str
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-class _Latest:
-    """The n rows that are last in order, of those put in."""
-
-    def __init__(self, n: int):
-        self.n, self.rows = n, []
-
-    def put(self, row: tuple) -> None:
-        if len(self.rows) < self.n or row[:-1] > self.rows[0][:-1]:
-            insort(self.rows, row, key=lambda r: r[:-1])
-            del self.rows[: -self.n]
-
-
-def visible_values(df: DataFrame, history: DataFrame, keys: list[str], start: Column, visible: Column, order: list[Column], value: Column, n: int, cell: str = "month", out: str = "values", early: Column | None = None) -> DataFrame:
+def visible_values(df: DataFrame, history: DataFrame, keys: list[str], start: Column, visible: Column, order: list[Column], value: Column, n: int, out: str = "values", early: Column | None = None) -> DataFrame:
     """Add to each row of df the values of the last n rows (in `order`, nulls first) of history with its keys that were visible
     strictly before its start, latest first; none for a null key or start. History that is null there is never visible.
     early: history that counts at its own time too, for rows of df behind it in `order` (df and history have these columns).
 
-    Time is cut into cells. The latest rows of each key and cell, n at most, give by one pass over a key's cells what is
-    known when a cell begins; then each key and cell is read once in order of time. So a large key is many tasks, and no
-    two rows are ever compared."""
-    cell_of = lambda t: F.date_trunc(cell, t)
-    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
-    complete = lambda t: t.isNotNull() & F.col("_key").isNotNull()
-    sorting = F.struct(*[F.struct(c.isNotNull().alias("known"), c.alias("at")).alias(f"o{i}") for i, c in enumerate(order)])
-    known = F.concat(*[F.when(F.col(k).isNull(), F.lit(None)).otherwise(F.lit("")) for k in keys])
-    name = F.when(known.isNotNull(), key)
-    past = history.select(name.alias("_key"), visible.cast("timestamp").alias("_t"), sorting.alias("_o"), value.cast("double").alias("_y"), (F.lit(True) if early is None else ~F.coalesce(early, F.lit(False))).alias("_late")).where(complete(F.col("_t"))).withColumn("_cell", cell_of(F.col("_t")))
-    asked = df.withColumns({"_key": name, "_t": start.cast("timestamp")})
-    asked = asked.withColumns({"_cell": cell_of(F.col("_t")), "_late": F.lit(False)})
-    # what a cell adds, and what is known when it begins
-    flat = lambda rows: rows.select("_key", "_cell", "_t", "_late", *[F.col(f"_o.o{i}.{part}").alias(f"_{part}{i}") for i in range(len(order)) for part in ("known", "at")], "_y")
-    best = past.withColumn("_rn", F.row_number().over(Window.partitionBy("_key", "_cell").orderBy(F.desc("_o")))).where(F.col("_rn") <= n)
-    plain = flat(past)
-    marks = [c for c in plain.columns if c.startswith(("_known", "_at"))]
-    wanted = asked.select("_key", "_cell").where("_key is not null and _cell is not null").distinct()
-    tops = flat(best).withColumn("_asked", F.lit(False)).unionByName(wanted.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-
-    def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        latest, found = _Latest(n), []
-        for (at, is_asked), part in sorted(rows.groupby(["_cell", ~rows["_asked"].astype(bool)], sort=True), key=lambda x: x[0]):
-            if not is_asked:  # asked cells come before what the same cell adds
-                found += [(part["_key"].iloc[0], at, *r[:-1], r[-1]) for r in latest.rows]
-            else:
-                for r in part[[*marks, "_y"]].itertuples(index=False):
-                    latest.put(tuple(None if v is pd.NaT or v is None or v != v else v for v in r))
-        return pd.DataFrame(found, columns=["_key", "_cell", *marks, "_y"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
-    carried = tops.groupBy("_key").applyInPandas(carry, ", ".join(f"`{c}` {kinds[c]}" for c in ["_key", "_cell", *marks, "_y"]))
-    if early is not None:
-        asked = asked.withColumns({f"_{part}{i}": v for i, c in enumerate(order) for part, v in (("known", c.isNotNull()), ("at", c))})
-    every = carried.withColumns({"_t": F.lit(None).cast("timestamp"), "_late": F.lit(False), "_kind": F.lit(0)})
-    every = every.unionByName(plain.withColumn("_kind", F.lit(2))).unionByName(asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    Both sides become one sequence in order of time, in which a running top n (scans.running_top) says what has been seen;
+    a key of any size is many tasks, and no two rows are ever compared."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    marks = [(f"_{part}{i}", v) for i, c in enumerate(order) for part, v in (("known", c.isNotNull()), ("at", c))]
+    seen = F.struct(*[F.col(name) for name, _ in marks], F.col("_y").alias("y"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
+    late = F.lit(True) if early is None else ~F.coalesce(early, F.lit(False))
+    past = history.where(known).select(*named, visible.cast("timestamp").alias("_t"), late.alias("_late"), *[v.alias(name) for name, v in marks], value.cast("double").alias("_y"))
+    past = past.where(F.col("_t").isNotNull()).withColumns({"_x": seen, "_kind": F.lit(2)}).drop("_y")
+    asked = df.select(*named, start.cast("timestamp").alias("_t"), F.lit(False).alias("_late"), *[v.alias(name) for name, v in marks if early is not None], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.lit(1).alias("_kind"))
+    both = asked.unionByName(past, allowMissingColumns=True)
     # at one time late history comes behind those who ask: strictly before
-    dealt = every.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell", F.asc_nulls_first("_t"), "_late", *marks, "_kind")
-    names, kept = every.columns, df.columns
-    keep_at = [names.index(c) for c in kept]
-    look = [names.index(c) for c in ("_key", "_cell", "_kind", *marks, "_y")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, latest = None, _Latest(n)
-        for batch in batches:
-            picked, values = [], []
-            for i, (k, c, kind, *row) in enumerate(zip(*(batch.column(j).to_pylist() for j in look), strict=True)):
-                if (k, c) != now:
-                    now, latest = (k, c), _Latest(n)
-                if kind == 1:
-                    picked.append(i)
-                    values.append([] if k is None or c is None else [r[-1] for r in reversed(latest.rows)])
-                else:
-                    latest.put(tuple(row))
-            rows = batch.take(pa.array(picked, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(j) for j in keep_at), pa.array(values, pa.list_(pa.float64()))], [*kept, out])
-
-    return dealt.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))]))
+    found = running_top(both, own, ["_t", "_late", *[name for name, _ in marks], "_kind"], "_x", n, "_top").where("_kind = 1")
+    complete = F.col("_t").isNotNull()
+    for o in own:
+        complete = complete & F.col(o).isNotNull()
+    values = F.when(complete, F.transform("_top", lambda x: x["y"])).otherwise(F.array().cast("array<double>"))
+    return found.select("_row.*", values.alias(out))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import visible_values
+from .scans import running_last
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -79,13 +80,14 @@ def asof_value(points: DataFrame, times: DataFrame, keys: list[str], time: str,
     """For each row of times the values of the last point of its key at or before `at`; null if there is none.
 
     Both sides are one sorted sequence per key: a running "last value" over the union takes each point once, where a
-    join would compare every point of a key with every time.
-    """
-    point = points.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(time, *[v for v in values if v != time]).alias("_v"), F.lit(None).cast(times.select(F.struct("*")).schema[0].dataType).alias("_row"))
-    look = times.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(point.schema["_v"].dataType).alias("_v"), F.struct("*").alias("_row"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", F.col("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    found = point.unionByName(look).withColumn("_v", F.last("_v", ignorenulls=True).over(order)).where("_side = 1")
-    return found.select("_row.*", *[F.col(f"_v.{v}").alias(f"asof_{v}") for v in values])
+    join would compare every point of a key with every time. A key of any size is many tasks (scans.running_last)."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
+    point = points.select(*named, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(time, *[v for v in values if v != time]).alias("_v"))
+    look = times.select(*named, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_row"))
+    both = point.unionByName(look, allowMissingColumns=True)
+    found = running_last(both, own, ["_t", "_side", "_v"], "_v", "_found").where("_side = 1")
+    return found.select("_row.*", *[F.col(f"_found.{v}").alias(f"asof_{v}") for v in values])
 
 
 def value_at(points: DataFrame, times: DataFrame, keys: list[str], time: str, at: str, values: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import aggs, calibrate, features, joins, metrics, models, recommend, splits, windows
 from ..sources import io
-from ..sources.io import table
+from ..sources.io import cut, table
 from ..streaming import jobs
 from .queries import B, ERRORS
 from .registry import query
@@ -143,7 +143,8 @@ FINAL SELECT r.order_id, r.batch_no, residual, a.rolled AS group_roll5, c.rolled
 def _(spark, d):
     """WF7"""
     order = [F.col("start"), F.col("order_id"), F.col("batch_no")]
-    out = windows.rolling_residual(batches(spark, d), F.col("order_id") % 10 < 7, "l_partkey", "l_suppkey", order, "start", "visible", "y")
+    rows = cut(batches(spark, d).select(*KEYS, "l_partkey", "l_suppkey", "start", "visible", "y"), "batches")
+    out = windows.rolling_residual(rows, F.col("order_id") % 10 < 7, "l_partkey", "l_suppkey", order, "start", "visible", "y")
     return out.select(*KEYS, "residual", "group_roll5", "mixer_roll10")
 
 

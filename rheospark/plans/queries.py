@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves, scalar
 from ..operators import aggs, calibrate, joins, metrics, recommend, splits, windows
-from ..sources.io import latest_dates, table
+from ..sources.io import cut, latest_dates, table
 from .registry import ORACLE, QUERIES, query
 from .views import BATCH_SQL, EVENT_SQL, batches, events
 
@@ -504,7 +504,7 @@ def _(spark, d):
 m AS (SELECT order_id, batch_no, avg(y) AS last3_mean, count(y) AS last3_n FROM h WHERE rn <= 3 GROUP BY 1, 2)
 FINAL SELECT f.order_id, f.batch_no, last3_mean, last3_n FROM f LEFT JOIN m USING (order_id, batch_no)""", "last3_mean")
 def _(spark, d):
-    rows = batches(spark, d)
+    rows = cut(batches(spark, d).select("order_id", "batch_no", "l_suppkey", "start", "visible", "y"), "batches")
     df = rows.select("order_id", "batch_no", "l_suppkey", "start")
     history = rows.select("l_suppkey", "visible", F.col("start").alias("h_start"), F.col("order_id").alias("h_order"), F.col("batch_no").alias("h_batch"), "y")
     return joins.pit_last_n(df, history, ["l_suppkey"], "start", "visible", ["h_start", "h_order", "h_batch"], "y", 3).select("order_id", "batch_no", "last3_mean", "last3_n")
@@ -564,7 +564,8 @@ def _(spark, d):
 m AS (SELECT order_id, batch_no, avg(CASE WHEN rn <= 3 THEN y END) AS roll3_mean, stddev_pop(CASE WHEN rn <= 10 THEN y END) AS roll10_std FROM h WHERE rn <= 10 GROUP BY 1, 2)
 FINAL SELECT f.order_id, f.batch_no, roll3_mean, roll10_std FROM f LEFT JOIN m USING (order_id, batch_no)""", "roll3_mean roll10_std")
 def _(spark, d):
-    out = windows.rolling_visible(batches(spark, d), ["l_suppkey"], [F.col("start"), F.col("order_id"), F.col("batch_no")], "start", "visible", "y")
+    rows = cut(batches(spark, d).select("order_id", "batch_no", "l_suppkey", "start", "visible", "y"), "batches")
+    out = windows.rolling_visible(rows, ["l_suppkey"], [F.col("start"), F.col("order_id"), F.col("batch_no")], "start", "visible", "y")
     return out.select("order_id", "batch_no", "roll3_mean", "roll10_std")
 
 
