@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+from .quantiles import percentiles
 from .windows import avg_rank
 
 
@@ -64,30 +66,40 @@ def drop_wide(df: DataFrame, keys: list[str], value: str, limit: float) -> DataF
 def drop_mad_outliers(df: DataFrame, keys: list[str], value: str, k: float = 2.5, least: float = 1.5, low: float = 5.0, high: float = 10.0) -> DataFrame:
     """Rows within clamp(k * max(1.4826 * MAD, least), low, high) of the key's median; null values go."""
     known = df.where(F.col(value).isNotNull())
-    medians = known.groupBy(*keys).agg(pct(value, 0.5).alias("_med"))
+    medians = percentiles(known, keys, {"_p": value}, [0.5]).select(*keys, F.col("_p")[0].alias("_med"))
     off = known.join(medians, keys).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
-    mads = off.groupBy(*keys).agg(pct("_off", 0.5).alias("_mad"))
+    mads = percentiles(off, keys, {"_p": "_off"}, [0.5]).select(*keys, F.col("_p")[0].alias("_mad"))
     limit = F.greatest(F.lit(low), F.least(F.lit(high), k * F.greatest(1.4826 * F.col("_mad"), F.lit(least))))
     return off.join(mads, keys).where(F.col("_off") <= limit).drop("_med", "_off", "_mad")
 
 
 def flag_far_from_median(df: DataFrame, keys: list[str], value: str, limit: float = 20.0) -> DataFrame:
-    medians = df.groupBy(*keys).agg(pct(value, 0.5).alias("group_median"))
+    medians = percentiles(df, keys, {"_p": value}, [0.5]).select(*keys, F.col("_p")[0].alias("group_median"))
     return df.join(medians, keys, "left").withColumn("far", F.coalesce(F.abs(F.col(value) - F.col("group_median")) > limit, F.lit(False)))
 
 
 def safe_bounds(df: DataFrame, levels: list[list[str]], features: list[str], low: float = 0.05, high: float = 0.95, min_rows: int = 20, min_values: int = 5) -> DataFrame:
-    """P-low, P-high and median of each feature for every level of keys, from one pass with grouping sets.
+    """P-low, P-high and median of each feature for every level of keys, from one pass with grouping sets, or, where a level has
+    groups of more rows than one task should hold, level by level (see quantiles.percentiles).
 
     Columns: all keys (null where the level doesn't have them), level (number of the level), n and per feature low, high,
     median rounded half-even to two digits; 0 with fewer than min_values values.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
+    points = (("low", low), ("high", high), ("median", 0.5))
+    sets = [[F.col(k) for k in level] for level in levels]
+    largest = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > quantiles.BOUND:
+        each = []
+        for at, level in enumerate(levels):
+            found = percentiles(df, level, {f"_p_{f}": f for f in features}, [p for _, p in points], [F.count("*").alias("n"), *[F.count(f).alias(f"_n_{f}") for f in features]])
+            cells = [F.when(F.col(f"_n_{f}") >= min_values, F.bround(F.col(f"_p_{f}")[i], 2)).otherwise(0.0).alias(f"{f}_{name}") for f in features for i, (name, _) in enumerate(points)]
+            each.append(found.select(*[F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "n", *cells, F.lit(at).alias("level")))
+        return reduce(DataFrame.unionByName, each).where(F.col("n") >= min_rows)
     aggs = [F.count("*").alias("n")]
     for f in features:
         enough = F.count(f) >= min_values
-        aggs += [F.when(enough, F.bround(pct(f, p), 2)).otherwise(0.0).alias(f"{f}_{n}") for n, p in (("low", low), ("high", high), ("median", 0.5))]
-    sets = [[F.col(k) for k in level] for level in levels]
+        aggs += [F.when(enough, F.bround(pct(f, p), 2)).otherwise(0.0).alias(f"{f}_{n}") for n, p in points]
     bits = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in level): at for at, level in enumerate(levels)}
     level = reduce(lambda a, b: a.when(F.col("_g") == b[0], b[1]), bits.items(), F.when(F.lit(False), 0))
     out = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id(*keys).alias("_g"), *aggs)
@@ -99,7 +111,9 @@ def label_audit(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def energy_benchmark(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), pct(value, 0.1).alias("p10"), pct(value, 0.5).alias("p50"), pct(value, 0.9).alias("p90"), (F.avg(value) - pct(value, 0.1)).alias("saving_potential"))
+    out = percentiles(df, by, {"_p": value}, [0.1, 0.5, 0.9], [F.count(value).alias("n"), F.avg(value).alias("mean")])
+    p10, p50, p90 = (F.col("_p")[i] for i in range(3))
+    return out.select(*by, "n", "mean", p10.alias("p10"), p50.alias("p50"), p90.alias("p90"), (F.col("mean") - p10).alias("saving_potential"))
 
 
 def stage_share(df: DataFrame, by: list[str], stages: list[str]) -> DataFrame:
@@ -153,8 +167,8 @@ def long(df: DataFrame, keep: list[str], columns: list[str], name: str = "featur
 def reference_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per feature: count, mean, sample deviation and the percentiles 1, 5, 25, 50, 75, 95, 99."""
     points = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    rows = long(df, [], columns).where("value is not null").groupBy("feature")
-    out = rows.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile("value", F.array(*map(F.lit, points))).alias("_p"))
+    rows = long(df, [], columns).where("value is not null")
+    out = percentiles(rows, ["feature"], {"_p": "value"}, points, [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")])
     return out.select("feature", "n", "mean", "std", *[F.col("_p")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(points)])
 
 

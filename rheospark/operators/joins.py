@@ -58,22 +58,25 @@ def step_with_prev(steps: DataFrame, wanted: DataFrame, keys: list[str], step: s
     return steps.join(wanted.select(*keys, step).distinct(), [*keys, step], "left_semi").join(before, [*keys, step], "left")
 
 
-def window_join(points: DataFrame, windows: DataFrame, keys: list[str], time: str, start: str, end: str, cell: float | None = None) -> DataFrame:
-    """Points inside start .. end (both included) of the windows of the same key.
-
-    With `cell` a window also gets a row for each cell of that length it touches, and points meet only those of their
-    cell, so that a key with many points and windows doesn't compare all of them.
-    """
-    if cell is None:
-        inside = F.col(time).between(F.col(start), F.col(end))
-        return points.join(windows, keys).where(inside)
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    cells = windows.where(F.col(end) >= F.col(start)).withColumn("_cell", F.explode(F.sequence(at(start), at(end))))
-    return points.withColumn("_cell", at(time)).join(cells, [*keys, "_cell"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_cell")
-
-
-def window_agg(points: DataFrame, windows: DataFrame, keys: list[str], window_keys: list[str], time: str, start: str, end: str, aggs: list[Column], cell: float | None = None) -> DataFrame:
-    return window_join(points, windows, keys, time, start, end, cell).groupBy(*keys, *window_keys).agg(*aggs)
+def window_join(points: DataFrame, windows: DataFrame, keys: list[str], time: str, start: str, end: str) -> DataFrame:
+    """Points inside start .. end (both included) of the windows of the same key. Times are numbers; null ones and windows that
+    end before they start have no points.
+
+    A window of a length up to 2 ** level lies in two cells of that length at most, and is a row for each. A point is a row
+    for each level that the windows of its key have, and meets the windows of its cell. So a key with many points and windows
+    is many small groups, whatever the mixture of lengths, and a pair that meets is never far from a match."""
+    a, b, t = (F.col(c).cast("double") for c in (start, end, time))
+    level = F.ceil(F.log2(F.greatest(b - a, F.lit(2.0**-20)))).cast("int")
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    spread = windows.where(b >= a).withColumn("_level", level)
+    cells = spread.withColumn("_cell", F.explode(F.sequence(cell(a), cell(b))))
+    levels = spread.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    asked = points.join(levels, keys).withColumn("_level", F.explode("_levels")).withColumn("_cell", cell(t)).drop("_levels")
+    return asked.join(cells, [*keys, "_level", "_cell"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_level", "_cell")
+
+
+def window_agg(points: DataFrame, windows: DataFrame, keys: list[str], window_keys: list[str], time: str, start: str, end: str, aggs: list[Column]) -> DataFrame:
+    return window_join(points, windows, keys, time, start, end).groupBy(*keys, *window_keys).agg(*aggs)
 
 
 def asof_value(points: DataFrame, times: DataFrame, keys: list[str], time: str, at: str, values: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.io import cut
 from .aggs import corr, grouped_spearman, mode, pct
+from .scans import running_rank, running_sums
 
 
 def error_aggs(y: str, p: str, w: str | None = None) -> list[Column]:
@@ -53,18 +54,55 @@ def variance_ratio(df: DataFrame, order: str, y: str, p: str, least: int = 3, fl
     return per.where((F.col("n") >= least) & (F.col("vy") > floor)).agg(F.count("*").alias("n_orders"), F.avg(F.col("vp") / F.col("vy")).alias("variance_ratio"))
 
 
-def direction_by_order(df: DataFrame, order: str, seq: str, y: str, p: str, min_delta: float = 0.3, strict: bool = True) -> DataFrame:
-    """Per order the share of pairs, of those whose labels differ enough, that the predictions order alike.
-
-    Pairs are made from each row and the list of the order's later rows, so rows of an order meet once; an order is a
-    production lot and short.
-    """
-    later = F.collect_list(F.struct(F.col(y).alias("y"), F.col(p).alias("p"))).over(Window.partitionBy(order).orderBy(seq).rowsBetween(1, Window.unboundedFollowing))
-    big = lambda d: F.abs(d) > min_delta if strict else F.abs(d) >= min_delta
-    far = F.filter("_l", lambda x: big(x["y"] - F.col(y)))
-    alike = F.filter("_f", lambda x: F.signum(x["y"] - F.col(y)) == F.signum(x["p"] - F.col(p)))
-    rows = df.withColumn("_l", later).withColumn("_f", far).select(order, F.size("_f").alias("n"), F.size(alike).alias("k"))
-    return rows.groupBy(order).agg(F.sum("n").alias("n_pairs"), F.sum("k").alias("n_alike")).where("n_pairs > 0").withColumn("direction", F.col("n_alike") / F.col("n_pairs"))
+#: Rows of an order up to which each row is compared with the list of the others.
+SHORT_ORDER = 256
+#: Binary digits of a rank that one level of _counted_pairs() looks at.
+DIGIT = 4
+
+
+def direction_by_order(df: DataFrame, order: str, seq: str, y: str, p: str, min_delta: float = 0.3, strict: bool = True, short: int | None = None) -> DataFrame:
+    """Per order the share of pairs, of those whose labels differ enough, that the predictions order alike. Labels differ
+    enough if the greater one is above (not strict: at least) the lesser one plus min_delta, which is positive.
+
+    A production lot is short, and its rows are compared with each other. Orders of more than SHORT_ORDER rows are
+    counted without making pairs, see _counted_pairs()."""
+    short = SHORT_ORDER if short is None else short
+    rows = df.select(order, F.col(seq).alias("_q"), F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")).where("_y is not null")
+    sizes = rows.groupBy(order).agg(F.count("*").alias("_n"))
+    long_ones = sizes.where(F.col("_n") > short).select(order)
+    any_long = not long_ones.isEmpty()
+    later = F.collect_list(F.struct(F.col("_y").alias("y"), F.col("_p").alias("p"))).over(Window.partitionBy(order).orderBy("_q").rowsBetween(1, Window.unboundedFollowing))
+    above = (lambda a, b: a > b + F.lit(min_delta)) if strict else (lambda a, b: a >= b + F.lit(min_delta))
+    far = F.filter("_l", lambda x: above(x["y"], F.col("_y")) | above(F.col("_y"), x["y"]))
+    alike = F.filter("_f", lambda x: F.signum(x["y"] - F.col("_y")) == F.signum(x["p"] - F.col("_p")))
+    few = rows.join(sizes.where(F.col("_n") <= short).select(order), order, "left_semi") if any_long else rows
+    few = few.withColumn("_l", later).withColumn("_f", far).select(order, F.size("_f").cast("long").alias("n"), F.size(alike).cast("long").alias("k"))
+    counts = few.groupBy(order).agg(F.sum("n").alias("n_pairs"), F.sum("k").alias("n_alike"))
+    if any_long:
+        counts = counts.unionByName(_counted_pairs(rows.join(long_ones, order, "left_semi"), order, min_delta, strict))
+    return counts.where("n_pairs > 0").withColumn("direction", F.col("n_alike") / F.col("n_pairs"))
+
+
+def _counted_pairs(rows: DataFrame, order: str, min_delta: float, strict: bool) -> DataFrame:
+    """n_pairs and n_alike of each order (_y, _p), as a merge sort counts inversions. Every row is a point at _y + min_delta and
+    asks at _y how many points with a lesser _p lie before it. Of ranks of _p, read as digits of DIGIT bits, the lesser
+    ones agree in their leading digits and have a lesser next one; so for each level there is one running count for each
+    digit among the rows that agree so far. A row is read once a level, and long orders are parted (scans.running_sums)."""
+    ranked = running_rank(rows.where("_p is not null"), [order], "_p", "_r").unionByName(rows.where("_p is null"), allowMissingColumns=True)
+    top = ranked.agg(F.max("_r")).first()[0] or 1
+    levels, base = max(1, -(-int(top).bit_length() // DIGIT)), 1 << DIGIT
+    r = F.col("_r") - 1
+    kinds = F.array(F.struct((F.col("_y") + min_delta).alias("t"), F.lit(2 if strict else 0).alias("kind")), F.struct(F.col("_y").alias("t"), F.lit(1).alias("kind")))
+    # level -1: all rows, whatever their prediction, for the number of pairs
+    cells = [F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("parent"), F.lit(0).alias("digit"))]
+    cells += [F.struct(F.lit(i).alias("level"), F.shiftright(r, DIGIT * (i + 1)).cast("long").alias("parent"), F.shiftright(r, DIGIT * i).bitwiseAND(base - 1).cast("int").alias("digit")) for i in range(levels)]
+    each = F.when(F.col("_r").isNotNull(), F.array(*cells)).otherwise(F.array(cells[0]))
+    sides = ranked.select(order, "_r", F.explode(kinds).alias("x")).select(order, "_r", "x.*").select(order, "t", "kind", F.explode(each).alias("c")).select(order, "t", "kind", "c.*")
+    point = F.col("kind") != 1
+    counted = running_sums(sides, [order, "level", "parent"], ["t", "kind"], {f"c{i}": (point & (F.col("digit") == i)).cast("long") for i in range(base)})
+    lesser = F.aggregate(F.slice(F.array(*[f"c{i}" for i in range(base)]), 1, F.col("digit")), F.lit(0).cast("long"), lambda s, x: s + x)
+    asked = counted.where("kind = 1")
+    return asked.groupBy(order).agg(F.sum(F.when(F.col("level") == -1, F.col("c0"))).alias("n_pairs"), F.coalesce(F.sum(F.when(F.col("level") >= 0, lesser)), F.lit(0)).alias("n_alike"))
 
 
 def direction_accuracy(df: DataFrame, order: str, seq: str, y: str, p: str, min_delta: float = 0.3, strict: bool = True) -> DataFrame:

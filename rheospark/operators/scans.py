@@ -127,3 +127,28 @@ def running_last(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Co
     own = rows.withColumn(out, F.last(x, ignorenulls=True).over(_within(order, "_part", "_key").rowsBetween(Window.unboundedPreceding, 0)))
     own = own.join(F.broadcast(carried), ["_part", "_key"], "left").withColumn(out, F.coalesce(out, "_carried"))
     return own.select(*[F.col(f"`{c}`") for c in names], out)
+
+
+def running_sums(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str], sums: Mapping[str, Column], parts: int | None = None) -> DataFrame:
+    """Add for each name of sums the sum of its column (null counts as 0) over the earlier rows of the key in `order`."""
+    names = df.columns
+    cells = {f"_v{i}": F.coalesce(c, F.lit(0)) for i, c in enumerate(sums.values())}
+    rows = ranged(df.withColumns(cells), keys, order, parts)
+    chunks = spanning(rows)
+    ends = rows.join(F.broadcast(chunks), ["_part", "_key"]).groupBy("_part", "_key").agg(*[F.sum(c).alias(c) for c in cells])
+    before = _before(_within(["_part"], "_key"))
+    carried = ends.select("_part", "_key", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_c{c}") for c in cells])
+    own = rows.withColumns({f"_o{c}": F.coalesce(F.sum(c).over(_before(_within(order, "_part", "_key"))), F.lit(0)) for c in cells})
+    own = own.join(F.broadcast(carried), ["_part", "_key"], "left")
+    return own.select(*[F.col(f"`{c}`") for c in names], *[(F.col(f"_o{c}") + F.coalesce(f"_c{c}", F.lit(0))).alias(n) for c, n in zip(cells, sums, strict=True)])
+
+
+def running_rank(df: DataFrame, keys: Sequence[Column | str], value: str, out: str, parts: int | None = None) -> DataFrame:
+    """Add `out`: 1 and the number of rows of the key with a lesser value (nulls least). Equal values lie in one range."""
+    names = df.columns
+    rows = ranged(df, keys, [value], parts)
+    chunks = spanning(rows)
+    ends = rows.join(F.broadcast(chunks), ["_part", "_key"]).groupBy("_part", "_key").agg(F.count("*").alias("_n"))
+    carried = ends.select("_part", "_key", F.coalesce(F.sum("_n").over(_before(_within(["_part"], "_key"))), F.lit(0)).alias("_carried"))
+    own = rows.withColumn(out, F.rank().over(_within([value], "_part", "_key"))).join(F.broadcast(carried), ["_part", "_key"], "left")
+    return own.withColumn(out, F.col(out) + F.coalesce("_carried", F.lit(0))).select(*[F.col(f"`{c}`") for c in names], out)

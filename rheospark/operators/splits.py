@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import cut
-from .aggs import mode, pct
+from .aggs import mode
+from .quantiles import percentiles
 
 
 def uniform(*keys: Column | str, seed: int = 0) -> Column:
@@ -64,7 +65,7 @@ def super_groups(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def strata(df: DataFrame, group: str, silica: str, wet: str, label: str) -> DataFrame:
     """Per group the most frequent of silica x wet x label quartile."""
-    edges = df.agg(F.percentile(label, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_e"))
+    edges = percentiles(df, [], {"_e": label}, [0.25, 0.5, 0.75])
     quartile = F.size(F.filter("_e", lambda e: F.col(label) > e))
     rows = df.join(F.broadcast(edges)).withColumn("stratum", F.concat_ws("-", F.col(silica).cast("string"), F.col(wet).cast("string"), quartile.cast("string")))
     return mode(rows, [group], "stratum")
@@ -111,8 +112,9 @@ def cold_start(df: DataFrame, train: DataFrame, recipe: str, least: int = 3) ->
 
 def high_energy_flags(train: DataFrame, df: DataFrame, branch: str, energy: str, per_ton: str, q: float = 0.9) -> DataFrame:
     """high_energy and high_per_ton: above the branch's training percentile (all training rows' for a new branch)."""
-    own = train.groupBy(branch).agg(pct(energy, q).alias("_e"), pct(per_ton, q).alias("_t"))
-    whole = train.agg(pct(energy, q).alias("_ae"), pct(per_ton, q).alias("_at"))
+    both = {"_e": energy, "_t": per_ton}
+    own = percentiles(train, [branch], both, [q]).select(branch, *[F.col(c)[0].alias(c) for c in both])
+    whole = percentiles(train, [], both, [q]).select(F.col("_e")[0].alias("_ae"), F.col("_t")[0].alias("_at"))
     out = df.join(own, branch, "left").join(F.broadcast(whole))
     flag = lambda c, o, a: F.coalesce(F.col(c) > F.coalesce(o, a), F.lit(False))
     return out.withColumns({"high_energy": flag(energy, "_e", "_ae"), "high_per_ton": flag(per_ton, "_t", "_at")}).drop("_e", "_t", "_ae", "_at")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .folds import visible_values
 from .joins import first_rows
+from .quantiles import percentiles
 
 
 def number_in_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -63,8 +64,8 @@ def rolling_visible(df: DataFrame, keys: list[str], order: list[Column], start:
 def rolling_residual(df: DataFrame, train: Column, group: str, mixer: str, order: list[Column], start: str, visible: str, value: str) -> DataFrame:
     """Residual to the training rows' median of the group (all training rows' where the group has none), rolled over the
     group's last five and the mixer's last ten visible rows."""
-    medians = df.where(train).groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    whole = df.where(train).agg(F.percentile(value, F.lit(0.5)).alias("_all"))
+    medians = percentiles(df.where(train), [group], {"_p": value}, [0.5]).select(group, F.col("_p")[0].alias("_med"))
+    whole = percentiles(df.where(train), [], {"_p": value}, [0.5]).select(F.col("_p")[0].alias("_all"))
     out = df.join(medians, group, "left").join(F.broadcast(whole)).withColumn("residual", F.col(value) - F.coalesce("_med", "_all"))
     out = rolling_visible(out.drop("_med", "_all"), [group], order, start, visible, "residual", 5, 5)
     out = out.withColumnRenamed("roll5_mean", "group_roll5").drop("roll5_std")
@@ -110,7 +111,7 @@ def head_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int)
 
 def best_cohort(df: DataFrame, keys: list[str], value: str, ok: Column, order: list[Column], k: int = 20, low: float = 0.1, high: float = 0.3) -> DataFrame:
     """Per key the k rows of least value among those in spec between two percentiles of the key's values."""
-    limits = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    limits = percentiles(df, keys, {"_p": value}, [low, high])
     inside = df.join(limits, keys).where(ok & F.col(value).between(F.col("_p")[0], F.col("_p")[1])).drop("_p")
     return first_rows(inside, keys, [F.col(value), *order], k)
 

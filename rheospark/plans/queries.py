@@ -431,7 +431,7 @@ FINAL SELECT e.user_id, count(*) AS n, sum(value) AS total FROM e JOIN w ON e.us
 def _(spark, d):
     points = events(spark, d)
     spans = points.where("event_type = 'signup'").groupBy("user_id").agg(F.min("t").alias("s"), F.max("t").alias("f"))
-    return joins.window_agg(points, spans, ["user_id"], [], "t", "s", "f", [F.count("*").alias("n"), F.sum("value").alias("total")], cell=86_400.0)
+    return joins.window_agg(points, spans, ["user_id"], [], "t", "s", "f", [F.count("*").alias("n"), F.sum("value").alias("total")])
 
 
 @query("asof_value", f"""{E}, v AS (SELECT user_id, t, event_id, value FROM e WHERE event_type = 'view')

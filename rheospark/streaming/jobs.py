@@ -6,13 +6,13 @@ score_stream(), which appends each micro-batch. Event time bounds all state.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -69,50 +69,92 @@ def alpha(feedback: float, before: float | None) -> float:
     return 0.65 if abs(feedback - before) >= 2.0 or same else 0.2
 
 
-def calibrate_stream(stream: DataFrame, key: str, time: str, seq: str, y: str, p: str, k: int = 3, most: float = 4.0, late: str = "1 hour") -> DataFrame:
-    """The keyed twin of calibrate.ewma_calibrate(): key, seq, correction, alpha, event.
-
-    State per key: the last k + 1 labelled residuals, the EWMA, and rows that wait until the watermark has passed them,
-    so that rows of a key are folded in order of (time, seq) though micro-batches hold them in any order.
-    """
-    kind = stream.schema[key].dataType.simpleString()
-    number = stream.schema[seq].dataType.simpleString()
-    output = f"`{key}` {kind}, `{seq}` {number}, correction double, alpha double, event string"
-    state = "history array<double>, ewma double, waiting array<struct<t:timestamp,s:double,y:double,p:double>>"
-
-    def fold(at: tuple, batches: Iterable[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        history, ewma, waiting = (list(st.get[0]), st.get[1], [tuple(w) for w in st.get[2]]) if st.exists else ([], 0.0, [])
-        for batch in batches:
-            for t, s, yy, pp in batch[[time, seq, y, p]].itertuples(index=False):
-                waiting.append((t, float(s), None if pd.isna(yy) else float(yy), None if pd.isna(pp) else float(pp)))
-        limit = pd.Timestamp(st.getCurrentWatermarkMs(), unit="ms")
-        plain = lambda t: t.tz_convert("UTC").tz_localize(None) if getattr(t, "tzinfo", None) else pd.Timestamp(t)
-        waiting.sort(key=lambda w: (plain(w[0]), w[1]))
-        ready = [w for w in waiting if st.hasTimedOut or plain(w[0]) <= limit]
-        waiting = waiting[len(ready) :]
-        rows = []
-        for _, s, yy, pp in ready:
-            correction, rate, event = max(-most, min(most, ewma)), None, "NO_LABEL"
-            if yy is not None and pp is not None:
-                history.append(yy - pp)
-                event = "WARM_UP"
-                if len(history) >= k:
-                    feedback, before = history[-k], history[-k - 1] if len(history) > k else None
+def keyed_state_store(spark: SparkSession) -> None:
+    """Keyed processors with timers need the RocksDB state store; one that is set already stays."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(name):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Calibrator(StatefulProcessor):
+    """Per key: the rows that wait until the watermark has passed them (list state), the EWMA with the last k + 1 labelled
+    residuals (value state), and timers, one for the earliest row that waits and one after which a silent key is forgotten."""
+
+    def __init__(self, names: list[str], k: int, most: float, forget_us: int):
+        self.names, self.k, self.most, self.forget_us = names, k, most, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, s double, y double, p double")
+        self.carry = handle.getValueState("carry", "ewma double, history array<double>, last long, timer long")
+
+    def _rows(self, key: tuple, ready: list[tuple], ewma: float, history: list[float], last: int | None) -> tuple[list[tuple], float, list[float]]:
+        out = []
+        for t, s, y, p in ready:
+            if last is not None and t > last + self.forget_us:
+                ewma, history = 0.0, []
+            last = t
+            correction, rate, event = max(-self.most, min(self.most, ewma)), None, "NO_LABEL"
+            if y is not None and p is not None:
+                history, event = [*history, y - p][-(self.k + 1) :], "WARM_UP"
+                if len(history) >= self.k:
+                    feedback, before = history[-self.k], history[-self.k - 1] if len(history) > self.k else None
                     rate = alpha(feedback, before)
                     ewma = (1 - rate) * ewma + rate * feedback
                     event = "CHANGE_POINT" if rate == 0.65 else "UPDATE"
-                history = history[-(k + 1) :]
-            rows.append((at[0], s, correction, rate, event))
-        if waiting or history:
-            st.update((history, ewma, waiting))
-            if waiting:
-                st.setTimeoutTimestamp(max(int(plain(waiting[0][0]).timestamp() * 1000), st.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(rows, columns=[key, seq, "correction", "alpha", "event"])
-        out[seq] = out[seq].astype("int64") if number in ("bigint", "int") else out[seq]
-        yield out.astype({"correction": float, "alpha": float})
-
-    rows = stream.withWatermark(time, late).select(key, time, seq, F.col(y).cast("double").alias(y), F.col(p).cast("double").alias(p))
-    return rows.groupBy(key).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+            out.append((key[0], t, s, correction, rate, event))
+        return out, ewma, history
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        number = lambda v: None if pd.isna(v) else float(v)
+        new = [(int(t), float(s), number(y), number(p)) for batch in rows for t, s, y, p in batch[["t_", "s_", "y_", "p_"]].itertuples(index=False)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        every = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+        ready = [r for r in every if r[0] <= now]
+        ewma, history, last, timer = tuple(self.carry.get()) if self.carry.exists() else (0.0, [], None, None)
+        rows, ewma, history = self._rows(key, ready, ewma, list(history), last)
+        left = every[len(ready) :]
+        if ready:
+            last = ready[-1][0]
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(-(-left[0][0] // 1000))
+            else:
+                self.waiting.clear()
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = -(-(last + self.forget_us) // 1000)
+            self.handle.registerTimer(timer)
+            self.carry.update((ewma, history, last, timer))
+        elif last is not None and last + self.forget_us <= now:
+            self.carry.clear()
+        if rows:
+            yield pd.DataFrame(rows, columns=self.names).astype({"correction": float, "alpha": float})
+
+    def close(self) -> None:
+        pass
+
+
+def calibrate_stream(stream: DataFrame, key: str, time: str, seq: str, y: str, p: str, k: int = 3, most: float = 4.0, late: str = "1 hour", forget: str = "365 days") -> DataFrame:
+    """ST4, the keyed twin of calibrate.ewma_calibrate(): key, seq, time, correction, alpha, event (the log of what each row did).
+
+    Rows of a key are folded in order of (time, seq) though micro-batches hold them in any order: each waits until the
+    watermark, `late` behind the latest time seen, has passed it. Rows later than that are dropped by Spark. A key without a
+    row for `forget` of event time loses its state."""
+    keyed_state_store(stream.sparkSession)
+    kind, number = stream.schema[key].dataType.simpleString(), stream.schema[seq].dataType.simpleString()
+    micros = int(pd.Timedelta(forget).total_seconds() * 1_000_000)
+    names = ["k_", "t_", "s_", "correction", "alpha", "event"]
+    double = lambda c: F.col(c).cast("double")
+    rows = stream.withWatermark(time, late).select(F.col(key).alias("k_"), time, F.unix_micros(F.col(time).cast("timestamp")).alias("t_"), double(seq).alias("s_"), double(y).alias("y_"), double(p).alias("p_"))
+    out = rows.groupBy("k_").transformWithStateInPandas(_Calibrator(names, k, most, micros), f"k_ {kind}, t_ long, s_ double, correction double, alpha double, event string", "Append", "EventTime")
+    return out.select(F.col("k_").alias(key), F.col("s_").cast(number).alias(seq), F.timestamp_micros("t_").alias(time), "correction", "alpha", "event")
 
 
 def monitor_stream(stream: DataFrame, time: str, y: str, p: str, confidence: str, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
