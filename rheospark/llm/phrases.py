@@ -1,20 +1,19 @@
 """Phrase mining by the partition algorithm of Savasere, Omiecinski and Navathe (SON), and scores of collocations.
 
-First pass: a shard is what a task reads, some ten million bytes at a time. It is mined completely, phrases of one word first and
-longer ones from those whose parts are frequent, at a support lowered in proportion to its share of the language's
-words. A phrase that reaches the global count reaches the lowered one in one shard at least. The union of what shards find
-is kept as a filter of fixed size that never misses one: two bits a phrase, joined by OR.
-
-Second pass: every phrase that is in the filter is counted in each shard, and the counts are added up exactly. What passes
-the filter by chance is counted like the others and falls to the global count. The filter is the only thing that is
-broadcast, 8 MB at any size of the corpus.
-
-The lowered support is never below one: with more than a hundred shards (minimum count 100) rare phrases are no longer
-pruned before the second pass, which then counts them all; the result stays exact.
+First pass: a shard is as many texts as a task can hold as numbers (SHARD_BYTES). It is mined completely, phrases of one
+word first and longer ones from those whose parts are frequent, at a support s lowered in proportion to its share of the
+language's words. A shard that doesn't report a phrase has it s - 1 times at most. So what the shards report, put together, bounds
+each phrase's count from above; a phrase whose bound reaches the global count is a candidate. With more shards than the
+global count, s is one, and the bound is the count itself.
+
+Second pass: the candidates are a filter of fixed size, two bits each, 8 MB at any size of the corpus; nothing else is
+broadcast. Each shard counts every phrase that passes it, and the counts are added up exactly. What passes by chance is
+counted like the others and falls to the global count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,12 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_hot, table, written
+from .common import discard, join_hot, table, written
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
-#: Text bytes of a shard, about.
-SHARD_BYTES = 32_000_000
+#: Text bytes of a shard, about; a worker takes about ten times as much at most.
+SHARD_BYTES = 40_000_000
+#: Shards of a task, where there are more shards than cores; and rows of counts that a task adds up before it hands them on.
+SHARDS, ROWS = 8, 1_500_000
+#: Keys are numbered in so many slices, for tables of a fraction of the size.
+SLICES = 16
 #: Bits of the filter, as a power of two: 8 MB.
 FILTER_BITS = 26
 #: What ends a piece, and a word.
@@ -40,6 +43,8 @@ WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Languages with a smaller share of all words than this are mined at a support of one, so that no more than its inverse go along.
 RARE = 1000
+#: Low bits of a phrase's hash that hold its language's number (from 1; 0: a rare one).
+LANG_BITS = 10
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[ord(c) for c in SPACES]] = 1
@@ -53,44 +58,67 @@ def language(lang: Column) -> Column:
     return F.coalesce(lang, F.lit(UNKNOWN))
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number from 0 for each distinct key."""
+    numbers, distinct = np.empty(len(keys), np.int32), 0
+    slices = (keys % SLICES).astype(np.int8)
+    for i in range(SLICES):
+        own = np.flatnonzero(slices == i)
+        found, names = pd.factorize(keys[own])
+        numbers[own] = found + distinct
+        distinct += len(names)
+    return numbers, distinct
+
+
 class Shard:
-    """Words of some texts in order: number of the (language, word) pair, piece, language."""
+    """Words of some texts in order: number of the word, piece, language."""
 
     def __init__(self, langs: pa.StringArray, texts: pa.StringArray):
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets -= offsets[0]
         kind = _KIND[data]
+        stops = np.flatnonzero(kind == 2).astype(np.int32)
         inside = kind == 0
-        edge = np.zeros(len(data) + 1, bool)  # a text begins
-        edge[offsets] = True
-        before = np.concatenate(([False], inside[:-1]))
-        starts = np.flatnonzero(inside & (~before | edge[:-1]))
-        after = np.concatenate((inside[1:], [False]))
-        ends = np.flatnonzero(inside & (~after | edge[1:]))
-        del before, after, edge
-        bounds = np.concatenate(([0], np.cumsum(ends - starts + 1))).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(_FOLD[data[inside]].tobytes())])
+        del kind
+        edge = inside.copy()  # where words begin, also behind a text that ends in one
+        edge[1:] &= ~inside[:-1]
+        at = offsets[:-1][offsets[:-1] < len(data)]
+        edge[at] = inside[at]
+        starts = np.flatnonzero(edge).astype(np.int32)
+        edge[:] = inside  # where they end
+        edge[:-1] &= ~inside[1:]
+        at = offsets[1:][offsets[1:] > 0] - 1
+        edge[at] = inside[at]
+        bounds = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(np.flatnonzero(edge).astype(np.int32) - starts + 1, out=bounds[1:])
+        del edge
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(_FOLD[data[inside]])])
+        del inside, data
         coded = words.dictionary_encode()
-        self.words = coded.dictionary
+        self.words, self.word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        del words, coded, bounds
         doc = np.searchsorted(offsets, starts, side="right")
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts) + doc  # both only grow, so a piece has one sum
+        self.piece = (np.searchsorted(stops, starts) + doc).astype(np.int32)  # both only grow, so a piece has one sum
         names = langs.dictionary_encode()
         self.langs = names.dictionary.to_pylist()
         self.lang = names.indices.to_numpy(zero_copy_only=False)[doc - 1]
-        self.word = coded.indices.to_numpy(zero_copy_only=False)
         self.n_words = np.bincount(self.lang, minlength=len(self.langs))
 
-    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Of the phrases of `size` words that begin at `at`: a hash of language and words, alike in every shard."""
+    def hashes(self, at: np.ndarray, size: int, numbers: dict[str, int]) -> np.ndarray:
+        """Of the phrases of `size` words that begin at `at`: a hash of language and words, alike in every shard, with the
+        language's number in its LANG_BITS low bits; what is above them is never 0."""
         if not hasattr(self, "_of_word"):
             self._of_word = np.fromiter(map(xxhash.xxh64_intdigest, self.words.to_pylist()), np.uint64, len(self.words))
             self._of_lang = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed=1) for x in self.langs), np.uint64, len(self.langs))
-        h = self._of_lang[self.lang[at]]
+        own = np.array([numbers.get(x, 0) for x in self.langs], np.uint64)
+        lang = self.lang[at]
+        h = self._of_lang[lang]
         for i in range(size):
             h = (h ^ (h >> np.uint64(31))) * _MIX + self._of_word[self.word[at + i]]
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(27))
+        h = np.maximum((h ^ (h >> np.uint64(27))) >> np.uint64(LANG_BITS), np.uint64(1)) << np.uint64(LANG_BITS)
+        return h | own[lang]
 
     def phrases(self, at: np.ndarray, size: int) -> pa.Array:
         parts = [self.words.take(pa.array(self.word[at + i])) for i in range(size)]
@@ -100,63 +128,92 @@ class Shard:
         """size, first places and counts of the distinct phrases of each size that keep(first places, counts, size) marks; longer
         ones only from those whose two shorter parts it has marked."""
         n = len(self.word)
-        code = np.full(n, -1)  # number of the kept phrase that begins at a place
-        places, keys = np.arange(n), self.lang.astype(np.int64) * max(1, len(self.words)) + self.word
+        code = np.full(n, -1, np.int32)  # number of the kept phrase that begins at a place
+        places, keys = np.arange(n, dtype=np.int32), self.lang.astype(np.int64) * max(1, len(self.words)) + self.word
         for size in range(1, longest + 1):
-            numbers, distinct = pd.factorize(keys)
-            counts = np.bincount(numbers, minlength=len(distinct))
-            first = np.empty(len(distinct), np.int64)
+            numbers, distinct = _numbered(keys)
+            del keys
+            counts = np.bincount(numbers, minlength=distinct)
+            first = np.empty(distinct, np.int32)
             first[numbers[::-1]] = places[::-1]  # the earliest is written last
             kept = keep(first, counts, size)
             yield size, first[kept], counts[kept]
             if size == longest or not kept.any():
                 return
-            renumbered = np.where(kept, np.cumsum(kept) - 1, -1)
             code[:] = -1
-            code[places] = renumbered[numbers]
-            here = np.flatnonzero((code[: n - size] >= 0) & (code[1 : n - size + 1] >= 0) & (self.piece[: n - size] == self.piece[size:]))
-            places, keys = here, code[here] * int(kept.sum()) + code[here + 1]
+            code[places] = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)[numbers]
+            del numbers, counts, first
+            places = np.flatnonzero((code[: n - size] >= 0) & (code[1 : n - size + 1] >= 0) & (self.piece[: n - size] == self.piece[size:])).astype(np.int32)
+            keys = code[places].astype(np.int64) * int(kept.sum()) + code[places + 1]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     waiting, size = [], 0
+
+    def made() -> Shard:
+        langs, texts = (pa.concat_arrays([b.column(i) for b in waiting]) for i in range(2))
+        waiting.clear()
+        return Shard(langs, texts)
+
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             rows = batch.slice(at, 100)
             waiting.append(rows)
             size += pc.sum(pc.binary_length(rows.column(1))).as_py() or 0
             if size >= most:
-                whole = pa.Table.from_batches(waiting).combine_chunks()
-                waiting, size = [], 0
-                yield Shard(*(whole.column(i).chunk(0) for i in range(2)))
-    if waiting and sum(b.num_rows for b in waiting):
-        whole = pa.Table.from_batches(waiting).combine_chunks()
-        yield Shard(*(whole.column(i).chunk(0) for i in range(2)))
+                size = 0
+                yield made()
+                pa.default_memory_pool().release_unused()
+    if waiting:
+        yield made()
 
 
 def _bits(hashes: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return hashes & np.uint64((1 << filter_bits) - 1), hashes >> np.uint64(64 - filter_bits)
+    return hashes >> np.uint64(LANG_BITS) & np.uint64((1 << filter_bits) - 1), hashes >> np.uint64(64 - filter_bits)
+
 
+def _added(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[pa.RecordBatch]:
+    """Rows that agree in all but `value` added up, as far as ROWS of them hold them."""
+    held: list[pa.Table] = []
 
-def _mine(totals: dict[str, int], least: int, longest: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """First pass: 64-bit words of the filter, by number, for what is frequent in each shard."""
+    def add() -> pa.Table:
+        whole = pa.concat_tables(held)
+        names = whole.column_names
+        return whole.group_by([c for c in names if c != value]).aggregate([(value, "sum")]).rename_columns([*[c for c in names if c != value], value]).select(names)
+
+    rows = 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows > ROWS:
+            held = [add()]
+            rows = held[0].num_rows
+            if rows > ROWS // 2:
+                yield from held[0].to_batches(100_000)
+                held, rows = [], 0
+    if held:
+        yield from add().to_batches(100_000)
+
+
+def _mine(totals: dict[str, int], numbers: dict[str, int], least: int, longest: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """First pass: hash of each phrase that is frequent in a shard, with its count there less s - 1; and s - 1 of each language,
+    with its number in place of a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda h, n: pa.RecordBatch.from_arrays([pa.array(np.asarray(h).view(np.int64)), pa.array(n)], ["h", "excess"])
         for shard in _shards(batches, shard_bytes):
-            support = np.array([-(-least * int(n) // totals[lang]) if lang in totals else 1 for lang, n in zip(shard.langs, shard.n_words, strict=True)], np.int64)
-            frequent = lambda first, counts, _, s=shard, sup=support: counts >= sup[s.lang[first]]
-            found = [np.empty(0, np.uint64)]
-            for size, first, _ in shard.levels(longest, frequent):
-                found += _bits(shard.hashes(first, size), filter_bits)
-            bits = np.unique(np.concatenate(found))
-            starts = np.flatnonzero(np.diff(bits >> np.uint64(6), prepend=~(bits[:1] >> np.uint64(6))))
-            words = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), starts) if len(bits) else bits
-            yield pa.RecordBatch.from_arrays([pa.array((bits[starts] >> np.uint64(6)).astype(np.int32)), pa.array(words.view(np.int64))], ["place", "bits"])
+            unseen = np.array([-(-least * int(n) // totals[lang]) - 1 if lang in totals else 0 for lang, n in zip(shard.langs, shard.n_words, strict=True)], np.int64).clip(0)
+            known = [i for i, lang in enumerate(shard.langs) if lang in numbers]
+            yield out(np.array([numbers[shard.langs[i]] for i in known], np.int64), unseen[known])
+            for size, first, counts in shard.levels(longest, lambda first, counts, _, s=shard, u=unseen: counts > u[s.lang[first]]):
+                for at in range(0, len(first), 200_000):
+                    part = first[at : at + 200_000]
+                    yield out(shard.hashes(part, size, numbers), counts[at : at + 200_000] - unseen[shard.lang[part]])
 
     return run
 
 
-def _count(shared, longest: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(shared, numbers: dict[str, int], longest: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Second pass: how often each phrase of the filter occurs in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,34 +223,53 @@ def _count(shared, longest: int, filter_bits: int, shard_bytes: int) -> Callable
             low, high = (words[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1) for b in _bits(h, filter_bits))
             return (low & high).astype(bool)
 
+        def passing(shard: Shard, first: np.ndarray, size: int) -> np.ndarray:
+            return np.concatenate([np.zeros(0, bool), *(held(shard.hashes(first[at : at + 200_000], size, numbers)) for at in range(0, len(first), 200_000))])
+
         for shard in _shards(batches, shard_bytes):
-            for size, first, counts in shard.levels(longest, lambda first, _, size, s=shard: held(s.hashes(first, size))):
-                for at in range(0, len(first), 100_000):
-                    part = first[at : at + 100_000]
+            for size, first, counts in shard.levels(longest, lambda first, _, size, s=shard: passing(s, first, size)):
+                for at in range(0, len(first), 50_000):
+                    part = first[at : at + 50_000]
                     names = pa.array(shard.langs, pa.string()).take(pa.array(shard.lang[part]))
-                    yield pa.RecordBatch.from_arrays([names, shard.phrases(part, size), pa.array(np.full(len(part), size, np.int32)), pa.array(counts[at : at + 100_000])], ["lang", "phrase", "size", "f"])
+                    yield pa.RecordBatch.from_arrays([names, shard.phrases(part, size), pa.array(np.full(len(part), size, np.int32)), pa.array(counts[at : at + 50_000])], ["lang", "phrase", "size", "f"])
 
     return run
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
-    """docs: lang, text. Words of each language: lang, total."""
-    return docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")).alias("total"))
+    """docs: lang, text. Words and bytes of each language: lang, total, n_bytes."""
+    return docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")).alias("total"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"))
 
 
 def frequent_phrases(docs: DataFrame, totals: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, filter_bits: int = FILTER_BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs: lang, text (neither null). lang, phrase, size, f of every phrase of up to `longest` words that occurs `least` times or
     more in its language; written. totals: see word_totals()."""
     spark = docs.sparkSession
-    whole = totals.agg(F.sum("total")).first()[0] or 0
-    known = {r.lang: r.total for r in totals.where(F.col("total") * RARE > whole).collect()}  # RARE of them at most
-    mined = docs.mapInArrow(_mine(known, least, longest, filter_bits, shard_bytes), "place int, bits long")
-    union = mined.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    whole, size = totals.agg(F.sum("total"), F.sum("n_bytes")).first()
+    known = {r.lang: r.total for r in totals.where(F.col("total") * RARE > (whole or 0)).collect()}  # RARE of them at most
+    numbers = {lang: i + 1 for i, lang in enumerate(sorted(known))}
+    # tasks hold whole shards, and more than one where there are more than cores: they add up what they find
+    shards = max(1, math.ceil((size or 0) / shard_bytes))
+    docs = docs.coalesce(max(min(shards, spark.sparkContext.defaultParallelism), math.ceil(shards / SHARDS)))
+    mine = _mine(known, numbers, least, longest, shard_bytes)
+    mined = written(docs.mapInArrow(lambda rows: _added(mine(rows), "excess"), "h long, excess long").groupBy("h").agg(F.sum("excess").alias("excess")), "mined")
+    codes = (1 << LANG_BITS) - 1
+    is_lang = F.col("h").between(0, codes)
+    unseen = mined.where(is_lang).select(F.col("h").alias("_lang"), F.col("excess").alias("_unseen"))  # RARE rows at most
+    bound = mined.where(~is_lang).withColumn("_lang", F.col("h").bitwiseAND(codes)).join(F.broadcast(unseen), "_lang", "left")
+    candidates = bound.where(F.col("excess") + F.coalesce("_unseen", F.lit(0)) >= least)
+    low = F.shiftrightunsigned("h", LANG_BITS).bitwiseAND((1 << filter_bits) - 1)
+    bit = candidates.select(F.explode(F.array(low, F.shiftrightunsigned("h", 64 - filter_bits))).alias("b"))
+    place, mask = F.shiftright("b", 6), F.expr("shiftleft(1L, cast(b & 63 as int))")
+    union = bit.groupBy(place.alias("place")).agg(F.bit_or(mask).alias("bits")).toArrow()
     words = np.zeros(1 << (filter_bits - 6), np.uint64)
     words[union.column("place").to_numpy()] = union.column("bits").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(words.tobytes())
-    counts = docs.mapInArrow(_count(shared, longest, filter_bits, shard_bytes), "lang string, phrase string, size int, f long")
-    return written(counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
+    count = _count(shared, numbers, longest, filter_bits, shard_bytes)
+    counts = docs.mapInArrow(lambda rows: _added(count(rows), "f"), "lang string, phrase string, size int, f long")
+    found = written(counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
+    discard(mined)
+    return found
 
 
 def score_cuts(frequent: DataFrame, totals: DataFrame) -> DataFrame:
@@ -206,7 +282,7 @@ def score_cuts(frequent: DataFrame, totals: DataFrame) -> DataFrame:
     parts = asked.groupBy("lang", "part").agg(F.count("*").alias("n")).join(frequent.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
     both = join_hot(asked, written(parts, "parts"), ["lang", "part"], ["phrase", "k"]).groupBy("lang", "phrase", "a", "k")
     both = both.agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
-    sizes = both.groupBy("lang").agg(F.count("*").alias("n")).join(totals, "lang")
+    sizes = both.groupBy("lang").agg(F.count("*").alias("n")).join(totals.select("lang", "total"), "lang")
     scored = join_hot(both, written(sizes, "sizes"), ["lang"], ["phrase"]).withColumnRenamed("total", "words").drop("n").withColumnRenamed("words", "n")
     exact = F.expr("(cast(1000 * a as decimal(38, 0)) * cast(n as decimal(20, 0))) div (cast(l as decimal(38, 0)) * cast(r as decimal(20, 0)))")
     lowest = F.min(F.struct(exact.alias("score"), "k", "l", "r")).alias("x")
