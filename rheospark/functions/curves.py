@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -235,6 +236,22 @@ def stages_long(df: DataFrame, keep: list[str], oil: Column) -> DataFrame:
     return df.select(*keep, F.explode(cells).alias("x")).select(*keep, "x.*")
 
 
+@udtf(returnType="stage string, s int, e int")
+class StageTable:
+    """stages_long() for SQL, after register_tables(): SELECT ... FROM t, LATERAL stage_table(t1, t2, t3, t4, t5, bottom_start,
+    bottom_end, has_oil). Bounds that are null stay null."""
+
+    def eval(self, t1: int, t2: int, t3: int, t4: int, t5: int, bottom_start: int, bottom_end: int, oil: bool):  # noqa: ANN201
+        ends = [(0, t1), (t1, t2 if oil else t4), (t2, t3), (t3, t4 if oil else t3), (t4, t5), (bottom_start, bottom_end)]
+        for stage, (s, e) in zip(STAGES, ends, strict=True):
+            yield stage, s, e
+
+
+def register_tables(spark: SparkSession) -> None:
+    """Table functions for spark.sql: stage_table."""
+    spark.udtf.register("stage_table", StageTable)
+
+
 def stage_stats(df: DataFrame, channels: list[str], integrals: list[str], torque: str = "torque", speed: str = "speed", s: str = "s", e: str = "e") -> DataFrame:
     """Per row with s and e: mean and population deviation of each channel, of eta = torque / speed, integrals, duration."""
     cut = lambda c: part(F.col(c), F.col(s), F.col(e))

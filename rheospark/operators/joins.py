@@ -207,16 +207,18 @@ def expand_candidates(df: DataFrame, candidates: DataFrame, keys: list[str]) ->
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, features: list[str], ident: str, most: int = 10_000) -> DataFrame:
-    """Nearest centroid (Euclidean; ties by id) of each row. There are few centroids: the list is checked and sent along."""
-    n = centroids.count()
-    if n > most:
-        raise ValueError(f"{n} centroids; at most {most}")
-    rows = F.collect_list(F.struct(F.col(ident).alias("id"), F.array(*features).alias("c")))
-    packed = centroids.agg(rows.alias("_c"))
-    here = F.array(*features)
+    """Nearest centroid (Euclidean; ties by id) of each row. Centroids go along in blocks of `most`, one after the other, so that
+    what is broadcast is bounded however many there are; a row keeps the best it has met."""
+    blocks = max(1, -(-centroids.count() // most))
+    of = F.pmod(F.xxhash64(ident), F.lit(blocks))
+    here = F.array(*[F.col(f).cast("double") for f in features])
     far = lambda c: F.aggregate(F.zip_with(here, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    best = F.array_min(F.transform("_c", lambda x: F.struct(far(x["c"]).alias("d"), x["id"].alias("id"))))
-    return df.join(F.broadcast(packed)).withColumn("_b", best).select(*df.columns, F.col("_b.id").alias("centroid"), F.sqrt("_b.d").alias("distance"))
+    out = df.withColumn("_b", F.lit(None).cast(f"struct<d:double,id:{centroids.schema[ident].dataType.simpleString()}>"))
+    for i in range(blocks):
+        packed = centroids.where(of == i).agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("c"))).alias("_c"))
+        best = F.array_min(F.transform("_c", lambda x: F.struct(far(x["c"]).alias("d"), x["id"].alias("id"))))
+        out = out.join(F.broadcast(packed)).withColumn("_b", F.least("_b", best)).drop("_c")
+    return out.select(*df.columns, F.col("_b.id").alias("centroid"), F.sqrt("_b.d").alias("distance"))
 
 
 def match_feedback(predictions: DataFrame, lab: DataFrame, key: str, ts: str) -> DataFrame:

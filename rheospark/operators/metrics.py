@@ -245,3 +245,13 @@ def subset_metrics(df: DataFrame, subsets: Mapping[str, Column], y: str, p: str)
     got = regression_metrics(df.withColumn("subset", F.explode(names)), y, p, ["subset"])
     every = df.sparkSession.createDataFrame([(n,) for n in subsets], "subset string")
     return every.join(got, "subset", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def bucket_directions(df: DataFrame, buckets: Mapping[str, str], order: str, seq: str, y: str, p: str, min_delta: float = 0.3) -> DataFrame:
+    """AG37: per kind of bucket (name -> column) and bucket the orders with pairs of batches in it whose labels differ enough,
+    those pairs, and the mean over the orders of the share that the predictions order alike."""
+    cells = F.array(*[F.struct(F.lit(t).alias("bucket_type"), F.col(c).cast("string").alias("bucket_value")) for t, c in buckets.items()])
+    rows = df.select(order, seq, y, p, F.explode(cells).alias("_b")).select(F.struct("_b.bucket_type", "_b.bucket_value", order).alias("_o"), seq, y, p)
+    pairs = direction_by_order(rows.where("_o.bucket_value is not null"), "_o", seq, y, p, min_delta)
+    out = pairs.groupBy("_o.bucket_type", "_o.bucket_value").agg(F.count("*").alias("n_orders"), F.sum("n_pairs").alias("n_pairs"), F.avg("direction").alias("direction"))
+    return out

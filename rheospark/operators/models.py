@@ -573,6 +573,19 @@ def confidence(df: DataFrame, train: DataFrame, columns: list[str], spread: str,
     return out.withColumn("confidence", value).withColumn("light", F.when(value >= 0.7, "Green").when(value >= 0.4, "Yellow").otherwise("Red"))
 
 
+def nearest_groups(means: DataFrame, group: str, features: list[str], k: int, most: int = 10_000) -> DataFrame:
+    """The k nearest groups of each (itself counted, ties by name): `group`, near, distance. means has a row per group, `most` at
+    most: the list goes along with each of them. More are refused: cut them by family first."""
+    packed = means.agg(F.collect_list(F.struct(F.col(group).alias("near"), F.array(*features).alias("at"))).alias("_all"), F.count("*").alias("_n"))
+    if (packed.first()["_n"] or 0) > most:
+        raise ValueError(f"more than {most} groups")
+    here = F.array(*features)
+    far = lambda x: F.sqrt(F.aggregate(F.zip_with(here, x["at"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    ranked = F.slice(F.array_sort(F.transform("_all", lambda x: F.struct(far(x).alias("distance"), x["near"].alias("near")))), 1, k)
+    out = means.join(F.broadcast(packed)).select(group, F.explode(ranked).alias("x"))
+    return out.select(group, "x.near", "x.distance")
+
+
 def local_prediction(df: DataFrame, train: DataFrame, compound: str, neighbours: DataFrame, columns: list[str], label: str, reg: float = 1.0) -> DataFrame:
     """Predictions of a ridge per compound on the rows of its nearest compounds, weighted by exp(-1.5 distance).
 

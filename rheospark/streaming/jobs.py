@@ -51,6 +51,23 @@ def validate(matched: DataFrame, y: str, p: str, most: float = 10.0) -> DataFram
     return out.withColumn("status", F.when(reason.isNull(), "VALIDATED").otherwise("REJECTED"))
 
 
+def feedback_stream(predictions: DataFrame, lab: DataFrame, key: str, predicted_at: str, measured_at: str, y: str, p: str, most: float = 10.0, most_delay: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """The life of a prediction in one stream: EXPIRED once the watermark has passed its time for feedback, VALIDATED or REJECTED
+    (with a reason) when a result came."""
+    matched = match_stream(predictions, lab, key, predicted_at, measured_at, most_delay, late).withColumnRenamed("status", "_status")
+    out = validate(matched, y, p, most)
+    expired = F.col("_status") == "EXPIRED"
+    return out.withColumns({"status": F.when(expired, "EXPIRED").otherwise(F.col("status")), "reject_reason": F.when(~expired, F.col("reject_reason"))}).drop("_status")
+
+
+def first_feedback(stream: DataFrame, group: str, time: str, ident: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """The earliest feedback of each label group and window (ties: the least id), once the watermark has passed the window.
+    Unlike dedup_feedback(), which keeps what arrives first, it doesn't depend on how rows fall into micro-batches."""
+    w = F.window(time, width).alias("w")
+    out = stream.withWatermark(time, late).groupBy(w, group).agg(F.min(F.struct(time, ident)).alias("x"), F.count("*").alias("n"))
+    return out.select(F.col("w.start").alias("window_start"), group, F.col(f"x.{ident}").alias(ident), F.col(f"x.{time}").alias(time), "n")
+
+
 def dedup_feedback(stream: DataFrame, group: str, time: str, late: str = "12 hours") -> DataFrame:
     """The first feedback of each label group."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([group])
@@ -176,6 +193,24 @@ def drift_stream(stream: DataFrame, time: str, columns: list[str], profile: Data
     return rows.join(F.broadcast(profile.where(F.col("feature").isin(*columns)).select("feature", "mean", "std")), "feature").withColumn("shift", (F.col("value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)))
 
 
+def delay_stream(stream: DataFrame, time: str, delay: str, value: str, edges: list[float], shares: list[float], width: str = "1 day", late: str = "10 minutes", k: int = 4096, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """ST7: per window the distribution of the lab delay and the drift of a feature.
+
+    Delay percentiles come from a KLL sketch, which merges over tasks and micro-batches in a few KB: the rank of what it
+    gives is off by about 2 / k of the window's rows at most, and exact up to k rows. Drift is the population stability
+    index over bins between `edges` against the reference's `shares` (one more than edges; shares below 1e-4 count as 1e-4)."""
+    v = F.col(value)
+    low, high = [None, *edges], [*edges, None]
+    inside = [(F.lit(True) if a is None else v > a) & (F.lit(True) if b is None else v <= b) for a, b in zip(low, high, strict=True)]
+    aggs = [F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(delay).cast("double"), k).alias("_k"), F.count(v).alias("_n"), *[F.sum(F.when(i, 1).otherwise(0)).alias(f"_b{j}") for j, i in enumerate(inside)]]
+    out = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w")).agg(*aggs)
+    floor = lambda x: F.greatest(x, F.lit(1e-4))
+    now = [floor(F.col(f"_b{j}") / F.nullif(F.col("_n"), F.lit(0))) for j in range(len(inside))]
+    psi = sum(((a - b) * F.log(a / b) for a, b in zip(now, (floor(F.lit(float(s))) for s in shares), strict=True)), F.lit(0.0))
+    quantiles = [F.kll_sketch_get_quantile_double("_k", F.lit(p)).alias(f"delay_p{round(100 * p)}") for p in points]
+    return out.select(F.col("w.start").alias("window_start"), "n", *quantiles, psi.alias("psi"))
+
+
 def confidence_score(complete: Column, state_age_h: Column, recent_mae: Column, ood: Column, feedback_age_h: Column, flags: Column) -> Column:
     """Score in 0 .. 1: completeness, freshness of state and feedback, recent error, distance, flags."""
     fresh = lambda h, half: F.exp(-F.coalesce(h, F.lit(1e6)) / half)
