@@ -6,6 +6,7 @@ aggregated by Spark, and only results as small as the list of features reach the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -501,39 +502,109 @@ def guidance(df: DataFrame, columns: list[str], label: str, k: int = 5) -> DataF
 # ---- neighbours and confidence ----------------------------------------------------------------------------------------
 
 
+#: Pivots of a nearest-neighbour search: about the root of the reference's size, within these.
+PIVOTS = (16, 1024)
+
+
+def _to_pivots(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros((0, len(pivots))), *(np.linalg.norm(points[at : at + 128, None] - pivots[None], axis=2) for at in range(0, len(points), 128))])
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
+
+def pivot_visits(own: DataFrame, counted: DataFrame, vector: str, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """own: distinct vectors; counted: distinct reference vectors, n. The reference by cells, each vector in that of its nearest
+    pivot (vector, n, cell, d); and for each vector of own the cells that may hold one of its k nearest (vector, cell, dq,
+    reach). None without a reference.
+
+    Pivots are the reference vectors of least hash. A cell tells the driver its least and greatest distance from its pivot
+    and its k nearest ones; from these a vector knows a distance within which it has k neighbours, and which cells lie
+    beyond it, by the triangle inequality."""
+    low, high = PIVOTS
+    marks = counted.select(vector).orderBy(F.xxhash64(vector), vector).limit(min(high, max(low, math.isqrt(counted.count())))).collect()
+    if not marks:
+        return None
+    pivots = np.array([r[0] for r in marks], float)
+    kind = own.schema[vector].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (x for x in batches if len(x)):
+            d = _to_pivots(_matrix(batch[vector]), pivots)
+            cell = d.argmin(axis=1)
+            yield pd.DataFrame({vector: batch[vector], "n": batch["n"], "cell": cell, "d": d[np.arange(len(d)), cell]})
+
+    placed = cut(counted.select(vector, "n").mapInPandas(place, f"`{vector}` {kind}, n long, cell int, d double"), "placed")
+    first = placed.select("cell", "d", "n").withColumn("rn", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).where(F.col("rn") <= k)
+    close, far, known = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), np.full((len(pivots), k), np.inf)
+    for r in placed.groupBy("cell").agg(F.min("d").alias("a"), F.max("d").alias("b")).collect():
+        close[r.cell], far[r.cell] = r.a, r.b
+    for r in first.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("x")).collect():
+        own_k = np.repeat([x.d for x in r.x], [min(x.n, k) for x in r.x])[:k]
+        known[r.cell, : len(own_k)] = own_k
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (x for x in batches if len(x)):
+            d = _to_pivots(_matrix(batch[vector]), pivots)
+            for at in range(0, len(d), 128):
+                part = d[at : at + 128]
+                upper = (part[:, :, None] + known[None]).reshape(len(part), -1)
+                reach = np.partition(upper, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12
+                row, cell = np.nonzero(np.maximum(part - far, close - part) <= reach[:, None])
+                yield pd.DataFrame({vector: batch[vector].to_numpy()[at + row], "cell": cell, "dq": part[row, cell], "reach": reach[row]})
+
+    return placed, cut(own.select(vector).mapInPandas(visit, f"`{vector}` {kind}, cell int, dq double, reach double"), "visits")
+
+
 def _nearest(rows: DataFrame, reference: DataFrame, vector: str, k: int, block: int) -> DataFrame:
-    """Distances, in order, of each distinct vector of rows to its k nearest vectors of reference, as vector, near. Blocks of
-    about `block` distinct vectors of one side meet those of the other in one task each; what a vector keeps of a block is k
+    """Distances, in order, of each distinct vector of rows to its k nearest vectors of reference, as vector, near. A vector
+    meets the cells of pivot_visits() only, and of these the ring that its distance to the pivot leaves. Cells and those who visit
+    them are cut into blocks of about `block` vectors, two of which meet in a task; what a vector keeps of a block is k
     numbers. Copies in the reference count as often as they occur."""
+    spark = rows.sparkSession
     own, counted = cut(rows.select(vector).distinct(), "vectors"), cut(reference.groupBy(vector).agg(F.count("*").alias("n")), "reference")
-    n_own, n_other = (max(1, -(-x.count() // block)) for x in (own, counted))
-    place = lambda n: F.pmod(F.xxhash64(vector), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = own.withColumn("a", place(n_own)).withColumn("b", each(n_other))
-    right = counted.withColumn("b", place(n_other)).withColumn("a", each(n_own))
+    kind = rows.schema[vector].dataType.simpleString()
+    found = pivot_visits(own, counted, vector, k)
+    if found is None:
+        return spark.createDataFrame([], f"`{vector}` {kind}, near array<double>")
+    placed, asked = found
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("nb")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("na")), "cell")
+    blocks = F.broadcast(sizes)  # a row for each pivot
+    place = lambda n: F.pmod(F.xxhash64(vector), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(blocks, "cell").withColumn("a", place("na")).withColumn("b", each("nb")).drop("na", "nb")
+    right = placed.join(blocks, "cell").withColumn("b", place("nb")).withColumn("a", each("na")).drop("na", "nb")
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({vector: [], "near": []}, dtype=object)
-        points, ref = np.stack(x[vector].to_numpy()).astype(float), np.stack(y[vector].to_numpy()).astype(float)
-        ref = np.repeat(ref, np.minimum(y["n"].to_numpy(), k), axis=0)
-        squares, m, near = (ref**2).sum(axis=1), min(k, len(ref)), []
+        x, y = x.sort_values("dq"), y.sort_values("d")
+        points, dq, reach, d = _matrix(x[vector]), x["dq"].to_numpy(), x["reach"].to_numpy(), y["d"].to_numpy()
+        times = np.minimum(y["n"].to_numpy(), k)
+        ref, d = np.repeat(_matrix(y[vector]), times, axis=0), np.repeat(d, times)
+        near = []
         for at in range(0, len(points), 256):
             part = points[at : at + 256]
-            d = (part**2).sum(axis=1)[:, None] + squares - 2 * part @ ref.T
-            best = ref[np.argpartition(d, m - 1, axis=1)[:, :m]]
+            ends = dq[at : at + 256] - reach[at : at + 256], dq[at : at + 256] + reach[at : at + 256]
+            ring = ref[np.searchsorted(d, ends[0].min() - 1e-9) : np.searchsorted(d, ends[1].max() + 1e-9, side="right")]
+            m = min(k, len(ring))
+            if not m:
+                near.extend([[]] * len(part))
+                continue
+            square = (part**2).sum(axis=1)[:, None] + (ring**2).sum(axis=1) - 2 * part @ ring.T
+            best = ring[np.argpartition(square, m - 1, axis=1)[:, :m]]
             near.extend(np.sort(np.linalg.norm(best - part[:, None], axis=2), axis=1))
-        return pd.DataFrame({vector: x[vector], "near": near})
+        return pd.DataFrame({vector: x[vector].to_numpy(), "near": near})
 
-    schema = f"`{vector}` {rows.schema[vector].dataType.simpleString()}, near array<double>"
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(compare, schema)
+    met = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInPandas(compare, f"`{vector}` {kind}, near array<double>")
     return met.groupBy(vector).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
 def applicability(df: DataFrame, train: DataFrame, key: str, vector: str, k: int = 5, block: int = 20_000) -> DataFrame:
     """ML17: mean distance to the k nearest training vectors, and how it compares with the training set's own percentiles.
 
-    Both sides may be of any size: they meet in blocks. A null vector, and any where there is no training vector, has a
+    Both sides may be of any size: they meet in cells around pivots, those that can hold neighbours only. A null vector, and any where there is no training vector, has a
     null distance and is OUT_OF_DOMAIN; a training set of one vector has a distance of 0 to itself."""
     rows, known = (x.select(vector).where(F.col(vector).isNotNull()) for x in (df, train))
     near = cut(_nearest(rows.unionByName(known), known, vector, k + 1, block), "near")

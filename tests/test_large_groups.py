@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rheospark.operators import aggs, joins, metrics, quantiles
+from rheospark.operators import aggs, joins, metrics, models, quantiles
 
 
 @pytest.fixture
@@ -80,3 +81,19 @@ def test_interval_join_of_any_lengths(spark):
     got = sorted((r.i, r.j) for r in joins.window_join(p, w, ["k"], "t", "s", "e").collect())
     want = sorted((i, j) for k, t, i in points for kk, s, e, j in spans if k == kk and t is not None and s is not None and s <= t <= e)
     assert got == want and len(want) > 1000
+
+
+def test_neighbours_meet_few_cells(spark):
+    """Clusters: exact neighbours from a small part of all cells, with a hot one and copies."""
+    rng = np.random.default_rng(3)
+    centres = rng.uniform(-1000, 1000, (12, 3))
+    ref = np.concatenate([c + rng.normal(0, 1, (n, 3)) for c, n in zip(centres, [400] + [40] * 11, strict=True)] + [np.repeat(centres[:1], 9, axis=0)])
+    own = np.concatenate([centres + rng.normal(0, 1, centres.shape) for _ in range(10)] + [rng.uniform(-2000, 2000, (5, 3))])
+    frame = lambda x: spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    got = {tuple(r.v): r.near for r in models._nearest(frame(own), frame(ref), "v", 6, 100).collect()}
+    assert len(got) == len(own)
+    for v in own:
+        assert got[tuple(v)] == pytest.approx(np.sort(np.linalg.norm(ref - v, axis=1))[:6])
+    placed, asked = models.pivot_visits(frame(own), frame(ref).groupBy("v").agg(F.count("*").alias("n")), "v", 6)
+    cells = placed.select("cell").distinct().count()
+    assert asked.count() < 0.4 * cells * len(own)
