@@ -663,7 +663,11 @@ def _(spark, d):
     return splits.high_energy_flags(rows.where("order_id % 10 < 7"), rows, "family", "price", "per").select("order_id", "batch_no", "high_energy", "high_per_ton")
 
 
-@query("super_groups")
+@query("super_groups", f"""RECURSIVE {B}, r AS (SELECT DISTINCT 'o' || order_id AS order_id, 'p' || l_partkey AS l_partkey FROM g WHERE flag = 'R'),
+l(node, label) USING KEY (node) AS (SELECT order_id, order_id FROM r UNION SELECT l_partkey, min(order_id) FROM r GROUP BY 1
+ UNION (SELECT n.node, min(n.label) AS label FROM (SELECT r.l_partkey AS node, l.label FROM l JOIN r ON r.order_id = l.node UNION ALL SELECT r.order_id, l.label FROM l JOIN r ON r.l_partkey = l.node) n
+  JOIN recurring.l AS o ON o.node = n.node WHERE n.label < o.label GROUP BY 1))
+FINAL SELECT order_id, l_partkey, label AS super_group FROM r JOIN l ON l.node = r.order_id""")
 def _(spark, d):
     rows = batches(spark, d).where("flag = 'R'").select("order_id", "l_partkey").distinct()
     return splits.super_groups(rows.withColumns({"order_id": F.concat(F.lit("o"), "order_id"), "l_partkey": F.concat(F.lit("p"), "l_partkey")}), "order_id", "l_partkey")

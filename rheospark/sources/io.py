@@ -25,10 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends: plans that read it may run until then."""
+    if hasattr(spark, "_jvm"):  # not over Spark Connect, where the server's owner clears the shared folder
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df below the shared folder and read it again."""
+    """Cut the lineage: write df below the shared folder and read it again. The folder goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
