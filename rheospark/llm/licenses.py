@@ -1,16 +1,18 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates. DataFrame and ML functions only.
 
-A paragraph is a window of up to WINDOW lines between blank lines, so that a notice may be wrapped; every second window
-begins half a window later. Only windows with one of the ANCHORS are looked at, which loses nothing: more than
-1 - CONFIRMED of each template's word pairs hold an anchor, so a window without any confirms no template. Features of a
-window are its words and word pairs, hashed and sparse. A multinomial logistic regression knows the licence families of
-TEMPLATES and the class "none". It is fitted on the templates, alone and among lines of the corpus, and on a bounded
-sample of lines that are like no template.
+A paragraph is a window of up to WINDOW words between blank lines, whatever the lines, so that a notice may be wrapped or
+stand in a very long line; the next window begins half a window later, and no template is longer than that. Only windows
+with one of the ANCHORS are looked at, which loses nothing: more than 1 - CONFIRMED of each template's word pairs hold an
+anchor, so a window without any confirms no template. Features of a window are its words and word pairs, hashed and
+sparse. A multinomial logistic regression knows the licence families of TEMPLATES and the class "none". It is fitted on
+the templates, alone and among lines of the corpus, and on a bounded sample of lines that are like no template and don't
+speak of licensing (TERMS).
 
 Its probabilities are calibrated over all windows: in each of BINS classes of the top probability, the share of windows
 that a template confirms, of those that one confirms or that are like none, is what the probability is worth. What is
-worth less than LEAST is unknown, hence "none". A prediction stands if enough word pairs of one of the family's templates
-are in the window.
+worth less than LEAST is unknown. A prediction stands if enough word pairs of one of the family's templates are in the
+window; templates of SENTENCES must end a sentence or line there too. A window with one of TERMS that the classifier
+doesn't hold for none (SOME), and of which no family stands, is a licence of an unknown family.
 """
 
 from __future__ import annotations
@@ -100,15 +102,21 @@ OTHERS = [
 ]
 #: Beginnings of words of which each template has enough. A test counts.
 ANCHORS = "licen,copyright,permission,permit,warrant,redistribut,gnu,mozilla,mpl,public domain,reserved,unauthorized,prohibited,software,distributed,cc by,cc-by,cc0,eclipse,conditions,apache,compliance,notice,merchantab,free of charge,granted,modif,copies,sublicen,express,implied,provided,bsd,governed,reproduce,subject to,source code,accompanying,creative commons,attribution,dedicated,unencumbered,waived,released,copying,extent".split(",")
-#: Lines of a window.
-WINDOW = 8
+#: Words of a window; twice the longest template's at least. A test counts.
+WINDOW = 160
+#: Templates that say something else inside a sentence, and what follows them as a notice.
+SENTENCES, SENTENCE_END = ["All rights reserved."], r"\s*(?:[.!;)*]|\n|$)"
+#: Fixed value: what a notice of a licence that no template knows says.
+TERMS = r"(?i)\b(?:licensed? under|under the (?:terms of the )?[\w .-]{1,60}licen[cs]e|licen[cs]e:|licen[cs]e,? version|-clause licen[cs]e|permission is (?:hereby )?granted|redistribution and use)"
 #: Lines of the corpus that the classifier is fitted on, at most; lines that templates stand between.
 SAMPLE, FILLERS = 4000, 12
 #: Hashed features; classes of probability; what a probability is worth at least.
 FEATURES, BINS, LEAST = 1 << 13, 20, 0.5
+#: Probability of all families together from which a window with one of TERMS is a licence of some family.
+SOME = 0.25
 #: Share of a template's word pairs that confirms a family, and that bars a window from being like none.
 CONFIRMED, LIKE = 0.7, 0.3
-NONE = "none"
+NONE, UNKNOWN = "none", "unknown"
 
 
 def _words(text: Column) -> Column:
@@ -126,24 +134,37 @@ def _template_pairs(spark: SparkSession) -> dict[str, list[list[str]]]:
     return {family: [r.p for r in made if r.family == family] for family in TEMPLATES}
 
 
-def _similarity(pairs: Column, templates: list[list[str]]) -> Column:
-    """The greatest share of a template's word pairs that stand in the paragraph."""
-    shares = [F.size(F.array_intersect(pairs, F.array(*map(F.lit, t)))) / len(t) for t in templates]
+def _similarity(pairs: Column, templates: list[list[str]], sentences: Column | None = None) -> Column:
+    """The greatest share of a template's word pairs that stand in the paragraph. sentences: whether one of SENTENCES stands as
+    such; else these count as not there."""
+    alone = [" ".join(t.lower().rstrip(".").split()) for t in SENTENCES]
+
+    def share(t: list[str]) -> Column:
+        found = F.size(F.array_intersect(pairs, F.array(*map(F.lit, t)))) / len(t)
+        whole = " ".join([t[0], *(p.split(" ")[-1] for p in t[1:])])
+        return F.when(sentences, found).otherwise(0.0) if sentences is not None and whole in alone else found
+
+    shares = [share(t) for t in templates]
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
+def _stands_alone(line: Column) -> Column:
+    return line.rlike("(?i)(?:" + "|".join(r"\s+".join(t.rstrip(".").split()) for t in SENTENCES) + ")" + SENTENCE_END)
+
+
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_k, block, paragraph (a number in the document), line (the window's lines, joined), for windows with an anchor."""
+    """_k, block, paragraph (a number in the block), line (the window's text), for windows with an anchor."""
     lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
     hit = r"(?i)\b(?:" + "|".join(ANCHORS) + ")"
     # a blank line ends a block; blocks are cut into windows that begin half a window apart
     rows = docs.where(F.col(f"`{text}`").rlike(hit)).select(F.col(f"`{key}`").alias("_k"), lines.alias("l"))
     blocks = F.filter(F.split(F.array_join(F.transform("l", lambda x: F.when(x.rlike(WORD), x).otherwise(F.lit(""))), "\n"), "\n\n+", -1), lambda b: b.rlike(hit))
     rows = rows.select("_k", F.posexplode(blocks).alias("block", "b"))
-    rows = rows.select("_k", "block", F.split(F.trim(F.col("b"), F.lit("\n")), "\n", -1).alias("l"))
+    words = F.regexp_extract_all("b", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*\n?"), F.lit(0))  # a line's end stays with its word
+    rows = rows.select("_k", "block", words.alias("w"))
     half = WINDOW // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.size("l") - half - 1, F.lit(0)), F.lit(half))
-    windows = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("l", i + 1, WINDOW)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - half - 1, F.lit(0)), F.lit(half))
+    windows = F.transform(starts, lambda i: F.regexp_replace(F.array_join(F.slice("w", i + 1, WINDOW), ""), r"[\x20\x09\x0B-\x0D]+", " "))
     return rows.select("_k", "block", F.posexplode(windows).alias("paragraph", "line")).where(F.col("line").rlike(hit))
 
 
@@ -162,7 +183,7 @@ def fit(docs: DataFrame, key: str, text: str) -> tuple[LogisticRegressionModel,
     picked = least_hashes(lines.select("line", F.xxhash64("line").alias("h")), lines.count(), SAMPLE, "h", "line")
     none = _featured(picked.select("line", "h"))
     like = _similarity(F.col("p"), [t for ts in templates.values() for t in ts])
-    none = none.where(like < LIKE).select("line", "h", F.lit(float(len(families))).alias("label"))
+    none = none.where((like < LIKE) & ~F.col("line").rlike(TERMS)).select("line", "h", F.lit(float(len(families))).alias("label"))
     none = written(none, "none")
     fillers = [r.line[:400] for r in none.orderBy("h").limit(FILLERS).collect()] or ["Some other words."]
     rows = []
@@ -186,8 +207,9 @@ def _worth(scored: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row of docs: key, n_paragraphs (windows with an anchor), n_licences (families in each block, confirmed),
-    family (of the most probable; "none" without), families (all, comma-separated in order of name), probability (as
-    calibrated), similarity.
+    family (of the most probable; without one "unknown" if a window is a licence of no known family, else "none"),
+    families (all, comma-separated in order of name), probability (as calibrated), similarity, n_unknown (blocks with
+    such a window and no confirmed family).
 
     Null, empty and blank texts: no paragraphs, "none", nulls. Rows that share a key are one document, a null key too.
     Empty table: empty result. Other columns of docs aren't read, whatever their names.
@@ -196,12 +218,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     model, templates = fit(docs, key, text)
     families = list(TEMPLATES)
     scored = model.transform(_featured(paragraphs(docs, key, text))).withColumn("probs", F.slice(vector_to_array("probability"), 1, len(families)))
-    scored = scored.select("_k", "block", "p", F.array_max("probs").alias("top"), F.array_position("probs", F.array_max("probs")).cast("int").alias("at"))
+    licence = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    scored = scored.withColumns({"alone": _stands_alone(F.col("line")), "licence": (licence >= SOME) & F.col("line").rlike(TERMS)})
+    scored = scored.select("_k", "block", "p", "alone", "licence", F.array_max("probs").alias("top"), F.array_position("probs", F.array_max("probs")).cast("int").alias("at"))
     scored = scored.withColumn("family", F.element_at(F.array(*map(F.lit, families)), F.col("at")))
-    similarity = F.coalesce(*[F.when(F.col("family") == f, _similarity(F.col("p"), templates[f])) for f in families])
+    similarity = F.coalesce(*[F.when(F.col("family") == f, _similarity(F.col("p"), templates[f], F.col("alone"))) for f in families])
     like = _similarity(F.col("p"), [t for ts in templates.values() for t in ts])
     bin_of = F.least(F.floor(F.col("top") * BINS), F.lit(BINS - 1)).cast("int")
-    scored = written(scored.select("_k", "block", "family", "top", bin_of.alias("bin"), similarity.alias("similarity"), like.alias("like")), "scored")
+    scored = written(scored.select("_k", "block", "licence", "family", "top", bin_of.alias("bin"), similarity.alias("similarity"), like.alias("like")), "scored")
     confirmed = scored.join(F.broadcast(_worth(scored)), "bin").where((F.col("worth") >= LEAST) & (F.col("similarity") >= CONFIRMED))
     # a licence in two windows of a block is one; a document's windows meet here as one row for each block and family
     blocks = confirmed.groupBy("_k", "block", "family").agg(F.max(F.struct("worth", "top", "similarity")).alias("m"))
@@ -210,13 +234,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.max(F.struct("m.worth", "m.top", "m.similarity", "family")).alias("best"),
     )
+    other = scored.where("licence").select("_k", "block").distinct().join(blocks.select(F.col("_k").alias("_b"), F.col("block").alias("_o")), F.col("_k").eqNullSafe(F.col("_b")) & (F.col("block") == F.col("_o")), "left_anti")
+    other = other.groupBy(F.col("_k").alias("_u")).agg(F.count("*").alias("n_unknown"))
     n_windows = scored.groupBy(F.col("_k").alias("_w")).agg(F.count("*").alias("n"))
     every = docs.select(F.col(f"`{key}`").alias("_k")).distinct()
     out = every.join(n_windows, F.col("_k").eqNullSafe(F.col("_w")), "left").join(by_doc.withColumnRenamed("_k", "_d"), F.col("_k").eqNullSafe(F.col("_d")), "left")
+    out = out.join(other, F.col("_k").eqNullSafe(F.col("_u")), "left")
     return out.select(
         F.col("_k").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("n_licences", F.lit(0)).cast("long").alias("n_licences"),
-        F.coalesce("best.family", F.lit(NONE)).alias("family"), F.coalesce("families", F.lit("")).alias("families"),
-        F.col("best.worth").alias("probability"), F.col("best.similarity").alias("similarity"),
+        F.coalesce("best.family", F.when(F.col("n_unknown") > 0, UNKNOWN).otherwise(NONE)).alias("family"), F.coalesce("families", F.lit("")).alias("families"),
+        F.col("best.worth").alias("probability"), F.col("best.similarity").alias("similarity"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"),
     )
 
 
