@@ -32,7 +32,7 @@ from .common import drop_clashes, small_arrow_batches, table, written
 
 #: Tags by their part in the page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object select option datalist canvas video audio".split())
+RAW = set("script style textarea title noscript iframe template svg select option datalist canvas video audio".split())
 BLOCK = set(
     """html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody
     tfoot tr caption figure figcaption nav header footer aside form fieldset address details summary hr center

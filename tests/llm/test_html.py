@@ -86,3 +86,9 @@ def test_edges(spark):
     by = {r.page_id: r for r in out}
     assert len(out) == 6 and by[1].text == "" and by[2].n_chars == 0 and by[3].text == "plain < text" and by[None].n_chars == 249_999 + 3
     assert x.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_formulas_and_objects_keep_their_text():
+    page = "<body><nav><a href=x>menu {n}</a></nav><article><h1>Energy {n}</h1><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here {n}.</p><object><p>A drawing of {n}</p></object><svg><text>no</text></svg></article></body>"
+    out = both(*[page.replace("{n}", str(i)) for i in (1, 2, 3)])
+    assert out[0] == "Energy 1\n\nEnergy is E=m here 1.\n\nA drawing of 1"
