@@ -8,8 +8,9 @@ of a hundred just at 0.8, one at 0.83 and fewer above. What shares a key is comp
 by 512 bits, and what may still be similar enough by the shingles themselves.
 
 Short runs of texts with one key give all their pairs. A longer run falls into crowds, which are connected by near enough
-bits. A small crowd gives all its near pairs, a large one at first a minimum spanning tree of its bit distances, so that
-most dense groups need as many links as they have texts. Once the trees' links are verified, each crowd whose texts are
+bits. A small crowd gives all its near pairs, a large one at first a minimum spanning tree of its bit distances; of all
+the trees a text is in, through its many keys, only its NEAREST nearest links go on, so that dense groups need a few links
+for each text. Once the trees' links are verified, each crowd whose texts are
 not all in one group gives every near pair of texts of different groups, and these are verified too: the groups are those
 that all near pairs give. Runs too long for one task are parted into blocks, and
 pairs of blocks are tasks of their own. A pair of blocks that
@@ -26,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, small_arrow_batches, written
@@ -40,7 +41,9 @@ WORDS, TABLES, SEGMENT = 8, 8, 23
 #: standard deviations above what a similarity of 0.8 gives.
 NEAR_128, NEAR_512 = 28, 96
 #: Runs and crowds up to this give all their pairs; runs over 2 * LARGE_RUN are parted into blocks of about half of it.
-SHORT_RUN, LARGE_RUN = 12, 4096
+SHORT_RUN, LARGE_RUN = 4, 4096
+#: Links of a text in the trees of large crowds that are verified before its crowds are looked at as a whole.
+NEAREST = 3
 
 
 def long_print(hashes: np.ndarray) -> np.ndarray:
@@ -116,18 +119,23 @@ def _tree(p: np.ndarray, most: int) -> tuple[list[tuple[int, int]], list[np.ndar
 
 def _run_links(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key to candidate links u, v; rows of runs over 2 * large come out as u and their key, those of large
-    crowds as u and the crowd's name, a hash of its nodes."""
+    crowds as u and the crowd's name, a hash of its nodes. far: the distance in bits, for links of a large crowd's tree."""
+    names = ["u", "v", "key", "crowd", "far"]
 
-    def out(u, v, key) -> pa.RecordBatch:
-        found = pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}).group_by(["u", "v"]).aggregate([]) if len(u) else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        return pa.RecordBatch.from_arrays([found["u"].combine_chunks(), found["v"].combine_chunks(), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())], ["u", "v", "key", "crowd"])
+    def rows_of(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, pa.int64())) for c in names], names)
+
+    def out(u, v, far=None) -> pa.RecordBatch:
+        columns = {"u": np.minimum(u, v), "v": np.maximum(u, v)} | ({} if far is None else {"far": far})
+        found = pa.table({c: pa.array(x, pa.int64()) for c, x in columns.items()}).group_by(list(columns)).aggregate([])
+        return rows_of(len(found), **{c: found[c].combine_chunks() for c in columns})
 
     def spilled(keys, nodes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(keys), pa.nulls(len(nodes), pa.int64())], ["u", "v", "key", "crowd"])
+        return rows_of(len(nodes), u=pa.array(nodes), key=pa.array(keys))
 
     def crowded(nodes) -> pa.RecordBatch:
         name = int.from_bytes(hashlib.blake2b(np.sort(nodes).tobytes(), digest_size=8).digest(), "little", signed=True)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.nulls(len(nodes), pa.int64()) for _ in range(2)), pa.array(np.full(len(nodes), name))], ["u", "v", "key", "crowd"])
+        return rows_of(len(nodes), u=pa.array(nodes), crowd=pa.array(np.full(len(nodes), name)))
 
     def finish(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, p, node = rows[:, 0], rows[:, 1:3].view(np.uint64), rows[:, 3]
@@ -145,18 +153,19 @@ def _run_links(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.Rec
                 yield spilled(keys[at : at + size], node[at : at + size])
                 continue
             edges, crowds = _tree(p[at : at + size], NEAR_128)
-            edges = np.array(edges, np.int64).reshape(-1, 2) + at
-            u.append(node[edges[:, 0]])
-            v.append(node[edges[:, 1]])
-            for crowd in (at + c for c in crowds if len(c) > 2):
-                if len(crowd) > SHORT_RUN:
-                    yield crowded(node[crowd])
-                    continue
+            large_crowd = np.zeros(size, bool)
+            for crowd in (c for c in crowds if len(c) > SHORT_RUN):
+                large_crowd[crowd] = True
+                yield crowded(node[at + crowd])
+            edges = np.array(edges, np.int64).reshape(-1, 2)
+            edges = edges[large_crowd[edges[:, 0]]] + at
+            yield out(node[edges[:, 0]], node[edges[:, 1]], np.bitwise_count(p[edges[:, 0]] ^ p[edges[:, 1]]).sum(axis=1, dtype=np.int64))
+            for crowd in (at + c for c in crowds if 1 < len(c) <= SHORT_RUN):
                 i, j = (crowd[x] for x in np.triu_indices(len(crowd), 1))
                 near = np.bitwise_count(p[i] ^ p[j]).sum(axis=1, dtype=np.int64) <= NEAR_128
                 u.append(node[i[near]])
                 v.append(node[j[near]])
-        yield out(np.concatenate(u), np.concatenate(v), None)
+        yield out(np.concatenate(u), np.concatenate(v))
 
     kept = np.empty((0, 4), np.int64)
     going = None  # key of a run that has begun to come out
@@ -185,7 +194,7 @@ def _run_links(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.Rec
 def _links(keyed: DataFrame) -> DataFrame:
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return written(dealt.mapInArrow(partial(_run_links, large=LARGE_RUN), "u long, v long, key long, crowd long"), "candidates")
+    return written(dealt.mapInArrow(partial(_run_links, large=LARGE_RUN), "u long, v long, key long, crowd long, far long"), "candidates")
 
 
 def _parted(spilled: DataFrame, prints: DataFrame, turn: int) -> DataFrame:
@@ -202,7 +211,7 @@ def _parted(spilled: DataFrame, prints: DataFrame, turn: int) -> DataFrame:
 
 def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """prints: node, print (64 bytes). Distinct links u, v of nodes whose first 128 bits are near enough; the large crowds as
-    distinct rows crowd, node: of these, links has a tree only."""
+    distinct rows crowd, node: of these, links has the NEAREST links of each node in the crowds' trees only."""
     small_arrow_batches(prints.sparkSession, 20_000)
     found, every, turn = _links(prints.mapInArrow(_make_keys, "key long, p1 long, p2 long, node long")), None, 0
     while True:
@@ -212,7 +221,11 @@ def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         found, turn = _links(_parted(spilled, prints, turn)), turn + 1
     crowds = every.where("crowd is not null").select("crowd", F.col("u").alias("node"))
-    return every.where("v is not null").select("u", "v").distinct(), crowds.distinct()
+    trees = every.where("far is not null").select("u", "v", "far").distinct()
+    ends = trees.unionByName(trees.select(F.col("v").alias("u"), F.col("u").alias("v"), "far"))
+    nearest = ends.withColumn("rn", F.row_number().over(Window.partitionBy("u").orderBy("far", "v"))).where(F.col("rn") <= NEAREST)
+    links = every.where("v is not null and far is null").select("u", "v").unionByName(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    return links.distinct(), crowds.distinct()
 
 
 def candidate_links(prints: DataFrame) -> DataFrame:
@@ -250,9 +263,10 @@ def _crowd_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(crowds: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame | None:
     """Distinct near pairs of nodes of one crowd that are in different groups; None if all crowds are within one."""
     spark = crowds.sparkSession
-    rooted = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    rooted = written(crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root")), "rooted")
     mixed = rooted.groupBy("crowd").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("crowd")
     rows = written(rooted.join(mixed, "crowd"), "mixed")
+    discard(rooted)
     if rows.isEmpty():
         return None
     small_arrow_batches(spark, 5000)
@@ -309,12 +323,18 @@ def similar_groups(texts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group of equal or similar texts the row with the least key (null last; ties by text, then any of rows
     that agree in both). Null and empty texts are equal to one another. Columns stay as they are; an empty table gives
-    an empty result. Texts are named by a 64-bit hash.
+    an empty result. Texts are named by a 64-bit hash; two texts with one hash are told apart by a second one and named
+    by both.
     """
     whole = F.coalesce(F.col("doc").getField(text), F.lit(""))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("_node", F.xxhash64(whole))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumns({"_node": F.xxhash64(whole), "_other": F.xxhash64(F.lit("other"), whole)})
     order = F.struct(F.col("doc").getField(key).isNull().alias("none"), F.col("doc").getField(key).alias("k"))
-    firsts = written(named.groupBy("_node").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.count_distinct(order).alias("keys")), "firsts")
+    first_of = [F.min(order).alias("first"), F.count("*").alias("n"), F.count_distinct(order).alias("keys"), F.min("_other").alias("a"), F.max("_other").alias("b")]
+    firsts = written(named.groupBy("_node").agg(*first_of), "firsts")
+    if not (collided := firsts.where("a != b").select("_node", F.lit(True).alias("_collided"))).isEmpty():
+        both = F.when(F.col("_collided"), F.xxhash64("_node", "_other")).otherwise(F.col("_node"))
+        named = named.join(collided, "_node", "left").select("doc", both.alias("_node"), "_other")
+        firsts = written(named.groupBy("_node").agg(*first_of), "firsts")
     groups = similar_groups(named.select(F.col("_node").alias("node"), whole.alias("text")))
     rooted = firsts.join(groups, firsts["_node"] == groups["node"], "left").select("_node", "first", F.coalesce("root", "_node").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct("first", "_node")).alias("best")).select(F.col("best._node").alias("_node"), F.col("best.first").alias("_first"))

@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 from rheospark.llm import near_dedup as n
@@ -229,3 +230,35 @@ def test_mix_and_packing_take_what_is_left(stages):
     assert all(before[r.doc_id].startswith(r.text) for r in mixed)
     pieces = stages["packing"].collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed}
+
+
+def test_recall_of_pairs_between_80_and_90_percent(spark):
+    """1,200 pairs of texts, each of its own words, with similarities spread over 0.80 to 0.90: at least nine in ten are linked."""
+    import random
+
+    rng = random.Random(21)
+    texts, pairs = {}, []
+    while len(pairs) < 1200:
+        size = rng.randrange(150, 400)
+        words = [f"{len(pairs)}w{rng.randrange(10**6)}" for _ in range(size)]
+        other = list(words)
+        for at in rng.sample(range(size), max(1, round(size * rng.uniform(0.010, 0.024)))):
+            other[at] = f"x{rng.randrange(10**9)}"
+        a, b = (" ".join(x) for x in (words, other))
+        s, t = (set(shingle_hashes(x, 5).tolist()) for x in (a, b))
+        if 0.80 <= len(s & t) / len(s | t) <= 0.90:
+            pairs.append((len(texts), len(texts) + 1))
+            texts |= {len(texts): a, len(texts) + 1: b}
+    got = {r.node: r.root for r in n.similar_groups(spark.createDataFrame(list(texts.items()), "node long, text string")).collect()}
+    found = sum(got.get(u, u) == got.get(v, v) for u, v in pairs)
+    print("recall", found / len(pairs))
+    assert found >= 0.9 * len(pairs)
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    real = n.F.xxhash64
+    # the first hash sees lengths only, the second one, which has a salt, texts
+    monkeypatch.setattr(n.F, "xxhash64", lambda *c: real(F.length(c[0])) if len(c) == 1 else real(*c))
+    rows = [(1, "abc def"), (2, "xyz uvw"), (3, "abc def"), (4, "longer than these"), (5, None), (6, "")]
+    out = n.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 4, 5]
