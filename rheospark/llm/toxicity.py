@@ -178,7 +178,9 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", most: int = SAMPLE) -> DataFrame:
-    """Of each class at most `most` labelled rows that aren't held out, by the order of a hash of the key."""
+    """text, toxic, weight of at most `most` labelled rows of each class that aren't held out, by the order of a hash of the key (ties:
+    the key). Null keys and labels other than 0 and 1 are left out; a key with several labels or documents gives a row
+    for each pair; other columns of either table aren't read, whatever their names; an empty table gives no rows."""
     usable = labels.where(~held_out(key) & F.col(f"`{key}`").isNotNull() & F.col(label).isin(0, 1)).select(F.col(f"`{key}`").alias(key), F.col(label).cast("int").alias("toxic"))
     picked = None
     for value in (0, 1):
@@ -188,7 +190,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lab
         rows = rows.withColumn("weight", F.lit(max(1.0, count / most)))
         picked = rows if picked is None else picked.unionByName(rows)
     # what is broadcast has at most 2 * most rows of a key, a label and a weight
-    return docs.join(F.broadcast(picked), key).select("text", "toxic", "weight")
+    return docs.select(F.col(f"`{key}`"), "text").join(F.broadcast(picked), key).select("text", "toxic", "weight")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
