@@ -47,7 +47,10 @@ def clip(column: Column, low: float | None, high: float | None) -> Column:
 
 
 def half_even(column: Column, digits: int = 0) -> Column:
-    return F.bround(column, digits)
+    """Rounded as numpy and SQL's round_even do it: the double times a power of ten, to the nearest integer. F.bround takes the
+    shortest decimal instead, so that 1.015 is a tie there, and is not here (1.015 * 100 is below 101.5)."""
+    unit = float(10**digits)
+    return F.rint(column * unit) / unit
 
 
 def valid_lab_test(variable: str, statuses: Iterable[str], name_like: str, equipment: Iterable[str] | None, since: str, r: Mapping[str, str]) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import half_even
 from . import quantiles
 from .quantiles import percentiles
 from .windows import avg_rank
@@ -93,13 +94,13 @@ def safe_bounds(df: DataFrame, levels: list[list[str]], features: list[str], low
         each = []
         for at, level in enumerate(levels):
             found = percentiles(df, level, {f"_p_{f}": f for f in features}, [p for _, p in points], [F.count("*").alias("n"), *[F.count(f).alias(f"_n_{f}") for f in features]])
-            cells = [F.when(F.col(f"_n_{f}") >= min_values, F.bround(F.col(f"_p_{f}")[i], 2)).otherwise(0.0).alias(f"{f}_{name}") for f in features for i, (name, _) in enumerate(points)]
+            cells = [F.when(F.col(f"_n_{f}") >= min_values, half_even(F.col(f"_p_{f}")[i], 2)).otherwise(0.0).alias(f"{f}_{name}") for f in features for i, (name, _) in enumerate(points)]
             each.append(found.select(*[F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "n", *cells, F.lit(at).alias("level")))
         return reduce(DataFrame.unionByName, each).where(F.col("n") >= min_rows)
     aggs = [F.count("*").alias("n")]
     for f in features:
         enough = F.count(f) >= min_values
-        aggs += [F.when(enough, F.bround(pct(f, p), 2)).otherwise(0.0).alias(f"{f}_{n}") for n, p in points]
+        aggs += [F.when(enough, half_even(pct(f, p), 2)).otherwise(0.0).alias(f"{f}_{n}") for n, p in points]
     bits = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in level): at for at, level in enumerate(levels)}
     level = reduce(lambda a, b: a.when(F.col("_g") == b[0], b[1]), bits.items(), F.when(F.lit(False), 0))
     out = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id(*keys).alias("_g"), *aggs)

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import half_even
 from ..sources.io import cut
 from .aggs import corr, grouped_spearman, mode, pct
 from .scans import running_rank, running_sums
@@ -177,7 +178,7 @@ def reason_audit(df: DataFrame, reason: str, confidence: str) -> DataFrame:
 
 def trend_validity(df: DataFrame, order: str, y: str, p: str, least: int = 3) -> DataFrame:
     """Per order whether a trend can be measured: distinct values (rounded to two digits), share of ties, first failure."""
-    out = df.groupBy(order).agg(F.count("*").alias("n"), F.count_distinct(F.bround(y, 2)).alias("unique_y"), F.count_distinct(F.bround(p, 2)).alias("unique_p"))
+    out = df.groupBy(order).agg(F.count("*").alias("n"), F.count_distinct(half_even(F.col(y), 2)).alias("unique_y"), F.count_distinct(half_even(F.col(p), 2)).alias("unique_p"))
     out = out.withColumns({"tie_ratio_y": 1 - F.col("unique_y") / F.col("n"), "tie_ratio_p": 1 - F.col("unique_p") / F.col("n")})
     return out.withColumn("failure", F.when(F.col("n") < least, "too_few").when(F.col("unique_y") < 2, "constant_label").when(F.col("unique_p") < 2, "constant_prediction").otherwise("valid"))
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import half_even
 from .joins import first_rows
 from .splits import uniform
 
@@ -23,7 +24,7 @@ def generate_candidates(df: DataFrame, keys: list[str], params: Mapping[str, tup
     cells = {}
     for name, (nominal, low, high, there) in params.items():
         draw = low + (high - low) * uniform(*keys, "candidate", F.lit(name), seed=seed)
-        cells[name] = F.when(~there, 0.0).otherwise(F.bround(F.when(F.col("candidate") == 0, nominal).otherwise(draw), 1))
+        cells[name] = F.when(~there, 0.0).otherwise(half_even(F.when(F.col("candidate") == 0, nominal).otherwise(draw), 1))
     return rows.withColumns(cells)
 
 
