@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,10 +34,11 @@ def template_candidates(df: DataFrame, templates: DataFrame, keys: list[str], se
     return df.drop(*setpoints).join(templates.select(*keys, *setpoints), keys)
 
 
-def quality_check(df: DataFrame, pred: str, sigma: str, lower: str, upper: str, distance: str, conservative: str | None = None) -> DataFrame:
-    """Interval, whether it lies in spec, risk, confidence, ood, and valid."""
-    k = F.lit(1.96) if conservative is None else F.when(F.col(conservative), 1.96 * 1.2).otherwise(1.96 * 0.9)
-    half = k * F.col(sigma)
+def quality_check(df: DataFrame, pred: str, sigma: str, lower: str, upper: str, distance: str, conservative: str | None = None, unit: float = 1.0) -> DataFrame:
+    """Interval, whether it lies in spec, risk, confidence, ood, and valid. sigma counts units of 1 / unit: whole ones make an
+    exact decimal of the half width, which is divided last."""
+    k = F.lit(Decimal("1.96")) if conservative is None else F.when(F.col(conservative), 1.96 * 1.2).otherwise(1.96 * 0.9)
+    half = (k * F.col(sigma)).cast("double") / unit
     out = df.withColumns({"low": F.col(pred) - half, "high": F.col(pred) + half})
     inside = F.coalesce((F.col("low") >= F.col(lower)) & (F.col("high") <= F.col(upper)), F.lit(False))
     edge = F.least(F.col(pred) - F.col(lower), F.col(upper) - F.col(pred)) / F.nullif(half, F.lit(0.0))

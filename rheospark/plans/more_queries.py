@@ -337,8 +337,8 @@ def _(spark, d):
 @query("quality_check", f"""{B}, h AS (SELECT *, 1.96 * size / 10 AS half FROM g), q AS (SELECT *, coalesce(p - half >= 20 AND p + half <= 60, false) AS in_spec, greatest(0, least(1, 1 - least(p - 20, 60 - p) / nullif(half, 0) / 2)) AS risk, tax > 0.06 AS ood FROM h)
 FINAL SELECT order_id, batch_no, in_spec, risk, ood, CASE WHEN ood THEN 'LOW' WHEN risk < 0.3 THEN 'HIGH' WHEN risk < 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, in_spec AND NOT ood AS valid FROM q""", "risk")
 def _(spark, d):
-    rows = batches(spark, d).withColumns({"sigma": F.col("size") / 10, "lo": F.lit(20.0), "hi": F.lit(60.0), "far": F.col("tax") * 20})
-    return recommend.quality_check(rows, "p", "sigma", "lo", "hi", "far").select(*KEYS, "in_spec", "risk", "ood", "confidence", "valid")
+    rows = batches(spark, d).withColumns({"lo": F.lit(20.0), "hi": F.lit(60.0), "far": F.col("tax") * 20})
+    return recommend.quality_check(rows, "p", "size", "lo", "hi", "far", unit=10.0).select(*KEYS, "in_spec", "risk", "ood", "confidence", "valid")
 
 
 # ---- curves --------------------------------------------------------------------------------------------------------------
