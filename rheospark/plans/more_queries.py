@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves, scalar
 from ..operators import aggs, calibrate, features, joins, metrics, models, recommend, splits, windows
-from ..sources.io import shared_dir, table
+from ..sources.io import cut, shared_dir, table
 from ..streaming import jobs
 from .queries import B, CURVE, E, _curves, _uniform
 from .registry import query
@@ -367,33 +367,34 @@ def _(spark, d):
 # ---- models: rows only ---------------------------------------------------------------------------------------------------
 
 
-def _train(spark, d):
-    rows = batches(spark, d).withColumns({"fold": F.col("order_id") % 3, "row": F.concat_ws("_", *KEYS), "size": F.col("size").cast("double"), "one": F.lit(1.0)})
-    return rows
+def _train(spark, d, *columns):
+    """Rows of a model, written once: a fit reads them many times, and would join and number them each time."""
+    rows = batches(spark, d).withColumns({"fold": F.col("order_id") % 3, "row": F.concat_ws("_", *KEYS), "size": F.col("size").cast("double")})
+    return cut(rows.select(*columns), "train")
 
 
 @query("model_two_stage")
 def _(spark, d):
-    rows = _train(spark, d)
+    rows = _train(spark, d, "fold", "compound", "family", "size", "discount", "price", "tax", "y")
     model = models.TwoStageModel(["size", "discount"], ["price", "tax"], "y", "compound", "ridge", 1.0, 50.0).fit(rows.where("fold < 2"))
     return metrics.regression_metrics(model.transform(rows.where("fold = 2")), "y", "prediction", ["family"])
 
 
 @query("model_separated_vs_unified")
 def _(spark, d):
-    rows = _train(spark, d)
+    rows = _train(spark, d, "fold", "family", "price", "size", "tax", "y")
     return models.separated_vs_unified(rows.where("fold < 2"), rows.where("fold = 2"), "family", ["price", "size", "tax"], "y")
 
 
 @query("model_experts")
 def _(spark, d):
-    rows = _train(spark, d)
+    rows = _train(spark, d, "fold", "price", "size", "tax", "y")
     return models.ablation(rows.where("fold < 2"), rows.where("fold = 2"), {"all": {"a": ["price"], "b": ["size", "tax"]}, "a": {"a": ["price"]}}, "y", "fold")
 
 
 @query("isolation_forest")
 def _(spark, d):
-    rows = _train(spark, d)
+    rows = _train(spark, d, "row", "family", "y", "price", "tax")
     return models.isolation_forest(rows, rows, ["y", "price", "tax"], "family", "row", trees=20).groupBy("family").agg(F.count("*").alias("n"), F.count_if("is_outlier").alias("n_outliers"))
 
 
