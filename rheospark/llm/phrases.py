@@ -30,7 +30,7 @@ from .common import discard, join_hot, table, written
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 #: Text bytes of a shard, about; a worker takes about ten times as much at most.
-SHARD_BYTES = 40_000_000
+SHARD_BYTES = 24_000_000
 #: Shards of a task, where there are more shards than cores; and rows of counts that a task adds up before it hands them on.
 SHARDS, ROWS = 8, 1_500_000
 #: Keys are numbered in so many slices, for tables of a fraction of the size.
@@ -255,9 +255,11 @@ def frequent_phrases(docs: DataFrame, totals: DataFrame, least: int = MIN_COUNT,
     mined = written(docs.mapInArrow(lambda rows: _added(mine(rows), "excess"), "h long, excess long").groupBy("h").agg(F.sum("excess").alias("excess")), "mined")
     codes = (1 << LANG_BITS) - 1
     is_lang = F.col("h").between(0, codes)
-    unseen = mined.where(is_lang).select(F.col("h").alias("_lang"), F.col("excess").alias("_unseen"))  # RARE rows at most
-    bound = mined.where(~is_lang).withColumn("_lang", F.col("h").bitwiseAND(codes)).join(F.broadcast(unseen), "_lang", "left")
-    candidates = bound.where(F.col("excess") + F.coalesce("_unseen", F.lit(0)) >= least)
+    unseen = np.zeros(codes + 1, np.int64)  # by number of the language, RARE rows at most
+    for r in mined.where(is_lang).collect():
+        unseen[r.h] = r.excess
+    of_lang = F.lit([int(n) for n in unseen[: len(numbers) + 1]])[F.col("h").bitwiseAND(codes).cast("int")]
+    candidates = mined.where(~is_lang & (F.col("excess") + of_lang >= least))
     low = F.shiftrightunsigned("h", LANG_BITS).bitwiseAND((1 << filter_bits) - 1)
     bit = candidates.select(F.explode(F.array(low, F.shiftrightunsigned("h", 64 - filter_bits))).alias("b"))
     place, mask = F.shiftright("b", 6), F.expr("shiftleft(1L, cast(b & 63 as int))")
