@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even
-from . import quantiles
+from ..sources.io import cut
 from .quantiles import percentiles
+from .scans import running_sums
 from .windows import avg_rank
 
 
@@ -58,20 +59,27 @@ def workoff_ratio(df: DataFrame, order: str, material: str, weight: str, is_work
     return means.groupBy(order).agg(F.sum("off").cast("long").alias("n_workoff"), F.sum(F.when(F.col("off") == 1, F.col("w")).otherwise(0.0)).alias("workoff_weight"), (F.sum(F.when(F.col("off") == 1, F.col("w")).otherwise(0.0)) / F.nullif(F.sum("w"), F.lit(0))).alias("workoff_ratio"))
 
 
+def narrow_keys(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
+    """Keys whose values span at most the limit."""
+    return df.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("_span")).where(F.col("_span") <= limit).drop("_span")
+
+
 def drop_wide(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
     """Rows of keys whose values span at most the limit; the spans have one row per key."""
-    narrow = df.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("_span")).where(F.col("_span") <= limit).drop("_span")
-    return df.join(narrow, keys)
+    return df.join(narrow_keys(df, keys, value, limit), keys)
 
 
 def drop_mad_outliers(df: DataFrame, keys: list[str], value: str, k: float = 2.5, least: float = 1.5, low: float = 5.0, high: float = 10.0) -> DataFrame:
-    """Rows within clamp(k * max(1.4826 * MAD, least), low, high) of the key's median; null values go."""
+    """Rows within clamp(k * max(1.4826 * MAD, least), low, high) of the key's median; null values go. Both medians come from
+    the counts of the key's values, so that df is read twice: for the counts and for the rows."""
     known = df.where(F.col(value).isNotNull())
-    medians = percentiles(known, keys, {"_p": value}, [0.5]).select(*keys, F.col("_p")[0].alias("_med"))
-    off = known.join(medians, keys).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
-    mads = percentiles(off, keys, {"_p": "_off"}, [0.5]).select(*keys, F.col("_p")[0].alias("_mad"))
+    counted = cut(known.groupBy(*keys, value).agg(F.count("*").alias("_c")), "values")
+    medians = cut(percentiles(counted, keys, {"_p": value}, [0.5], count="_c").select(*keys, F.col("_p")[0].alias("_med")), "medians")
+    off = counted.join(medians, keys).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
+    mads = percentiles(off, keys, {"_p": "_off"}, [0.5], count="_c").select(*keys, F.col("_p")[0].alias("_mad"))
     limit = F.greatest(F.lit(low), F.least(F.lit(high), k * F.greatest(1.4826 * F.col("_mad"), F.lit(least))))
-    return off.join(mads, keys).where(F.col("_off") <= limit).drop("_med", "_off", "_mad")
+    limits = cut(medians.join(mads, keys).select(*keys, "_med", limit.alias("_limit")), "limits")  # written, its size is known to the join
+    return known.join(limits, keys).where(F.abs(F.col(value) - F.col("_med")) <= F.col("_limit")).drop("_med", "_limit")
 
 
 def flag_far_from_median(df: DataFrame, keys: list[str], value: str, limit: float = 20.0) -> DataFrame:
@@ -80,31 +88,22 @@ def flag_far_from_median(df: DataFrame, keys: list[str], value: str, limit: floa
 
 
 def safe_bounds(df: DataFrame, levels: list[list[str]], features: list[str], low: float = 0.05, high: float = 0.95, min_rows: int = 20, min_values: int = 5) -> DataFrame:
-    """P-low, P-high and median of each feature for every level of keys, from one pass with grouping sets, or, where a level has
-    groups of more rows than one task should hold, level by level (see quantiles.percentiles).
+    """P-low, P-high and median of each feature for every level of keys. Rows of equal keys and values are counted and written
+    once; every level reads the counts.
 
     Columns: all keys (null where the level doesn't have them), level (number of the level), n and per feature low, high,
     median rounded half-even to two digits; 0 with fewer than min_values values.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
     points = (("low", low), ("high", high), ("median", 0.5))
-    sets = [[F.col(k) for k in level] for level in levels]
-    largest = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > quantiles.BOUND:
-        each = []
-        for at, level in enumerate(levels):
-            found = percentiles(df, level, {f"_p_{f}": f for f in features}, [p for _, p in points], [F.count("*").alias("n"), *[F.count(f).alias(f"_n_{f}") for f in features]])
-            cells = [F.when(F.col(f"_n_{f}") >= min_values, half_even(F.col(f"_p_{f}")[i], 2)).otherwise(0.0).alias(f"{f}_{name}") for f in features for i, (name, _) in enumerate(points)]
-            each.append(found.select(*[F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "n", *cells, F.lit(at).alias("level")))
-        return reduce(DataFrame.unionByName, each).where(F.col("n") >= min_rows)
-    aggs = [F.count("*").alias("n")]
-    for f in features:
-        enough = F.count(f) >= min_values
-        aggs += [F.when(enough, half_even(pct(f, p), 2)).otherwise(0.0).alias(f"{f}_{n}") for n, p in points]
-    bits = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in level): at for at, level in enumerate(levels)}
-    level = reduce(lambda a, b: a.when(F.col("_g") == b[0], b[1]), bits.items(), F.when(F.lit(False), 0))
-    out = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id(*keys).alias("_g"), *aggs)
-    return out.withColumn("level", level).where(F.col("n") >= min_rows).drop("_g")
+    counted = cut(df.groupBy(*keys, *features).agg(F.count("*").alias("_c")), "counted")
+    each = []
+    for at, level in enumerate(levels):
+        sizes = [F.sum("_c").alias("n"), *[F.coalesce(F.sum(F.when(F.col(f).isNotNull(), F.col("_c"))), F.lit(0)).alias(f"_n_{f}") for f in features]]
+        found = percentiles(counted, level, {f"_p_{f}": f for f in features}, [p for _, p in points], sizes, count="_c")
+        cells = [F.when(F.col(f"_n_{f}") >= min_values, half_even(F.col(f"_p_{f}")[i], 2)).otherwise(0.0).alias(f"{f}_{name}") for f in features for i, (name, _) in enumerate(points)]
+        each.append(found.select(*[F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "n", *cells, F.lit(at).alias("level")))
+    return reduce(DataFrame.unionByName, each).where(F.col("n") >= min_rows)
 
 
 def label_audit(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -175,60 +174,78 @@ def reference_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def feature_audit(df: DataFrame, columns: list[str], label: str, row: str, most_missing: float = 0.6, most_dominant: float = 0.98) -> DataFrame:
     """Per feature: missing rate, share of the most frequent value, distinct values, Spearman to the label, why to drop."""
-    rows = long(df, [row, label], columns)
-    n = df.count()
-    counts = rows.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("c"))
+    cells = cut(long(df, [label], columns).groupBy("feature", "value", label).agg(F.count("*").alias("_c")), "cells")  # df is read once
+    n = cells.where(F.col("feature") == columns[0]).agg(F.sum("_c")).first()[0] or 0
+    counts = cells.where("value is not null").groupBy("feature", "value").agg(F.sum("_c").alias("c"))
     top = counts.groupBy("feature").agg(F.max("c").alias("top"), F.count("*").alias("n_distinct"), F.sum("c").alias("known"))
-    rho = grouped_spearman(rows.where(f"value is not null and {label} is not null"), ["feature"], "value", label)
+    rho = counted_spearman(cells.where(f"value is not null and {label} is not null"), ["feature"], "value", label, "_c")
     out = top.join(rho, "feature", "left").withColumns({"missing_rate": 1 - F.col("known") / n, "dominant_rate": F.col("top") / F.col("known")})
     reason = F.when(F.col("missing_rate") > most_missing, "missing").when(F.col("n_distinct") < 2, "constant").when(F.col("dominant_rate") > most_dominant, "dominant").otherwise("")
     score = F.abs(F.coalesce("rho", F.lit(0.0))) * (1 - F.col("missing_rate"))
     return out.withColumns({"score": score, "drop_reason": reason}).select("feature", "missing_rate", "dominant_rate", "n_distinct", "rho", "score", "drop_reason")
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:
-    """Mean rank of each distinct value of a key (keys, value, out), for keys too large for a window.
+def value_ranks(df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:
+    """Mean rank of each distinct value of a key (keys, value, out), for keys of any size. count: the column that says how often
+    a row counts.
+
+    Distinct values are counted first; a running sum of the counts in order of value, over ranges of (key, value), is what
+    lies before one."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(count) if count else F.count("*")).alias("_n"))
+    summed = running_sums(counts, keys or [F.lit(0)], [value], {"_less": F.col("_n")})
+    return summed.select(*keys, value, (F.col("_less") + (F.col("_n") + 1) / 2.0).alias(out))
+
 
-    Values fall into buckets between approximate percentiles of their key; a window ranks inside a bucket, and sums of the
-    buckets before it, at most `buckets` per key, are added. Ranks are exact, however good the percentiles are."""
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, points, 10_000).alias("_e"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    counts = (counts.join(edges, keys) if keys else counts.join(F.broadcast(edges))).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
-    sums = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sums, [*keys, "_b"])
-    return ranked.select(*keys, value, (F.col("_off") + F.col("_in") + (F.col("_n") + 1) / 2.0).alias(out))
+def counted_spearman(pairs: DataFrame, keys: list[str], x: str, y: str, count: str, out: str = "rho") -> DataFrame:
+    """Spearman correlation with mean ranks, per key, of pairs of values that stand `count` times each; null for constant
+    sides. A value ranks among all known ones of its side. pairs is read three times."""
+    ranked = pairs.join(value_ranks(pairs, keys, x, "_x", count), [*keys, x]).join(value_ranks(pairs, keys, y, "_y", count), [*keys, y])
+    mean = lambda v: F.sum(F.col(count) * v) / F.sum(count)
+    cov = lambda a, b: mean(F.col(a) * F.col(b)) - mean(F.col(a)) * mean(F.col(b))
+    varies = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
+    return ranked.groupBy(*keys).agg(F.when(varies, cov("_x", "_y") / F.sqrt(cov("_x", "_x") * cov("_y", "_y"))).alias(out))
 
 
 def grouped_spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho", large: bool = True) -> DataFrame:
-    """Spearman correlation with mean ranks, per key; null for constant sides. large=False ranks each key in one window,
-    which is cheaper where keys are many and small, such as orders."""
+    """Spearman correlation with mean ranks, per key; null for constant sides. Equal pairs are counted and written once, so that
+    df is read once and its rows meet no ranks. large=False ranks each key in one window, which is cheaper where keys are
+    many and small, such as orders."""
     if large:
         rows = df.select(*keys, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
-        ranked = rows.join(value_ranks(rows, keys, "_vx", "_x"), [*keys, "_vx"]).join(value_ranks(rows, keys, "_vy", "_y"), [*keys, "_vy"])
-    else:
-        ranked = df.select(*keys, avg_rank(F.col(x), keys).alias("_x"), avg_rank(F.col(y), keys).alias("_y"))
+        pairs = cut(rows.groupBy(*keys, "_vx", "_vy").agg(F.count("*").alias("_c")), "pairs")
+        return counted_spearman(pairs, keys, "_vx", "_vy", "_c", out)
+    ranked = df.select(*keys, avg_rank(F.col(x), keys).alias("_x"), avg_rank(F.col(y), keys).alias("_y"))
     return ranked.groupBy(*keys).agg(corr("_x", "_y").alias(out))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """Pearson correlations of all pairs in one pass."""
+def correlation_matrix(df: DataFrame, columns: list[str], count: str | None = None) -> dict[tuple[str, str], float]:
+    """Pearson correlations of all pairs in one pass. count: the column that says how often a row counts."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return {}
-    row = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    if count is None:
+        row = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+        return {p: row[i] for i, p in enumerate(pairs)}
+    middle = df.agg(*[((F.min(c) + F.max(c)) / 2).alias(c) for c in columns]).first()
+
+    def weighted(a: str, b: str) -> Column:
+        known = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y, w = (F.when(known, c) for c in (F.col(a) - F.lit(middle[a]), F.col(b) - F.lit(middle[b]), F.col(count)))  # shifted, so that sums cancel little
+        n = F.sum(w)
+        cov = lambda u, v: F.sum(w * u * v) / n - F.sum(w * u) / n * (F.sum(w * v) / n)
+        return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), cov(x, y) / F.sqrt(cov(x, x) * cov(y, y)))
+
+    row = df.agg(*[weighted(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {p: row[i] for i, p in enumerate(pairs)}
 
 
 def prune_correlated(df: DataFrame, ranked: list[str], most: float = 0.9, keep: int = 60) -> list[str]:
     """Features in order of rank, without those whose rank correlation with one kept before is too high."""
-    ranks = df
+    counted = cut(df.groupBy(*ranked).agg(F.count("*").alias("_c")), "counted")
+    ranks = counted
     for c in ranked:
-        ranks = ranks.join(value_ranks(df, [], c, f"_r_{c}"), c, "left")
-    rho = correlation_matrix(ranks.select(*[F.col(f"_r_{c}").alias(c) for c in ranked]), ranked)
+        ranks = ranks.join(value_ranks(counted, [], c, f"_r_{c}", "_c"), c, "left")
+    rho = correlation_matrix(ranks.select(*[F.col(f"_r_{c}").alias(c) for c in ranked], "_c"), ranked, "_c")
     kept: list[str] = []
     for c in ranked:
         if len(kept) < keep and all(abs(rho.get((k, c), rho.get((c, k))) or 0.0) < most for k in kept):
@@ -246,12 +263,11 @@ def max_redundancy(df: DataFrame, new: list[str], old: list[str]) -> DataFrame:
 
 def group_correlation(df: DataFrame, by: str, columns: list[str], label: str, least: int = 30) -> DataFrame:
     """Per group and feature: n, coverage, Pearson and Spearman to the label; groups with more than `least` values."""
-    rows = long(df, [by, label], columns)
-    whole = rows.groupBy(by, "feature").agg(F.count("*").alias("rows"))
-    known = rows.where(f"value is not null and {label} is not null")
-    pearson = known.groupBy(by, "feature").agg(F.count("*").alias("n"), corr("value", label).alias("pearson")).where(F.col("n") > least)
-    rho = grouped_spearman(known, [by, "feature"], "value", label, "spearman")
-    return pearson.join(rho, [by, "feature"]).join(whole, [by, "feature"]).withColumn("coverage", F.col("n") / F.col("rows")).drop("rows")
+    rows = long(cut(df.select(by, label, *columns), "rows"), [by, label], columns)
+    known = F.col("value").isNotNull() & F.col(label).isNotNull()
+    pearson = rows.groupBy(by, "feature").agg(F.count("*").alias("rows"), F.count_if(known).alias("n"), corr("value", label).alias("pearson")).where(F.col("n") > least)
+    rho = grouped_spearman(rows.where(known), [by, "feature"], "value", label, "spearman")
+    return pearson.join(rho, [by, "feature"]).select(by, "feature", "n", "pearson", "spearman", (F.col("n") / F.col("rows")).alias("coverage"))
 
 
 def qcut_edges(df: DataFrame, column: str, q: int, by: list[str] | None = None) -> DataFrame:

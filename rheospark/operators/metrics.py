@@ -161,11 +161,11 @@ def deviation_corr(df: DataFrame, by: str, y: str, p: str, least: int = 3) -> Da
 
 
 def bucket_report(df: DataFrame, buckets: list[str], y: str, p: str, reason: str) -> DataFrame:
-    """AG37: per kind of bucket and bucket: n, means, residual, errors, rank correlation, most frequent reason. The rows by
-    bucket are written once, for they are read for errors, ranks and reasons."""
+    """AG37: per kind of bucket and bucket: n, means, residual, errors, rank correlation, most frequent reason. The rows are
+    written once, narrow and not yet by bucket, for they are read for errors, ranks and reasons."""
+    df = cut(df.select(y, p, reason, *buckets), "buckets")
     cells = F.array(*[F.struct(F.lit(b).alias("bucket_type"), F.col(b).cast("string").alias("bucket_value")) for b in buckets])
     rows = df.select(y, p, reason, F.explode(cells).alias("_b")).select(y, p, reason, "_b.*").where("bucket_value is not null")
-    rows = cut(rows, "buckets")
     keys = ["bucket_type", "bucket_value"]
     out = rows.groupBy(*keys).agg(F.avg(y).alias("actual_mean"), F.avg(p).alias("pred_mean"), F.avg(F.col(y) - F.col(p)).alias("residual_mean"), *error_aggs(y, p))
     return out.join(grouped_spearman(rows, keys, y, p), keys, "left").join(mode(rows, keys, reason, "reason_top1"), keys, "left")
@@ -184,6 +184,7 @@ def trend_validity(df: DataFrame, order: str, y: str, p: str, least: int = 3) ->
 
 
 def compound_report(df: DataFrame, compound: str, order: str, seq: str, y: str, p: str, least: int = 10) -> DataFrame:
+    df = cut(df.select(compound, order, seq, y, p), "rows")  # read for the counts, the errors, the orders and the ranks
     big = df.groupBy(compound).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
     rows = df.join(big, compound)
     by_order = direction_by_order(rows.withColumn("_o", F.struct(compound, order)), "_o", seq, y, p)

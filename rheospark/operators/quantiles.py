@@ -4,47 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scans import ranged, spanning
+from ..sources.io import cut
+from .scans import running_sums
 
-#: Rows of a group up to which its values may meet in one task.
+#: Rows (or distinct values) of a group up to which its values may meet in one task.
 BOUND = 1_000_000
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column | str], ps: Sequence[float], aggs: Sequence[Column] = (), bound: int | None = None) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column | str], ps: Sequence[float], aggs: Sequence[Column] = (), bound: int | None = None, count: str | None = None) -> DataFrame:
     """One row for each key (one in all without keys) with an array of the percentiles `ps` of each column: exact, linear
-    between neighbours, nulls left out (null for a key without values); and the further aggregates aggs.
+    between neighbours, nulls left out (null for a key without values); and the further aggregates aggs. count: the column
+    that says how often a row counts (not for aggs).
 
     Spark's own percentile merges a group's values in one task. It is used if no group has more than `bound` rows. Else
-    the values of all columns are dealt out by ranges of (key, column, value). A group inside one range is done there; in one that
-    spans several, a value's rank is its rank in its range and the sizes of the group's ranges before, and only the values at
-    the wanted ranks go on. The results are equal."""
+    equal values are counted and written first, and it merges the counts, if no group has more distinct values than that. Else
+    running sums of the counts in order of value, over ranges of (key, column, value), say which values stand at the
+    wanted ranks. The results are equal."""
     bound = BOUND if bound is None else bound
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
     points = F.array(*map(F.lit, ps))
+    percentile = lambda c, n: F.percentile(c, points, F.col(n)) if n else F.percentile(c, points)
     if (largest or 0) <= bound:
-        return df.groupBy(*keys).agg(*aggs, *[F.percentile(c, points).alias(n) for n, c in columns.items()])
+        return df.groupBy(*keys).agg(*aggs, *[percentile(c, count).alias(n) for n, c in columns.items()])
+    times = F.col(count) if count else F.lit(1)
     cells = F.array(*[F.struct(F.lit(n).alias("_name"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_value")) for n, c in columns.items()])
-    long = df.select(*keys, F.explode(cells).alias("_x")).select(*keys, "_x.*")
-    rows = ranged(long.where(F.col("_value").isNotNull()), [*keys, "_name"], ["_value"])
-    chunks = spanning(rows)
-    inside = rows.join(F.broadcast(chunks), ["_part", "_key"], "left_anti").groupBy("_key").agg(F.percentile("_value", points).alias("_p"))
-    across = rows.join(F.broadcast(chunks), ["_part", "_key"])
-    sizes = across.groupBy("_part", "_key").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumns({"_past": F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy("_key"))})
-    at = lambda p: (F.col("_all") - 1) * F.lit(p)
-    wanted = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in ps for f in (F.floor, F.ceil)]))
-    rank = F.row_number().over(Window.partitionBy("_part", "_key").orderBy("_value")) - 1
-    ranked = across.withColumn("_rank", rank).join(F.broadcast(sizes), ["_part", "_key"]).withColumn("_rank", F.col("_rank") + F.col("_past"))
-    found = ranked.where(F.array_contains(wanted, F.col("_rank"))).groupBy("_key", "_all").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_m"))
-    low, high = (lambda p: F.floor(at(p)).cast("long")), (lambda p: F.ceil(at(p)).cast("long"))
-    value = lambda p: F.when(low(p) == high(p), F.element_at("_m", low(p))).otherwise((high(p) - at(p)) * F.element_at("_m", low(p)) + (at(p) - low(p)) * F.element_at("_m", high(p)))
-    every = inside.unionByName(found.select("_key", F.array(*map(value, ps)).alias("_p")))
-    own = [F.col(f"_key.k{i}").alias(k) for i, k in enumerate(keys)]
-    named = every.select(*own, F.col(f"_key.k{len(keys)}").alias("_name"), "_p")
-    out = named.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_p"))).alias(n) for n in columns])
+    long = df.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("_")).alias("_group"), times.alias("_n"), F.explode(cells).alias("_x")).select("_group", "_n", "_x.*")
+    counted = cut(long.where(F.col("_value").isNotNull()).groupBy("_group", "_name", "_value").agg(F.sum("_n").alias("_n")), "values")
+    sizes = cut(counted.groupBy("_group", "_name").agg(F.sum("_n").alias("_all"), F.count("*").alias("_distinct")), "sizes")
+    if (sizes.agg(F.max("_distinct")).first()[0] or 0) <= bound:
+        every = counted.groupBy("_group", "_name").agg(percentile("_value", "_n").alias("_p"))
+    else:
+        at = lambda p: (F.col("_all") - 1) * F.lit(p)
+        holds = lambda r: (F.col("_less") <= r) & (r < F.col("_less") + F.col("_n"))
+        low, high = (lambda p: F.floor(at(p)).cast("long")), (lambda p: F.ceil(at(p)).cast("long"))
+        ranked = running_sums(counted, ["_group", "_name"], ["_value"], {"_less": F.col("_n")}).join(sizes, ["_group", "_name"])
+        ends = [F.max(F.when(holds(f(p)), F.col("_value"))).alias(f"_{side}{i}") for i, p in enumerate(ps) for side, f in (("l", low), ("h", high))]
+        value = lambda i, p: F.when(low(p) == high(p), F.col(f"_l{i}")).otherwise((high(p) - at(p)) * F.col(f"_l{i}") + (at(p) - low(p)) * F.col(f"_h{i}"))
+        every = ranked.groupBy("_group", "_name", "_all").agg(*ends).select("_group", "_name", F.array(*[value(i, p) for i, p in enumerate(ps)]).alias("_p"))
+    own = [F.col(f"_group.k{i}").alias(k) for i, k in enumerate(keys)]
+    out = every.groupBy(*(["_group"] if keys else [])).agg(*[F.max(F.when(F.col("_name") == n, F.col("_p"))).alias(n) for n in columns]).select(*own, *columns)
     whole = df.groupBy(*keys).agg(*(aggs or [F.count("*").alias("_count")]))  # keys without values have a row too
     if not keys:
         return whole.join(F.broadcast(out)).drop("_count")

@@ -834,7 +834,6 @@ f AS (SELECT w.*, lim, abs(w.y - med) AS o2 FROM w JOIN m USING (compound) JOIN
 FINAL SELECT coalesce(compound, 'OVERALL') AS compound, {ERRORS} FROM u GROUP BY ROLLUP (compound)""", "mae rmse r2")
 def flagship(spark, d):
     """Orders of narrow range, without robust outliers; errors of the expected value by compound and overall."""
-    rows = batches(spark, d)
-    inside = aggs.drop_wide(rows, ["order_id"], "y", 40.0)
-    kept = aggs.drop_mad_outliers(rows, ["compound"], "y").select("order_id", "batch_no")
-    return metrics.metrics_rollup(inside.join(kept, ["order_id", "batch_no"], "left_semi"), "y", "p", "compound")
+    rows = cut(batches(spark, d).select("order_id", "compound", "y", "p"), "batches")
+    kept = aggs.drop_mad_outliers(rows, ["compound"], "y").join(aggs.narrow_keys(rows, ["order_id"], "y", 40.0), "order_id", "left_semi")
+    return metrics.metrics_rollup(kept, "y", "p", "compound")
