@@ -376,9 +376,12 @@ def reason_counts(df: DataFrame) -> DataFrame:
 
 
 def sticky_batches(df: DataFrame, temp: str, discharge: Column, least: int = 250, near: int = 10, head: int = 35, warm: float = 50.0) -> DataFrame:
-    """CV25: long curves, warm in their first `head` seconds, whose discharge is found only within `near` of the end."""
+    """CV25: long curves, warm in their first `head` seconds, whose discharge is found only within `near` of the end. The
+    discharge stands behind an explode of one value: a filter on it alone would be moved to where the curve begins, with the
+    steps that lead to it written out as often as they are used, which multiplies from step to step."""
     started = (F.size(temp) >= head) & F.exists(F.slice(temp, 1, head), lambda x: x > warm)
-    return df.where(started & (F.size(temp) > least) & (discharge >= F.size(temp) - near))
+    rows = df.where(started & (F.size(temp) > least)).select("*", F.explode(F.array(discharge)).alias("_discharge"))
+    return rows.where(F.col("_discharge") >= F.size(temp) - near).drop("_discharge")
 
 
 def arrhenius_dose(temp: Column, energy: float = 75_000.0, reference: float = 150.0, low: float = 135.0, gas: float = 8.314) -> Column:
