@@ -358,7 +358,10 @@ def contribution_pct(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n"), *[pct(c, 0.5).alias(f"{c}_median") for c in columns])
+    """Per group the number of rows and the exact median of each column. df is read once."""
+    rows = cut(df.select(by, *columns), "rows")
+    out = percentiles(rows, [by], {f"_p_{c}": c for c in columns}, [0.5], [F.count("*").alias("n")])
+    return out.select(by, "n", *[F.col(f"_p_{c}")[0].alias(f"{c}_median") for c in columns])
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
