@@ -44,14 +44,13 @@ def labelled_lag(df: DataFrame, keys: list[str], order: list[Column], value: str
     return df.where(F.col(value).isNotNull()).withColumns({"feedback": F.lag(value, k - 1).over(w), "feedback_before": F.lag(value, k).over(w)})
 
 
-def rolling_visible(df: DataFrame, keys: list[str], order: list[Column], start: str, visible: str, value: str, n_mean: int = 3, n_std: int = 10) -> DataFrame:
+def rolling_visible(df: DataFrame, keys: list[str], order: list[Column], start: str, visible: str, value: str, n_mean: int = 3, n_std: int = 10, sizes: tuple[int, int] | None = None) -> DataFrame:
     """WF6: mean of the last n_mean and population deviation of the last n_std known values of earlier rows (in `order`, which
     begins with start) of the key that were visible strictly before the row's start. Rows count from the later of their own
     start and visibility on; those visible before they start count for rows behind them that start with them. See
-    folds.visible_values()."""
-    known = df.where(F.col(value).isNotNull())
+    folds.visible_values(), also for sizes."""
     seen_at = F.when(F.col(start).isNotNull() & F.col(visible).isNotNull(), F.greatest(F.col(visible), F.col(start)))
-    out = visible_values(df, known, keys, F.col(start), seen_at, order, F.col(value), max(n_mean, n_std), out="_h", early=F.col(visible) < F.col(start))
+    out = visible_values(df, F.col(value).isNotNull(), keys, F.col(start), seen_at, order, F.col(value), max(n_mean, n_std), out="_h", early=F.col(visible) < F.col(start), sizes=sizes)
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
     size = lambda a: F.nullif(F.size(a), F.lit(0))
     mean = lambda a: total(a, lambda x: x) / size(a)
