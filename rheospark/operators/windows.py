@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import visible_values
+from .folds import BOUND, deal, key_sizes, visible_values
 from .joins import first_rows
 from .quantiles import percentiles
 
@@ -63,12 +63,18 @@ def rolling_visible(df: DataFrame, keys: list[str], order: list[Column], start:
 def rolling_residual(df: DataFrame, train: Column, group: str, mixer: str, order: list[Column], start: str, visible: str, value: str) -> DataFrame:
     """Residual to the training rows' median of the group (all training rows' where the group has none), rolled over the
     group's last five and the mixer's last ten visible rows."""
-    medians = percentiles(df.where(train), [group], {"_p": value}, [0.5]).select(group, F.col("_p")[0].alias("_med"))
     whole = percentiles(df.where(train), [], {"_p": value}, [0.5]).select(F.col("_p")[0].alias("_all"))
-    out = df.join(medians, group, "left").join(F.broadcast(whole)).withColumn("residual", F.col(value) - F.coalesce("_med", "_all"))
-    out = rolling_visible(out.drop("_med", "_all"), [group], order, start, visible, "residual", 5, 5)
+    sizes = key_sizes(df, [group])
+    if sizes[1] <= BOUND:  # dealt out by group once, for the medians and for what is rolled
+        middle = F.percentile(F.when(train, F.col(value)), F.lit(0.5)).over(Window.partitionBy(group))
+        out = deal(df, [group], sizes[0]).withColumn("_med", F.when(F.col(group).isNotNull(), middle))
+    else:
+        out = df.join(percentiles(df.where(train), [group], {"_p": value}, [0.5]).select(group, F.col("_p")[0].alias("_med")), group, "left")
+    out = out.join(F.broadcast(whole)).withColumn("residual", F.col(value) - F.coalesce("_med", "_all"))
+    out = rolling_visible(out.drop("_med", "_all"), [group], order, start, visible, "residual", 5, 5, sizes)
     out = out.withColumnRenamed("roll5_mean", "group_roll5").drop("roll5_std")
-    return rolling_visible(out, [mixer], order, start, visible, "residual", 10, 10).withColumnRenamed("roll10_mean", "mixer_roll10").drop("roll10_std")
+    sizes = key_sizes(df, [mixer])
+    return rolling_visible(out, [mixer], order, start, visible, "residual", 10, 10, sizes).withColumnRenamed("roll10_mean", "mixer_roll10").drop("roll10_std")
 
 
 def rolling_offset(df: DataFrame, keys: list[str], order: list[Column], residual: str) -> DataFrame:
