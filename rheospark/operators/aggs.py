@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even
 from ..sources.io import cut
+from .folds import deal
 from .quantiles import percentiles
 from .scans import running_sums
 from .windows import avg_rank
@@ -55,7 +56,9 @@ def batch_list(df: DataFrame, keys: list[str], seq: str, out: str = "batches") -
 
 def workoff_ratio(df: DataFrame, order: str, material: str, weight: str, is_workoff: Column) -> DataFrame:
     """Per order: number of work-off materials, their summed mean weights, and the share of all materials' mean weights."""
-    means = df.groupBy(order, material).agg(F.avg(weight).alias("w"), F.max(is_workoff.cast("int")).alias("off"))
+    rows = cut(df.select(order, material, F.col(weight).alias("_w"), is_workoff.cast("int").alias("_off")), "rows")
+    rows = deal(rows, [order], rows.count())  # once, for both steps; a task's groups don't grow with the table
+    means = rows.groupBy(order, material).agg(F.avg("_w").alias("w"), F.max("_off").alias("off"))
     return means.groupBy(order).agg(F.sum("off").cast("long").alias("n_workoff"), F.sum(F.when(F.col("off") == 1, F.col("w")).otherwise(0.0)).alias("workoff_weight"), (F.sum(F.when(F.col("off") == 1, F.col("w")).otherwise(0.0)) / F.nullif(F.sum("w"), F.lit(0))).alias("workoff_ratio"))
 
 
