@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import fold_rows
-from .scans import affine_scan, ranged, running_top, spanning
+from ..sources.io import cut
+from .scans import affine_scan, dealt, running_top
 from .windows import rolling_offset
 
 
@@ -24,8 +25,8 @@ def ewma_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p:
     row's update is a linear map, and a key of any size is scanned in many tasks (scans.py)."""
     res = F.col("_res")
     rows = df.withColumn("_res", (F.col(y) - F.col(p)).cast("double"))
-    rows = ranged(rows.withColumn("_x", F.when(res.isNotNull(), F.struct(*order, "_res"))), keys, order, parts)
-    chunks = spanning(rows)
+    rows, chunks = dealt(cut(rows, "rows"), keys, order, parts)
+    rows = rows.withColumn("_x", F.when(res.isNotNull(), F.struct(*order, "_res")))
     rows = running_top(rows, keys, order, "_x", k, "_back", chunks=chunks)
     back = lambda i: F.when(res.isNotNull(), res if i == 0 else F.get("_back", F.lit(i - 1))["_res"])
     rows = rows.withColumns({"_f": back(k - 1), "_g": back(k)})
@@ -50,8 +51,7 @@ def kalman_calibrate(df: DataFrame, keys: list[str], order: list[str], y: str, p
     """CA2: kalman and ewma bias before each row, clipped. The gain depends on the number of residuals before alone, so both are
     linear maps and scanned like CA1's."""
     known = F.col("_res").isNotNull()
-    rows = ranged(df.withColumn("_res", (F.col(y) - F.col(p)).cast("double")), keys, order, parts)
-    chunks = spanning(rows)
+    rows, chunks = dealt(cut(df.withColumn("_res", (F.col(y) - F.col(p)).cast("double")), "rows"), keys, order, parts)
     linear = lambda gain: (F.when(known, 1 - gain).otherwise(1.0), F.coalesce(gain * F.col("_res"), F.lit(0.0)), 0.0)
     rows = affine_scan(rows, keys, order, {"_n": (F.lit(1.0), known.cast("double"), 0.0), "_e": linear(F.lit(alpha))}, chunks=chunks)
     var = variance_after(F.col("_n"), q, r) + q

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..sources.io import cut
 
+#: Rows of a key up to which one task scans it, and rows of a task of a scan, about.
+BOUND, TASK_ROWS = 1_000_000, 250_000
 #: Natural logarithm of what a block of an affine scan may shrink its state to; e ** 500 is far inside a double's range.
 BLOCK = 500.0
 
@@ -37,6 +39,20 @@ def spanning(rows: DataFrame) -> DataFrame:
     return cut(chunks.join(several, "_key").select("_part", "_key"), "chunks")
 
 
+def dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None, bound: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What a scan begins with: rows (written, for they are read twice) with _key and _part, and what spanning() says of them.
+    The number of tasks follows the number of rows, so that what a task sorts doesn't grow with the table.
+
+    Where no key has more than `bound` rows and no parts are given, rows are dealt out by key, and there are no chunks."""
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    n, largest = rows.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    tasks = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) // TASK_ROWS))
+    if parts is None and (largest or 0) <= (BOUND if bound is None else bound):
+        return rows.withColumns({"_key": key, "_part": F.lit(0)}).repartition(tasks, "_key"), None
+    out = ranged(rows, keys, order, tasks)
+    return out.repartition(tasks, "_part", "_key"), spanning(out)
+
+
 def _within(order: Sequence[Column | str], *keys: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
@@ -70,14 +86,19 @@ def _affine(rows: DataFrame, keys: list[str], order: Sequence[Column | str], m:
 def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], states: Mapping[str, tuple[Column, Column, float]], parts: int | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Add for each name of states the state before each row of its key, in `order` (ascending and total), of a recurrence
     state' = m * state + c that begins with `start`: name -> (m, c, start), where 0 <= m <= 1. A row that changes nothing
-    has m = 1 and c = 0. Null keys are a key. chunks: of a df that comes from ranged(), what spanning() says of it; then _key
-    and _part stay in the result, for the next scan."""
+    has m = 1 and c = 0. Null keys are a key. chunks: of a df that comes from ranged() or dealt(), what spanning() says of it;
+    then _key and _part stay in the result, for the next scan."""
     names = df.columns
     cells = {f"_{x}{i}": v.cast("double") for i, (m, c, _) in enumerate(states.values()) for x, v in (("m", m), ("c", c))}
+    whole_keys = "_part" in names and chunks is None
     rows = ranged(df.withColumns(cells), keys, order, parts)
-    chunks = spanning(rows) if chunks is None else chunks
+    chunks = spanning(rows) if chunks is None and not whole_keys else chunks
     at, out = F.struct(*order), rows
     for i, (name, (_, _, start)) in enumerate(states.items()):
+        if whole_keys:
+            own = _affine(out, ["_part", "_key"], order, f"_m{i}", f"_c{i}")
+            out = own.withColumn(name, F.col("_mul") * F.lit(start) + F.col("_add")).drop("_log", "_after", "_mul", "_add")
+            continue
         whole = _affine(rows.join(F.broadcast(chunks), ["_part", "_key"]), ["_part", "_key"], order, f"_m{i}", f"_c{i}")
         ends = whole.groupBy("_part", "_key").agg(F.max_by(F.struct(F.exp("_log").alias("m"), F.col("_after").alias("c")), at).alias("_x"))
         ends = ends.select("_part", "_key", F.col("_x.m").alias("_xm"), F.col("_x.c").alias("_xc"))
@@ -104,6 +125,8 @@ def running_top(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Col
     """Add `out`: the n largest x (of any type that has an order; null is none) of the earlier rows of the key in `order`,
     the largest first. Rows that are equal in order see each other or not; null keys are a key. chunks: see affine_scan()."""
     names = df.columns
+    if "_part" in names and chunks is None:
+        return _tops(df, _within(order, "_part", "_key"), x, n, out)
     rows = ranged(df, keys, order, parts)
     chunks = spanning(rows) if chunks is None else chunks
     mine = rows.where(F.col(x).isNotNull()).join(F.broadcast(chunks), ["_part", "_key"]).select("_part", "_key", F.col(x).alias("_x"))
