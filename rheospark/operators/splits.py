@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.io import cut
 from .aggs import mode
+from .folds import BOUND, deal, key_sizes
 from .quantiles import percentiles
 
 
@@ -44,23 +45,30 @@ def super_groups(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Labels of the distinct pairs go to and fro between both sides as minima until none changes; each round is written,
     so that lineage stays short and a lost executor costs one round."""
-    pairs = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a is not null and b is not null").distinct()
-    labels = pairs.withColumn("label", F.col("a"))
-    labels = cut(labels, "groups")
+    df = cut(df, "rows")  # read for the pairs and for the result
+    of = {"_a": F.col(a).cast("string"), "_b": F.col(b).cast("string")}
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    labels = cut(df.where(known).select(of["_a"].alias("a"), of["_b"].alias("b")).distinct().withColumn("label", F.col("a")), "groups")
+    rows, largest = (max(x) for x in zip(key_sizes(labels, ["a"]), key_sizes(labels, ["b"]), strict=True))
+    # tasks follow the number of pairs; a value of very many pairs is left to Spark's own joins, which part it
+    by = (lambda rows_of, key: deal(rows_of, [key], rows)) if largest <= BOUND else (lambda rows_of, _: rows_of)
     while True:
         by_b = labels.groupBy("b").agg(F.min("label").alias("mb"))
-        by_a = labels.join(by_b, "b").groupBy("a").agg(F.min("mb").alias("ma"))
+        by_a = cut(by(by(labels, "b").join(by_b, "b").select("a", "mb"), "a").groupBy("a").agg(F.min("mb").alias("ma")), "least")
         # a label is itself a value of a: what that value has reached meanwhile is taken over at once
         jump = by_a.select(F.col("a").alias("ma"), F.col("ma").alias("far"))
-        new = cut(labels.join(by_a, "a").join(jump, "ma", "left").select("a", "b", F.least("ma", F.coalesce("far", "ma")).alias("label"), F.col("label").alias("old")), "groups")
+        by_a = by_a.join(jump, "ma", "left").select("a", F.least("ma", F.coalesce("far", "ma")).alias("least"))
+        new = cut(by(labels, "a").join(by_a, "a").select("a", "b", F.col("least").alias("label"), F.col("label").alias("old")), "groups")
         changed = new.where("label != old").limit(1).count()
         labels = new.drop("old")
         if not changed:
             break
-    of_a = labels.select(F.col("a").alias("_a"), "label").distinct()
+    of_a = by(labels, "a").groupBy(F.col("a").alias("_a")).agg(F.min("label").alias("super_group"))
     of_b = labels.select(F.col("b").alias("_b"), F.col("label").alias("_lb")).distinct()
-    out = df.join(of_a, F.col(a).cast("string") == F.col("_a"), "left").join(of_b, F.col(b).cast("string") == F.col("_b"), "left")
-    return out.withColumn("super_group", F.coalesce("label", "_lb", F.col(a).cast("string"), F.col(b).cast("string"))).drop("_a", "_b", "label", "_lb")
+    whole = by(df.where(known).withColumn("_a", of["_a"]), "_a").join(of_a, "_a").drop("_a")
+    rest = df.where(~known).join(of_a, of["_a"] == F.col("_a"), "left").join(of_b, of["_b"] == F.col("_b"), "left")
+    rest = rest.withColumn("super_group", F.coalesce("super_group", "_lb", of["_a"], of["_b"])).drop("_a", "_b", "_lb")
+    return whole.unionByName(rest)
 
 
 def strata(df: DataFrame, group: str, silica: str, wet: str, label: str) -> DataFrame:
