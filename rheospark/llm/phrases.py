@@ -6,9 +6,13 @@ language's words. A shard that doesn't report a phrase has it s - 1 times at mos
 each phrase's count from above; a phrase whose bound reaches the global count is a candidate. With more shards than the
 global count, s is one, and the bound is the count itself.
 
-Second pass: the candidates are a filter of fixed size, two bits each, 8 MB at any size of the corpus; nothing else is
-broadcast. Each shard counts every phrase that passes it, and the counts are added up exactly. What passes by chance is
-counted like the others and falls to the global count.
+More shards have a lower s each, and report many more phrases. So the reports are put together in counters, not in rows: a
+phrase adds to two counters that its hash names, which stop at the global count, and the lesser one bounds it from above.
+A task hands on all its counters, 32 MB before they are compressed, however much its shards report.
+
+Second pass: the counters are the filter, of a fixed size at any size of the corpus; nothing else is broadcast. Each shard
+counts every phrase whose bound reaches the global count, and the counts are added up exactly. What passes by chance, for
+its counters are shared, is counted like the others and falls to the global count.
 """
 
 from __future__ import annotations
@@ -25,18 +29,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, join_hot, table, written
+from .common import join_hot, table, written
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 #: Text bytes of a shard, about; a worker takes about ten times as much at most.
 SHARD_BYTES = 24_000_000
-#: Shards of a task, where there are more shards than cores; and rows of counts that a task adds up before it hands them on.
+#: Shards of a task, where there are more shards than cores; and rows of counts that a task of the second pass adds up before it
+#: hands them on.
 SHARDS, ROWS = 8, 1_500_000
 #: Keys are numbered in so many slices, for tables of a fraction of the size.
 SLICES = 16
-#: Bits of the filter, as a power of two: 8 MB.
-FILTER_BITS = 26
+#: Counters of each of the filter's two rows, as a power of two: of a byte each, 32 MB; and of a block of them, that is handed on as one.
+FILTER_BITS, BLOCK_BITS = 24, 16
 #: What ends a piece, and a word.
 ENDS, SPACES = ".,;:!?\n\v\f\r", " \t"
 WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
@@ -168,8 +173,15 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
         yield made()
 
 
-def _bits(hashes: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return hashes >> np.uint64(LANG_BITS) & np.uint64((1 << filter_bits) - 1), hashes >> np.uint64(64 - filter_bits)
+def _places(hashes: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each phrase in each row of the filter."""
+    return (hashes >> np.uint64(LANG_BITS) & np.uint64((1 << filter_bits) - 1)).astype(np.int64), (hashes >> np.uint64(64 - filter_bits)).astype(np.int64)
+
+
+def _raise(counters: np.ndarray, places: np.ndarray, by: np.ndarray, most: int) -> None:
+    """Add to counters, which stop at `most`."""
+    own, which = np.unique(places, return_inverse=True)
+    counters[own] = np.minimum(counters[own] + np.bincount(which, np.minimum(by, most), len(own)), most)
 
 
 def _added(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[pa.RecordBatch]:
@@ -195,33 +207,64 @@ def _added(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[pa.RecordB
         yield from add().to_batches(100_000)
 
 
-def _mine(totals: dict[str, int], numbers: dict[str, int], least: int, longest: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """First pass: hash of each phrase that is frequent in a shard, with its count there less s - 1; and s - 1 of each language,
-    with its number in place of a hash."""
+def _mine(totals: dict[str, int], numbers: dict[str, int], least: int, longest: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """First pass: the counters of a task in blocks, numbered from 0, of what its shards report: each phrase that is frequent
+    in a shard, with its count there less s - 1. And block -1, the sum of s - 1 by number of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda h, n: pa.RecordBatch.from_arrays([pa.array(np.asarray(h).view(np.int64)), pa.array(n)], ["h", "excess"])
+        counters, missed = np.zeros((2, 1 << filter_bits), np.min_scalar_type(least)), np.zeros(1 << LANG_BITS, np.int64)
         for shard in _shards(batches, shard_bytes):
             unseen = np.array([-(-least * int(n) // totals[lang]) - 1 if lang in totals else 0 for lang, n in zip(shard.langs, shard.n_words, strict=True)], np.int64).clip(0)
-            known = [i for i, lang in enumerate(shard.langs) if lang in numbers]
-            yield out(np.array([numbers[shard.langs[i]] for i in known], np.int64), unseen[known])
+            for i, lang in enumerate(shard.langs):
+                if lang in numbers:
+                    missed[numbers[lang]] += unseen[i]
             for size, first, counts in shard.levels(longest, lambda first, counts, _, s=shard, u=unseen: counts > u[s.lang[first]]):
                 for at in range(0, len(first), 200_000):
                     part = first[at : at + 200_000]
-                    yield out(shard.hashes(part, size, numbers), counts[at : at + 200_000] - unseen[shard.lang[part]])
+                    excess = counts[at : at + 200_000] - unseen[shard.lang[part]]
+                    for row, places in zip(counters, _places(shard.hashes(part, size, numbers), filter_bits), strict=True):
+                        _raise(row, places, excess, least)
+        yield _block(-1, missed)
+        blocks = counters.reshape(-1, 1 << min(BLOCK_BITS, filter_bits))
+        for i in np.flatnonzero(blocks.any(axis=1)):
+            yield _block(int(i), blocks[i])
+
+    return run
+
+
+def _block(number: int, counters: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([counters.tobytes()])], ["block", "counters"])
+
+
+def _blocks_added(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of one number added up, row by row; a task holds one of each number at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = np.frombuffer(data.as_buffer(), np.int64 if number < 0 else np.min_scalar_type(least))
+                if number not in sums:
+                    sums[number] = block.copy()
+                elif number < 0:
+                    sums[number] += block
+                else:
+                    sums[number] = np.minimum(sums[number].astype(np.int64) + block, least).astype(block.dtype)
+        for number, block in sums.items():
+            yield _block(number, block)
 
     return run
 
 
-def _count(shared, numbers: dict[str, int], longest: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(shared, missed: np.ndarray, numbers: dict[str, int], least: int, longest: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Second pass: how often each phrase of the filter occurs in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(shared.value, np.uint64)
+        counters = np.frombuffer(shared.value, np.min_scalar_type(least)).reshape(2, -1)
 
         def held(h: np.ndarray) -> np.ndarray:
-            low, high = (words[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1) for b in _bits(h, filter_bits))
-            return (low & high).astype(bool)
+            bound = np.minimum(*(row[places] for row, places in zip(counters, _places(h, filter_bits), strict=True)))
+            return bound + missed[(h & np.uint64((1 << LANG_BITS) - 1)).astype(np.int64)] >= least
 
         def passing(shard: Shard, first: np.ndarray, size: int) -> np.ndarray:
             return np.concatenate([np.zeros(0, bool), *(held(shard.hashes(first[at : at + 200_000], size, numbers)) for at in range(0, len(first), 200_000))])
@@ -251,27 +294,20 @@ def frequent_phrases(docs: DataFrame, totals: DataFrame, least: int = MIN_COUNT,
     # tasks hold whole shards, and more than one where there are more than cores: they add up what they find
     shards = max(1, math.ceil((size or 0) / shard_bytes))
     docs = docs.coalesce(max(min(shards, spark.sparkContext.defaultParallelism), math.ceil(shards / SHARDS)))
-    mine = _mine(known, numbers, least, longest, shard_bytes)
-    mined = written(docs.mapInArrow(lambda rows: _added(mine(rows), "excess"), "h long, excess long").groupBy("h").agg(F.sum("excess").alias("excess")), "mined")
-    codes = (1 << LANG_BITS) - 1
-    is_lang = F.col("h").between(0, codes)
-    unseen = np.zeros(codes + 1, np.int64)  # by number of the language, RARE rows at most
-    for r in mined.where(is_lang).collect():
-        unseen[r.h] = r.excess
-    of_lang = F.lit([int(n) for n in unseen[: len(numbers) + 1]])[F.col("h").bitwiseAND(codes).cast("int")]
-    candidates = mined.where(~is_lang & (F.col("excess") + of_lang >= least))
-    low = F.shiftrightunsigned("h", LANG_BITS).bitwiseAND((1 << filter_bits) - 1)
-    bit = candidates.select(F.explode(F.array(low, F.shiftrightunsigned("h", 64 - filter_bits))).alias("b"))
-    place, mask = F.shiftright("b", 6), F.expr("shiftleft(1L, cast(b & 63 as int))")
-    union = bit.groupBy(place.alias("place")).agg(F.bit_or(mask).alias("bits")).toArrow()
-    words = np.zeros(1 << (filter_bits - 6), np.uint64)
-    words[union.column("place").to_numpy()] = union.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(words.tobytes())
-    count = _count(shared, numbers, longest, filter_bits, shard_bytes)
+    mine = _mine(known, numbers, least, longest, filter_bits, shard_bytes)
+    mined = docs.mapInArrow(mine, "block int, counters binary").repartition("block").mapInArrow(_blocks_added(least), "block int, counters binary").toArrow()
+    width = min(BLOCK_BITS, filter_bits)
+    counters, missed = np.zeros((2 << filter_bits >> width, 1 << width), np.min_scalar_type(least)), np.zeros(1 << LANG_BITS, np.int64)
+    for number, data in zip(mined.column("block").to_pylist(), mined.column("counters"), strict=True):
+        if number < 0:
+            missed = np.frombuffer(data.as_buffer(), np.int64)
+        else:
+            counters[number] = np.frombuffer(data.as_buffer(), counters.dtype)
+    shared = spark.sparkContext.broadcast(counters.tobytes())
+    del mined, counters
+    count = _count(shared, missed, numbers, least, longest, filter_bits, shard_bytes)
     counts = docs.mapInArrow(lambda rows: _added(count(rows), "f"), "lang string, phrase string, size int, f long")
-    found = written(counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
-    discard(mined)
-    return found
+    return written(counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
 
 
 def score_cuts(frequent: DataFrame, totals: DataFrame) -> DataFrame:

@@ -86,3 +86,34 @@ def test_query_equals_sql(spark, sf):
     got = p.op13_son_phrases(spark, sf).collect()
     assert len(want) > 10
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("shard", [10**9, 20_000, 500])
+def test_what_a_task_of_the_first_pass_hands_on_does_not_grow_with_what_its_shards_report(shard):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.3, 400) if i < 10**9) for _ in range(300)]
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * 300), pa.array(texts)], ["lang", "text"])
+    n, bits, least = sum(len(t.split()) for t in texts), 18, 40
+    found = list(p._mine({"en": n}, {"en": 1}, least, 3, bits, shard)(iter([rows])))
+    assert [b.schema.names for b in found] == [["block", "counters"]] * len(found)
+    assert sum(b.num_rows for b in found) <= 1 + (2 << bits >> p.BLOCK_BITS)
+    counters, missed = np.zeros((2 << bits >> p.BLOCK_BITS, 1 << p.BLOCK_BITS), np.uint8), None
+    for b in p._blocks_added(least)(iter(found)):
+        if b.column(0)[0].as_py() < 0:
+            missed = np.frombuffer(b.column(1)[0].as_buffer(), np.int64)
+        else:
+            counters[b.column(0)[0].as_py()] = np.frombuffer(b.column(1)[0].as_buffer(), np.uint8)
+    whole, low, high = p.Shard(rows.column(0), rows.column(1)), *counters.reshape(2, -1)
+    assert missed[1] < least
+    for size, first, counts in whole.levels(3, lambda f, c, _: c >= least):
+        a, b = p._places(whole.hashes(first, size, {"en": 1}), bits)
+        assert len(first) and (np.minimum(low[a], high[b]) + missed[1] >= least).all()
+
+
+def test_counters_stop_at_the_global_count():
+    counters = np.zeros(4, np.uint8)
+    p._raise(counters, np.array([1, 1, 2, 3]), np.array([30, 40, 5, 10**6]), 100)
+    p._raise(counters, np.array([1, 2]), np.array([60, 1]), 100)
+    assert counters.tolist() == [0, 100, 6, 100]
