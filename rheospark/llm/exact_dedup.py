@@ -42,6 +42,12 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _only(texts: pa.Array, at: np.ndarray, marked: np.ndarray) -> pa.Array:
+    """The texts at the marked places, null at the others. pc.if_else() of a slice and a null scalar gives offsets beyond its data
+    (pyarrow 23), and would make room for all texts of the slice."""
+    return texts.take(pa.array(at, mask=~marked))
+
+
 def _verdicts(names: list[str], carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From a partition's sorted rows (carried columns, _k, _t, _hash) to rows with least key and size of their run. Rows of the
     run that is going on wait, without their texts, until it ends. _head: the text, at the first row of a run that may
@@ -98,7 +104,7 @@ def _verdicts(names: list[str], carried: int) -> Callable[[Iterator[pa.RecordBat
                 edge = pc.equal(codes.take(pa.array(ended)), begin).to_numpy(zero_copy_only=False)
                 first = np.zeros(hi - lo, bool)
                 first[ended - lo] = True
-                heads = pc.if_else(pa.array(first & edge[of]), texts.slice(lo, hi - lo), pa.scalar(None, texts.type))
+                heads = _only(texts, np.arange(lo, hi), first & edge[of])
                 digests = pa.array([_digest(t) for t in names.to_pylist()]).take(pa.array(of))
                 yield made([slim.column(i).slice(lo, hi - lo) for i in range(carried)], key.take(take), np.repeat(sizes, sizes), first, digests, number + 1 + of, part, heads)
                 same = pc.equal(codes.take(pa.array(ended)), open_code).to_numpy(zero_copy_only=False)
