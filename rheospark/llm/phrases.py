@@ -13,6 +13,12 @@ A task hands on all its counters, 32 MB before they are compressed, however much
 Second pass: the counters are the filter, of a fixed size at any size of the corpus; nothing else is broadcast. Each shard
 counts every phrase whose bound reaches the global count, and the counts are added up exactly. What passes by chance, for
 its counters are shared, is counted like the others and falls to the global count.
+
+Beyond some 50 shards (1.2 GB) a support of 100 is two or one in a shard: nearly every phrase is frequent in some shard, and
+adds to the counters until most of them reach 100. The first pass is made for each size then, at a support of one: a shard reports
+the phrases of that size whose two shorter parts may be frequent in the whole corpus, and not only in the shard. Of the counters
+a bit each stays, that they have reached the global count (4 MB), and these bits are the filter of the next size and of the second pass.
+From some 7 GB on counters and texts of a task double with the corpus.
 """
 
 from __future__ import annotations
@@ -42,6 +48,10 @@ SHARDS, ROWS = 8, 1_500_000
 SLICES = 16
 #: Counters of each of the filter's two rows, as a power of two: of a byte each, 32 MB; and of a block of them, that is handed on as one.
 FILTER_BITS, BLOCK_BITS = 24, 16
+#: Local supports up to this prune too little: the shards are mined size by size.
+LOW_SUPPORT = 2
+#: All words on a counter, on average, as a share of the global count; beyond that the filter grows.
+LOAD = 0.85
 #: What ends a piece, and a word.
 ENDS, SPACES = ".,;:!?\n\v\f\r", " \t"
 WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
@@ -271,10 +281,55 @@ def _count(shared, missed: np.ndarray, numbers: dict[str, int], least: int, long
 
         for shard in _shards(batches, shard_bytes):
             for size, first, counts in shard.levels(longest, lambda first, _, size, s=shard: passing(s, first, size)):
-                for at in range(0, len(first), 50_000):
-                    part = first[at : at + 50_000]
-                    names = pa.array(shard.langs, pa.string()).take(pa.array(shard.lang[part]))
-                    yield pa.RecordBatch.from_arrays([names, shard.phrases(part, size), pa.array(np.full(len(part), size, np.int32)), pa.array(counts[at : at + 50_000])], ["lang", "phrase", "size", "f"])
+                yield from _rows(shard, first, counts, size)
+
+    return run
+
+
+def _rows(shard: Shard, first: np.ndarray, counts: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(first), 50_000):
+        part = first[at : at + 50_000]
+        names = pa.array(shard.langs, pa.string()).take(pa.array(shard.lang[part]))
+        yield pa.RecordBatch.from_arrays([names, shard.phrases(part, size), pa.array(np.full(len(part), size, np.int32)), pa.array(counts[at : at + 50_000])], ["lang", "phrase", "size", "f"])
+
+
+def _held(shared, filter_bits: int) -> Callable[[Shard, np.ndarray, int], np.ndarray]:
+    """Which phrases of a shard (first places, size) have their bits in both rows of a filter."""
+    rows = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+
+    def both(h: np.ndarray) -> np.ndarray:
+        return np.logical_and(*(row[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1 for row, places in zip(rows, _places(h, filter_bits), strict=True)))
+
+    return lambda shard, first, size: np.concatenate([np.zeros(0, bool), *(both(shard.hashes(first[at : at + 200_000], size, {})) for at in range(0, len(first), 200_000))])
+
+
+def _mine_size(shared, wanted: int, least: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """First pass, one size: the counters of a task, in blocks, of all phrases of `wanted` words whose shorter parts the filter
+    holds; that is a local support of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, held = np.zeros((2, 1 << filter_bits), np.min_scalar_type(least)), _held(shared, filter_bits)
+        for shard in _shards(batches, shard_bytes):
+            for size, first, counts in shard.levels(wanted, lambda first, _, size, s=shard: np.ones(len(first), bool) if size == wanted else held(s, first, size)):
+                for at in range(0, len(first) if size == wanted else 0, 200_000):
+                    hashes = shard.hashes(first[at : at + 200_000], size, {})
+                    for row, places in zip(counters, _places(hashes, filter_bits), strict=True):
+                        _raise(row, places, counts[at : at + 200_000], least)
+        blocks = counters.reshape(-1, 1 << min(BLOCK_BITS, filter_bits))
+        for i in np.flatnonzero(blocks.any(axis=1)):
+            yield _block(int(i), blocks[i])
+
+    return run
+
+
+def _count_held(shared, longest: int, filter_bits: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Second pass after _mine_size(): how often each phrase that the filter holds occurs in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(shared, filter_bits)
+        for shard in _shards(batches, shard_bytes):
+            for size, first, counts in shard.levels(longest, lambda first, _, size, s=shard: held(s, first, size)):
+                yield from _rows(shard, first, counts, size)
 
     return run
 
@@ -284,18 +339,28 @@ def word_totals(docs: DataFrame) -> DataFrame:
     return docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")).alias("total"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"))
 
 
-def frequent_phrases(docs: DataFrame, totals: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, filter_bits: int = FILTER_BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def frequent_phrases(docs: DataFrame, totals: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, filter_bits: int = FILTER_BITS, shard_bytes: int = SHARD_BYTES, size_by_size: bool | None = None) -> DataFrame:
     """docs: lang, text (neither null). lang, phrase, size, f of every phrase of up to `longest` words that occurs `least` times or
-    more in its language; written. totals: see word_totals()."""
+    more in its language; written. totals: see word_totals(). size_by_size: None where a shard's support is too low."""
     spark = docs.sparkSession
     whole, size = totals.agg(F.sum("total"), F.sum("n_bytes")).first()
     known = {r.lang: r.total for r in totals.where(F.col("total") * RARE > (whole or 0)).collect()}  # RARE of them at most
     numbers = {lang: i + 1 for i, lang in enumerate(sorted(known))}
-    # tasks hold whole shards, and more than one where there are more than cores: they add up what they find
     shards = max(1, math.ceil((size or 0) / shard_bytes))
+    if -(-least // shards) <= LOW_SUPPORT if size_by_size is None else size_by_size:
+        return _by_size(docs, whole or 0, shards, least, longest, filter_bits, shard_bytes)
+    # tasks hold whole shards, and more than one where there are more than cores: they add up what they find
     docs = docs.coalesce(max(min(shards, spark.sparkContext.defaultParallelism), math.ceil(shards / SHARDS)))
     mine = _mine(known, numbers, least, longest, filter_bits, shard_bytes)
-    mined = docs.mapInArrow(mine, "block int, counters binary").repartition("block").mapInArrow(_blocks_added(least), "block int, counters binary").toArrow()
+    counters, missed = _collected(docs.mapInArrow(mine, "block int, counters binary"), least, filter_bits)
+    shared = spark.sparkContext.broadcast(counters.tobytes())
+    del counters
+    return _summed(docs, _count(shared, missed, numbers, least, longest, filter_bits, shard_bytes), least)
+
+
+def _collected(blocks: DataFrame, least: int, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of all tasks added up: the counters of both rows of the filter, and block -1."""
+    mined = blocks.repartition("block").mapInArrow(_blocks_added(least), "block int, counters binary").toArrow()
     width = min(BLOCK_BITS, filter_bits)
     counters, missed = np.zeros((2 << filter_bits >> width, 1 << width), np.min_scalar_type(least)), np.zeros(1 << LANG_BITS, np.int64)
     for number, data in zip(mined.column("block").to_pylist(), mined.column("counters"), strict=True):
@@ -303,13 +368,30 @@ def frequent_phrases(docs: DataFrame, totals: DataFrame, least: int = MIN_COUNT,
             missed = np.frombuffer(data.as_buffer(), np.int64)
         else:
             counters[number] = np.frombuffer(data.as_buffer(), counters.dtype)
-    shared = spark.sparkContext.broadcast(counters.tobytes())
-    del mined, counters
-    count = _count(shared, missed, numbers, least, longest, filter_bits, shard_bytes)
+    return counters, missed
+
+
+def _summed(docs: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], least: int) -> DataFrame:
     counts = docs.mapInArrow(lambda rows: _added(count(rows), "f"), "lang string, phrase string, size int, f long")
     return written(counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
 
 
+def _by_size(docs: DataFrame, whole: int, shards: int, least: int, longest: int, filter_bits: int, shard_bytes: int) -> DataFrame:
+    """frequent_phrases() where the local support is one: the first pass is made for each size. What it has of a size adds up to no
+    more than all words, so that with LOAD of `least` on a counter by chance few phrases pass that aren't frequent."""
+    more = max(0, math.ceil(math.log2(max(1, whole) / (LOAD * least)) - filter_bits))
+    filter_bits += more
+    docs = docs.coalesce(max(min(shards, docs.sparkSession.sparkContext.defaultParallelism), math.ceil(shards / (SHARDS << more))))
+    bits = np.zeros((2, 1 << max(filter_bits - 3, 0)), np.uint8)
+    for size in range(1, longest + 1):
+        shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+        counters, _ = _collected(docs.mapInArrow(_mine_size(shared, size, least, filter_bits, shard_bytes), "block int, counters binary"), least, filter_bits)
+        bits |= np.packbits(counters.reshape(2, -1) >= least, axis=1)
+        shared.unpersist()
+        del counters
+    return _summed(docs, _count_held(docs.sparkSession.sparkContext.broadcast(bits.tobytes()), longest, filter_bits, shard_bytes), least)
+
+
 def score_cuts(frequent: DataFrame, totals: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, n, score of every frequent phrase of two words or more, by its lowest-scoring cut."""
     phrases = frequent.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"))
