@@ -141,11 +141,13 @@ def shrunk_bias(df: DataFrame, group: str, cluster: str, residual: str, weight:
     return groups.join(clusters, cluster).withColumn("bias", part * F.col("raw_bias") + (1 - part) * F.col("cluster_bias"))
 
 
-def apply_bias(df: DataFrame, biases: DataFrame, group: str, cluster: str, out: str = "bias") -> DataFrame:
-    """Bias of the group, else the mean of its cluster's groups, else the mean of all groups."""
+def apply_bias(df: DataFrame, biases: DataFrame, group: str, cluster: str, out: str = "bias", within: bool = False) -> DataFrame:
+    """Bias of the group, else the mean of its cluster's groups, else the mean of all groups. within: a group may lie in several
+    clusters, and has a bias in each."""
     clusters = biases.groupBy(cluster).agg(F.avg("bias").alias("_c"))
     whole = biases.agg(F.avg("bias").alias("_a"))
-    joined = df.join(biases.select(group, F.col("bias").alias("_g")), group, "left").join(clusters, cluster, "left").join(F.broadcast(whole))
+    keys = [group, cluster] if within else [group]
+    joined = df.join(biases.select(*keys, F.col("bias").alias("_g")), keys, "left").join(clusters, cluster, "left").join(F.broadcast(whole))
     return joined.withColumn(out, F.coalesce("_g", "_c", "_a", F.lit(0.0))).drop("_g", "_c", "_a")
 
 
