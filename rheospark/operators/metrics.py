@@ -249,11 +249,36 @@ def subset_metrics(df: DataFrame, subsets: Mapping[str, Column], y: str, p: str)
     return every.join(got, "subset", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def bucket_directions(df: DataFrame, buckets: Mapping[str, str], order: str, seq: str, y: str, p: str, min_delta: float = 0.3) -> DataFrame:
+def bucket_directions(df: DataFrame, buckets: Mapping[str, str], order: str, seq: str, y: str, p: str, min_delta: float = 0.3, short: int | None = None) -> DataFrame:
     """AG37: per kind of bucket (name -> column) and bucket the orders with pairs of batches in it whose labels differ enough,
-    those pairs, and the mean over the orders of the share that the predictions order alike."""
-    cells = F.array(*[F.struct(F.lit(t).alias("bucket_type"), F.col(c).cast("string").alias("bucket_value")) for t, c in buckets.items()])
-    rows = df.select(order, seq, y, p, F.explode(cells).alias("_b")).select(F.struct("_b.bucket_type", "_b.bucket_value", order).alias("_o"), seq, y, p)
-    pairs = direction_by_order(rows.where("_o.bucket_value is not null"), "_o", seq, y, p, min_delta)
-    out = pairs.groupBy("_o.bucket_type", "_o.bucket_value").agg(F.count("*").alias("n_orders"), F.sum("n_pairs").alias("n_pairs"), F.avg("direction").alias("direction"))
-    return out
+    those pairs, and the mean over the orders of the share that the predictions order alike.
+
+    A short order's rows are compared once, and each pair counts in the buckets that both rows share: rows are dealt out by order and
+    not written for each kind of bucket. Longer orders go through direction_by_order() by bucket."""
+    short = SHORT_ORDER if short is None else short
+    names = {f"_b{i}": t for i, t in enumerate(buckets)}
+    cells = [F.col(c).cast("string").alias(b) for b, c in zip(names, buckets.values(), strict=True)]
+    rows = df.where(F.col(y).isNotNull()).select(F.col(order).alias("_o"), F.col(seq).alias("_q"), F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"), *cells)
+    sizes = rows.groupBy("_o").agg(F.count("*").alias("_n"))
+    long_ones = sizes.where(F.col("_n") > short).select("_o")
+    any_long = not long_ones.isEmpty()
+    short_ones = sizes.where(F.col("_n") <= short).select(F.col("_o").alias("_s"))
+    few = rows.join(short_ones, F.col("_o").eqNullSafe(F.col("_s")), "left_semi") if any_long else rows
+    later = F.collect_list(F.struct("_y", "_p", *names)).over(Window.partitionBy("_o").orderBy("_q").rowsBetween(1, Window.unboundedFollowing))
+    d = F.lit(min_delta)
+    far = F.filter("_l", lambda x: (x["_y"] > F.col("_y") + d) | (F.col("_y") > x["_y"] + d))
+    alike = lambda x: F.signum(x["_y"] - F.col("_y")) == F.signum(x["_p"] - F.col("_p"))
+    here = lambda b: lambda x: x[b] == F.col(b)
+    both = lambda b: lambda x: (x[b] == F.col(b)) & alike(x)
+    kinds = [F.struct(F.lit(t).alias("bucket_type"), F.col(b).alias("bucket_value"), F.size(F.filter("_f", here(b))).cast("long").alias("n"), F.size(F.filter("_f", both(b))).cast("long").alias("k")) for b, t in names.items()]
+    pairs = few.withColumn("_l", later).withColumn("_f", far).select("_o", F.explode(F.array(*kinds)).alias("x")).select("_o", "x.*").where("n > 0")
+    found = pairs.groupBy("_o", "bucket_type", "bucket_value").agg(F.sum("n").alias("n_pairs"), F.sum("k").alias("n_alike"))
+    found = found.select("bucket_type", "bucket_value", "n_pairs", (F.col("n_alike") / F.col("n_pairs")).alias("direction"))
+    if any_long:
+        each = F.array(*[F.struct(F.lit(t).alias("bucket_type"), F.col(b).alias("bucket_value")) for b, t in names.items()])
+        rest = rows.join(long_ones.withColumnRenamed("_o", "_s"), F.col("_o").eqNullSafe(F.col("_s")), "left_semi")
+        rest = rest.select(F.struct("_o").alias("_order"), "_q", "_y", "_p", F.explode(each).alias("_b")).where("_b.bucket_value is not null")
+        rest = rest.select(F.struct("_b.bucket_type", "_b.bucket_value", "_order").alias("_o"), "_q", "_y", "_p")
+        more = direction_by_order(rest, "_o", "_q", "_y", "_p", min_delta)
+        found = found.unionByName(more.select("_o.bucket_type", "_o.bucket_value", "n_pairs", "direction"))
+    return found.groupBy("bucket_type", "bucket_value").agg(F.count("*").alias("n_orders"), F.sum("n_pairs").alias("n_pairs"), F.avg("direction").alias("direction"))
